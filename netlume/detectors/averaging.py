@@ -55,13 +55,14 @@ def train_round(
                     local[worker], sizes[worker] = load(state), 0
                 local[worker].learn(x[mine], t[mine], np.random.default_rng([seed, int(worker), sizes[worker]]))
                 sizes[worker] += int(mine.sum())
-        states = [m.state() for m in local.values()]
+        states = [m.state().tolist() for m in local.values()] or [state.tolist()]
+        rest = [0] * (len(states) - 1)
         yield pa.RecordBatch.from_pydict(
             {
-                "n": pa.array([*sizes.values(), 0], pa.int64()),
-                "w": pa.array([*[s.tolist() for s in states], state.tolist()], pa.list_(pa.float64())),
-                "loss": pa.array([0.0] * len(states) + [loss], pa.float64()),
-                "held": pa.array([0] * len(states) + [held], pa.int64()),
+                "n": pa.array(list(sizes.values()) or [0], pa.int64()),
+                "w": pa.array(states, pa.list_(pa.float64())),
+                "loss": pa.array([loss, *rest], pa.float64()),
+                "held": pa.array([held, *rest], pa.int64()),
             }
         )
 

@@ -71,6 +71,7 @@ class PlattSvm(Detector):
     name: str = "sgd"
     max_iter: int = 100
     reg: float = 1e-4
+    tol: float = 1e-3
     parts: int = 3
 
     def _calibrated(self, train: DataFrame, label: str) -> list[tuple]:
@@ -79,7 +80,11 @@ class PlattSvm(Detector):
         for i in range(self.parts):
             rest = with_vector(train.where(F.col("_part") != i))
             svm = LinearSVC(
-                labelCol=label, maxIter=self.max_iter, regParam=self.reg, standardization=False
+                labelCol=label,
+                maxIter=self.max_iter,
+                regParam=self.reg,
+                tol=self.tol,
+                standardization=False,
             ).fit(rest)
             margin = margin_column(svm)
             held = with_vector(train.where(F.col("_part") == i)).select(

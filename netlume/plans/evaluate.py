@@ -61,27 +61,30 @@ def choose_threshold(detector: Detector, val: DataFrame) -> float | None:
 
 
 def evaluate(
-    detector: Detector, data: DataFrame, dataset: str, multiclass: bool = True
+    detector: Detector, data: DataFrame, dataset: str, cross_validate: bool = True
 ) -> Evaluation:
-    """``data`` is an evaluation table; the result tables hold one row per metric group."""
+    """``data`` is an evaluation table; the result tables hold one row per metric group. Without
+    ``cross_validate`` the five out-of-fold fits are left out and there is no ``cv`` stage."""
     train = data.where(F.col("split") == "train")
     val, test = (data.where(F.col("split") == s) for s in ("val", "test"))
     columns = ["fold", "y", "attack", "score"]
 
-    oof = stage(out_of_fold(detector, train).select(*columns), "out-of-fold")
     model = detector.fit(train)
     held = stage(model(val.unionByName(test)).select("split", *columns), "held-out", partition_by="split")
     threshold = choose_threshold(detector, held.where(F.col("split") == "val"))
     cut = 0.5 if threshold is None else threshold
-    cv = label_folds(detector, oof).select(F.lit("cv").alias("stage"), *columns, "pred")
     later = held.withColumn("pred", (F.col("score") >= cut).cast("int"))
-    scored = stage(cv.unionByName(later.select(F.col("split").alias("stage"), *columns, "pred")), "scored")
+    scored = later.select(F.col("split").alias("stage"), *columns, "pred")
+    if cross_validate:
+        oof = stage(out_of_fold(detector, train).select(*columns), "out-of-fold")
+        cv = label_folds(detector, oof).select(F.lit("cv").alias("stage"), *columns, "pred")
+        scored = stage(cv.unionByName(scored), "scored")
 
     tables = {"binary": M.binary_metrics(scored, "y", "pred", "score", ["stage"])}
     tables["binary"] = tables["binary"].withColumn("threshold", F.lit(threshold).cast("double"))
     if detector.anomaly:
         tables["per_attack"] = M.per_attack(scored.where(F.col("stage") == "test"), "attack", "pred")
-    elif multiclass:
+    else:
         tables |= multiclass_tables(detector, train, test)
     keys = {"dataset": F.lit(dataset), "strategy": F.lit(detector.name)}
     named = {k: t.withColumns(keys) for k, t in tables.items()}

@@ -44,9 +44,10 @@ def clean_header(df: DataFrame) -> DataFrame:
 
 
 def list_files(spark: SparkSession, pattern: str) -> list[str]:
-    """Paths of a glob in name order; the file contents are not read."""
-    found = spark.read.format("binaryFile").load(pattern).select("path")
-    return sorted(r["path"] for r in found.collect())
+    """Paths of a glob in name order. A path may be one file or a folder of part files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(str(status.getPath()) for status in found or [])
 
 
 def device_name(path: str) -> str:
