@@ -1,17 +1,15 @@
-"""Majority class, logistic regression, calibrated linear SVM and Gaussian naive Bayes."""
+"""Majority class, logistic regression and Gaussian naive Bayes."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.classification import LogisticRegression, NaiveBayes
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netlume.detectors.base import Detector, Fitted, class_index, index_class, with_vector
-from netlume.operators.sampling import stratified_parts
 
 
 def positive_probability(model) -> Fitted:
@@ -64,85 +62,6 @@ class Logistic(Detector):
         return predicted_class(self._estimator(train, "label").fit(with_vector(indexed)), classes)
 
 
-@dataclass
-class PlattSvm(Detector):
-    """Hinge-loss linear model with 3-fold sigmoid calibration; multiclass one against the rest."""
-
-    name: str = "sgd"
-    max_iter: int = 100
-    reg: float = 1e-4
-    tol: float = 1e-3
-    parts: int = 3
-
-    def _calibrated(self, train: DataFrame, label: str) -> list[tuple]:
-        """Per part: a margin model fitted on the others and a sigmoid fitted on the part itself."""
-        fitted = []
-        for i in range(self.parts):
-            rest = with_vector(train.where(F.col("_part") != i))
-            svm = LinearSVC(
-                labelCol=label,
-                maxIter=self.max_iter,
-                regParam=self.reg,
-                tol=self.tol,
-                standardization=False,
-            ).fit(rest)
-            margin = margin_column(svm)
-            held = with_vector(train.where(F.col("_part") == i)).select(
-                F.col(label).alias("t"), margin.alias("m")
-            )
-            fitted.append((svm, *platt_sigmoid(held)))
-        return fitted
-
-    @staticmethod
-    def _probability(fitted: list[tuple]) -> Column:
-        terms = [1.0 / (1.0 + F.exp(-(margin_column(svm) * a + b))) for svm, a, b in fitted]
-        return reduce(lambda p, q: p + q, terms) / len(terms)
-
-    def fit(self, train: DataFrame) -> Fitted:
-        fitted = self._calibrated(stratified_parts(train, "y", "_h", self.parts, "_part"), "y")
-        return lambda df: with_vector(df).withColumn("score", self._probability(fitted)).drop("features")
-
-    def fit_classes(self, train: DataFrame, classes: list[str]) -> Fitted:
-        parted = stratified_parts(train, "attack", "_h", self.parts, "_part")
-        models = []
-        for name in classes:
-            target = parted.withColumn("t", (F.col("attack") == name).cast("int"))
-            models.append(self._calibrated(target, "t"))
-
-        def predict(df: DataFrame) -> DataFrame:
-            # dividing by the sum of the k probabilities does not change which one is largest
-            scored = with_vector(df).withColumn("_p", F.array(*[self._probability(m) for m in models]))
-            best = F.array_position("_p", F.array_max("_p")) - 1
-            return index_class(scored.withColumn("_best", best), "_best", classes).select(
-                *df.columns, "pred_class"
-            )
-
-        return predict
-
-
-def margin_column(svm) -> Column:
-    weights = [F.lit(float(w)) for w in svm.coefficients.toArray()]
-    products = F.zip_with(F.col("x"), F.array(*weights), lambda v, w: v * w)
-    return F.aggregate(products, F.lit(float(svm.intercept)), lambda acc, v: acc + v)
-
-
-def platt_sigmoid(held: DataFrame) -> tuple[float, float]:
-    """Slope and intercept of P(t=1 | m), fitted to Platt's smoothed targets.
-
-    Each row stands for two weighted rows, one per outcome; the weights are the smoothed target.
-    """
-    pos, n = held.agg(F.sum("t"), F.count("*")).first()
-    high, low = (pos + 1.0) / (pos + 2.0), 1.0 / (n - pos + 2.0)
-    target = F.when(F.col("t") == 1, high).otherwise(low)
-    outcomes = F.array(
-        F.struct(F.lit(1.0).alias("label"), target.alias("weight")),
-        F.struct(F.lit(0.0).alias("label"), (1.0 - target).alias("weight")),
-    )
-    pairs = held.select(array_to_vector(F.array("m")).alias("features"), F.inline(outcomes))
-    model = LogisticRegression(weightCol="weight", standardization=False).fit(pairs)
-    return float(model.coefficients[0]), float(model.intercept)
-
-
 @dataclass
 class GaussianBayes(Detector):
     name: str = "gaussian_nb"

@@ -119,6 +119,11 @@ def row_hash(df: DataFrame, keys: list[str] | None = None, seed: int = 42) -> Co
     return F.md5(F.concat_ws("|", hi.cast("string"), lo.cast("string"), F.lit(str(seed))))
 
 
+def drop_missing(df: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """Drop rows with a NULL in any of the columns, all columns by default."""
+    return df.dropna(subset=["`" + n.replace("`", "``") + "`" for n in (names or df.columns)])
+
+
 def sanitize_name(name: str) -> str:
     for bad in "[]<>":
         name = name.replace(bad, "_")

@@ -8,7 +8,7 @@ from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netlume.functions.columns import c, sanitize_name
+from netlume.functions.columns import c, drop_missing, sanitize_name
 from netlume.operators.ordering import ROWS_PER_BUCKET, exact_quantiles
 
 MAX_ONEHOT_COLUMNS = 10_000
@@ -35,7 +35,7 @@ def exact_medians(
 def median_impute(df: DataFrame, columns: list[str], medians: dict[str, float]) -> DataFrame:
     """Fill with the train medians; rows that still miss a value are dropped."""
     filled = {n: F.coalesce(c(n), F.lit(medians[n])) for n in columns if n in medians}
-    return df.withColumns(filled).dropna(subset=["`" + n + "`" for n in columns]) if columns else df
+    return drop_missing(df.withColumns(filled), columns) if columns else df
 
 
 @dataclass(frozen=True)

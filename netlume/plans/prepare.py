@@ -66,9 +66,9 @@ def clean_flow(raw: DataFrame, spec: DatasetSpec) -> Cleaned:
     df = df.withColumns({n: C.finite_or_null(c(n)) for n in extra})
     keep = [*features, *spec.targets]
     if set(df.columns) == set(keep):
-        rows = _hashed(dedup_and_drop_conflicts(df.dropna(), features, spec.targets), spec)
+        rows = _hashed(dedup_and_drop_conflicts(C.drop_missing(df), features, spec.targets), spec)
         return Cleaned(rows.select(*[c(n) for n in keep], "_h"), features, [], True)
-    rows = _hashed(df.dropna().distinct(), spec).select(*[c(n) for n in keep], "_h")
+    rows = _hashed(C.drop_missing(df).distinct(), spec).select(*[c(n) for n in keep], "_h")
     return Cleaned(drop_conflicts(stage(rows, "flow-rows"), features, spec.targets), features, [], False)
 
 
@@ -79,7 +79,7 @@ def clean_edge(raw: DataFrame, spec: DatasetSpec) -> Cleaned:
     typed = {n: C.finite_or_null(C.to_number(c(n))) for n in numeric}
     typed |= {n: C.canonical_category(c(n)) for n in categorical}
     typed[spec.target_binary] = C.binary_from_text(c(spec.target_binary))
-    df = df.withColumns(typed).dropna()
+    df = C.drop_missing(df.withColumns(typed))
     features = [n for n in df.columns if n not in spec.targets]
     rows = dedup_and_drop_conflicts(df, features, spec.targets)
     return Cleaned(_hashed(rows, spec), numeric, categorical, True)
