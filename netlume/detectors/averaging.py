@@ -7,6 +7,7 @@ model and emits one row per local model; Spark averages them. Only the model cro
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import ceil
 from typing import Protocol
 
 import numpy as np
@@ -102,14 +103,14 @@ def train_rounds(
 def with_workers(data: DataFrame, site: str | None, rows_per_worker: int = 1_000_000) -> DataFrame:
     """Number the local models and lay the rows out by them, in hash order.
 
-    A site larger than ``rows_per_worker`` is shared by several workers, so one site that holds a
-    third of all rows does not end up in one task. The weighted average over workers equals the
-    average over sites of the average within each site.
+    Without sites every task is a worker. A site larger than ``rows_per_worker`` is shared by several
+    workers, so one site that holds a third of all rows does not end up in one task; its rows are
+    dealt out by the task they are read in. The weighted average over workers equals the average over
+    sites of the average within each site.
     """
     if site is None:
         return data.withColumn("worker", F.spark_partition_id())
-    total = data.count()
-    shares = max(1, -(-total // rows_per_worker))
-    part = F.pmod(F.xxhash64("_h"), F.lit(shares))
-    worker = (F.col(site) * shares + part).cast("int")
+    largest = data.groupBy(site).count().agg(F.max("count")).first()[0] or 0
+    shares = max(1, ceil(largest / rows_per_worker))
+    worker = (F.col(site) * shares + F.spark_partition_id() % shares).cast("int")
     return data.withColumn("worker", worker).repartition("worker").sortWithinPartitions("worker", "_h")

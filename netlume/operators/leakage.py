@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from netlume.functions.columns import FP, c, with_fingerprint
 from netlume.operators.sampling import SPLITS
+from netlume.staging import stage
 
 _TARGET_FP = ("_tfp_hi", "_tfp_lo")
 
@@ -18,8 +19,9 @@ def split_number(split: Column) -> Column:
 def drop_conflicts(df: DataFrame, features: list[str], targets: list[str]) -> DataFrame:
     """Drop every row whose feature vector occurs with more than one target tuple.
 
-    The aggregate carries only fingerprints and combines before its shuffle. In the anti join a
-    feature vector shared by very many rows is cut up by adaptive skew handling (left side).
+    The aggregate carries only fingerprints and combines before its shuffle. Its result is staged, so
+    Spark knows its size: a small one is broadcast and the rows are not shuffled at all. Beyond the
+    broadcast limit, adaptive skew handling cuts up a vector shared by very many rows (left side).
     """
     marked = with_fingerprint(with_fingerprint(df, features), targets, _TARGET_FP)
     bad = (
@@ -28,7 +30,7 @@ def drop_conflicts(df: DataFrame, features: list[str], targets: list[str]) -> Da
         .where(F.col("_lo") != F.col("_hi"))
         .select(*FP)
     )
-    return marked.join(bad, list(FP), "left_anti").drop(*FP, *_TARGET_FP)
+    return marked.join(stage(bad, "conflicts"), list(FP), "left_anti").drop(*FP, *_TARGET_FP)
 
 
 def dedup_and_drop_conflicts(df: DataFrame, features: list[str], targets: list[str]) -> DataFrame:
@@ -46,7 +48,7 @@ def remove_overlaps(df: DataFrame, features: list[str], split: str = "split") ->
     """Keep a feature vector only in the first split (train, val, test) that has it.
 
     Train never loses rows. One aggregate finds the vectors that occur in several splits; only those
-    take part in the anti join.
+    take part in the anti join, which broadcasts them when they are few (see ``drop_conflicts``).
     """
     marked = with_fingerprint(df, features).withColumn("_sn", split_number(F.col(split)))
     shared = (
@@ -55,6 +57,7 @@ def remove_overlaps(df: DataFrame, features: list[str], split: str = "split") ->
         .where(F.col("_first") < F.col("_last"))
         .select(*[F.col(f).alias(f"s{f}") for f in FP], "_first")
     )
+    shared = stage(shared, "shared-vectors")
     same = (F.col(FP[0]) == F.col(f"s{FP[0]}")) & (F.col(FP[1]) == F.col(f"s{FP[1]}"))
     later = F.col("_sn") > F.col("_first")
     return marked.join(shared, same & later, "left_anti").drop(*FP, "_sn")

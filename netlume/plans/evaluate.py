@@ -7,6 +7,7 @@ validation, metrics on test, and a separate multiclass model.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import ceil
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from netlume.operators.sampling import CV_FOLDS, with_folds
 from netlume.sources.csv import union_by_name
 from netlume.staging import stage
 
-STAGES = ["cv", "val", "test"]
+ROWS_PER_TASK = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -29,9 +30,14 @@ class Evaluation:
 
 
 def evaluation_table(rows: DataFrame, meta: dict, keys: list[str] | None = None) -> DataFrame:
-    """Packed rows with folds on the train split, laid out in random (hash) order."""
+    """Packed rows with folds on the train split, spread evenly and in hash order within a task.
+
+    Rows are dealt out in turn, not by their hash: copies of one row would all land in one task.
+    """
     packed = matrix(rows, meta["feature_columns"], meta["target_binary"], meta["target_multiclass"], keys)
-    spread = stage(packed.repartition("_h").sortWithinPartitions("_h"), "packed", partition_by="split")
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, ceil(rows.count() / ROWS_PER_TASK))
+    dealt = packed.repartition(tasks).sortWithinPartitions("_h")
+    spread = stage(dealt, "packed", partition_by="split")
     train = with_folds(spread.where(F.col("split") == "train"), "y", "_h")
     rest = spread.where(F.col("split") != "train").withColumn("fold", F.lit(None).cast("int"))
     return stage(train.unionByName(rest), "evaluation", partition_by="split")

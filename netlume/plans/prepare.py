@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netlume.functions import columns as C
@@ -115,8 +115,7 @@ def prepare(raw: DataFrame, spec: DatasetSpec, extra: dict | None = None) -> tup
     Returns the rows with a ``split`` column and what the metadata needs to know. Three tables are
     staged on the way, each the input of several narrow fitting passes.
     """
-    seen = Observation("raw rows")
-    cleaned = CLEAN[spec.kind](raw.observe(seen, F.count(F.lit(1)).alias("n")), spec)
+    cleaned = CLEAN[spec.kind](raw, spec)
     numeric, categorical = cleaned.numeric, cleaned.categorical
     features = [n for n in cleaned.rows.columns if n not in spec.targets and n != "_h"]
     clean = stage(cleaned.rows, "clean")
@@ -146,7 +145,7 @@ def prepare(raw: DataFrame, spec: DatasetSpec, extra: dict | None = None) -> tup
         "dropped": [n for n in spec.drop],
         "encoding": spec.encoding if categorical else None,
         "scaler": {"mean": scaler.mean, "scale": scaler.scale, "columns": features},
-        "extra": {"n_rows_before_cleaning": seen.get["n"], **details, **(extra or {})},
+        "extra": {**details, **(extra or {})},
     }
     return df, facts
 
@@ -185,15 +184,17 @@ def sample_raw(raw: DataFrame, spec: DatasetSpec, group: str | None) -> DataFram
 def prepare_files(spark: SparkSession, spec: DatasetSpec, path: str, base: str) -> dict:
     """CSV files of a dataset to a validated artifact."""
     if spec.kind == "telemetry":
-        raw = sample_raw(scan_devices(spark, path), spec, None)
+        source = raw = sample_raw(scan_devices(spark, path), spec, None)
     else:
-        raw = sample_raw(scan_csv(spark, path, spec.drop, with_file=True), spec, FILE_COLUMN)
-        raw = raw.drop(FILE_COLUMN)
+        source = scan_csv(spark, path, spec.drop, with_file=True)
+        raw = sample_raw(source, spec, FILE_COLUMN).drop(FILE_COLUMN)
     full = spec.sample_n is None
     extra = {
         "source": path,
         "sampling_mode": "full" if full else f"label_aware_{spec.kind}",
         "sample_target": "all" if full else str(spec.sample_n),
     }
+    if spec.kind != "flow":
+        extra["n_rows_before_cleaning"] = source.count()
     df, facts = prepare(raw, spec, extra)
     return write_prepared(df, facts, spec, base)
