@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 from netlume.detectors.base import rows_to_numpy
 
 
+MIN_ROWS_PER_WORKER = 4_000
+
+
 class LocalModel(Protocol):
     """A model whose whole state is one flat vector."""
 
@@ -103,13 +106,14 @@ def train_rounds(
 def with_workers(data: DataFrame, site: str | None, rows_per_worker: int = 1_000_000) -> DataFrame:
     """Number the local models and lay the rows out by them, in hash order.
 
-    Without sites every task is a worker. A site larger than ``rows_per_worker`` is shared by several
+    Without sites every task is a worker, with enough rows for a useful local epoch. A site larger than ``rows_per_worker`` is shared by several
     workers, so one site that holds a third of all rows does not end up in one task; its rows are
     dealt out by the task they are read in. The weighted average over workers equals the average over
     sites of the average within each site.
     """
     if site is None:
-        return data.withColumn("worker", F.spark_partition_id())
+        workers = max(1, data.count() // MIN_ROWS_PER_WORKER)
+        return data.coalesce(workers).withColumn("worker", F.spark_partition_id())
     largest = data.groupBy(site).count().agg(F.max("count")).first()[0] or 0
     shares = max(1, ceil(largest / rows_per_worker))
     worker = (F.col(site) * shares + F.spark_partition_id() % shares).cast("int")

@@ -32,7 +32,17 @@ def to_number(column: Column) -> Column:
 
 def finite_or_null(column: Column) -> Column:
     """NaN and both infinities become NULL, so that NULL alone means missing."""
-    return F.when(~F.isnan(column) & (F.abs(column) != float("inf")), column)
+    return F.when(F.abs(column) < float("inf"), column)  # NaN compares as larger than infinity
+
+
+def finite_number(column: Column) -> Column:
+    """``finite_or_null(to_number(column))`` in a form that parses the text at most twice.
+
+    Filters on the result are pushed down to the scan, where repeated sub-expressions are evaluated
+    again and again. Letters other than the exponent spoil a number, whatever they spell.
+    """
+    text = F.translate(F.trim(column.cast("string")), "dDfFnNxXpP", "##########")
+    return finite_or_null(text.try_cast("double"))
 
 
 def text_or_null(column: Column) -> Column:

@@ -52,23 +52,31 @@ def _hashed(df: DataFrame, spec: DatasetSpec) -> DataFrame:
 
 
 def clean_flow(raw: DataFrame, spec: DatasetSpec) -> Cleaned:
-    """Duplicates and missing values count over all raw columns, before the features are chosen."""
-    df = raw.withColumns(
-        {
-            spec.target_binary: C.is_attack(c(spec.label), spec.benign),
-            spec.target_multi: c(spec.label),
-            spec.target_family: spec.taxonomy.family(c(spec.label)),
-        }
-    ).drop(c(spec.label))
-    features = [n for n in spec.features if n in df.columns]
-    df = df.withColumns({n: C.finite_or_null(C.to_number(c(n))) for n in features})
+    """Duplicates and missing values count over all raw columns, before the features are chosen.
+
+    The targets depend on the label alone, so they are derived after the duplicates are gone. A label
+    that the taxonomy does not know fails the job if any of its rows is complete.
+    """
+    features = [n for n in spec.features if n in raw.columns]
+    df = raw.withColumns({n: C.finite_number(c(n)) for n in features})
     extra = [n for n, kind in df.dtypes if kind in ("double", "float") and n not in features]
     df = df.withColumns({n: C.finite_or_null(c(n)) for n in extra})
+    complete = C.drop_missing(df, [n for n in df.columns if n != spec.label])
+
+    def targets(rows: DataFrame) -> DataFrame:
+        return rows.withColumns(
+            {
+                spec.target_binary: C.is_attack(c(spec.label), spec.benign),
+                spec.target_multi: c(spec.label),
+                spec.target_family: spec.taxonomy.family(c(spec.label)),
+            }
+        )
+
     keep = [*features, *spec.targets]
-    if set(df.columns) == set(keep):
-        rows = _hashed(dedup_and_drop_conflicts(C.drop_missing(df), features, spec.targets), spec)
-        return Cleaned(rows.select(*[c(n) for n in keep], "_h"), features, [], True)
-    rows = _hashed(C.drop_missing(df).distinct(), spec).select(*[c(n) for n in keep], "_h")
+    if set(raw.columns) == {*features, spec.label}:
+        rows = targets(dedup_and_drop_conflicts(complete, features, [spec.label]))
+        return Cleaned(_hashed(rows, spec).select(*[c(n) for n in keep], "_h"), features, [], True)
+    rows = targets(_hashed(complete.distinct(), spec)).select(*[c(n) for n in keep], "_h")
     return Cleaned(drop_conflicts(stage(rows, "flow-rows"), features, spec.targets), features, [], False)
 
 
@@ -76,7 +84,7 @@ def clean_edge(raw: DataFrame, spec: DatasetSpec) -> Cleaned:
     df = raw.drop(*spec.drop).withColumn(spec.target_family, spec.taxonomy.family(c(spec.label)))
     categorical = [n for n in spec.categorical if n in df.columns]
     numeric = [n for n in df.columns if n not in spec.targets and n not in categorical]
-    typed = {n: C.finite_or_null(C.to_number(c(n))) for n in numeric}
+    typed = {n: C.finite_number(c(n)) for n in numeric}
     typed |= {n: C.canonical_category(c(n)) for n in categorical}
     typed[spec.target_binary] = C.binary_from_text(c(spec.target_binary))
     df = C.drop_missing(df.withColumns(typed))
@@ -100,7 +108,7 @@ def clean_telemetry(raw: DataFrame, spec: DatasetSpec) -> Cleaned:
     features = [n for n in df.columns if n not in spec.targets]
     numeric = numeric_columns(df, features)
     categorical = [n for n in features if n not in numeric]
-    typed = {n: C.finite_or_null(C.to_number(c(n))) for n in numeric}
+    typed = {n: C.finite_number(c(n)) for n in numeric}
     typed |= {n: C.fill_category(c(n)) for n in categorical}
     rows = dedup_and_drop_conflicts(df.withColumns(typed), features, spec.targets)
     return Cleaned(_hashed(rows, spec), numeric, categorical, True)
