@@ -43,18 +43,23 @@ def _take_in_hash_order(
     Without ``keys`` the hash covers the whole row, so equal hashes are copies of one row. Copies at
     the cut are counted, not sorted, and the right number of them is put back.
     """
-    columns = df.columns
     hashed = df.withColumn("_h", row_hash(df, keys, seed))
-    found = rank_cuts(
-        hashed, strata, "_h", quotas.select(*strata, F.lit(0).alias("cut"), F.col("quota").alias("rank"))
-    )
+    ranks = quotas.select(*strata, F.lit(0).alias("cut"), F.col("quota").alias("rank"))
+    return _take_to_cut(hashed, strata, "_h", ranks, df.columns)
+
+
+def _take_to_cut(
+    hashed: DataFrame, strata: list[str], hash_col: str, ranks: DataFrame, columns: list[str]
+) -> DataFrame:
+    """Exactly ``rank`` rows per stratum, in hash order. Rows with one hash are copies of one row."""
+    found = rank_cuts(hashed, strata, hash_col, ranks)
     found = found.withColumn("_need", F.col("rank") - F.col("below"))
     joined = hashed.join(found, strata)
-    at_cut = F.col("_h") == F.col("cut_hash")
+    at_cut = F.col(hash_col) == F.col("cut_hash")
     whole = joined.where(
-        (F.col("_h") < F.col("cut_hash")) | (at_cut & (F.col("ties") == F.col("_need")))
+        (F.col(hash_col) < F.col("cut_hash")) | (at_cut & (F.col("ties") == F.col("_need")))
     ).select(*[c(n) for n in columns])
-    if keys or found.where(F.col("ties") > F.col("_need")).isEmpty():
+    if found.where(F.col("ties") > F.col("_need")).isEmpty():
         return whole
     copies = (
         joined.where(at_cut & (F.col("ties") > F.col("_need")))
@@ -129,13 +134,13 @@ def with_folds(df: DataFrame, target: str, hash_col: str, k: int = CV_FOLDS) ->
 
 
 def smallest_hashes(df: DataFrame, hash_col: str, k: int) -> DataFrame:
-    """The k rows with the smallest hash, found without collecting them in one task."""
-    if df.limit(k + 1).count() <= k:
+    """Exactly k rows with the smallest hash (all rows if there are fewer), found without collecting
+    them in one task and however many copies of one row there are."""
+    if df.count() <= k:
         return df
     keyed = df.withColumn("_all", F.lit(0))
-    cut = df.sparkSession.range(1).selectExpr("0 AS _all", "0 AS cut", f"cast({k} AS bigint) AS rank")
-    found = rank_cuts(keyed, ["_all"], hash_col, cut).select("_all", "cut_hash")
-    return keyed.join(found, "_all").where(F.col(hash_col) <= F.col("cut_hash")).drop("_all", "cut_hash")
+    ranks = df.sparkSession.range(1).selectExpr("0 AS _all", "0 AS cut", f"cast({k} AS bigint) AS rank")
+    return _take_to_cut(keyed, ["_all"], hash_col, ranks, df.columns)
 
 
 def benign_subsample(df: DataFrame, target: str, hash_col: str, k: int = 30_000) -> DataFrame:

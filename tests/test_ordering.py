@@ -80,6 +80,12 @@ def test_split_and_parts(spark):
     assert sorted(best) == sorted(r["_h"] for r in hashed.collect())[:10]
 
 
+def test_smallest_hashes_are_exact_when_most_rows_are_copies(spark):
+    df = spark.createDataFrame([("m", [1.0])] * 400 + [(f"{i:x}", [float(i)]) for i in range(16)], "_h string, x array<double>")
+    kept = S.smallest_hashes(df, "_h", 100)
+    assert kept.count() == 100 and kept.where("_h = 'm'").count() == 84
+
+
 def test_rates(spark):
     df = spark.createDataFrame([("a",)] * 90 + [("b",)] * 9 + [("c",)], "l string")
     rates = {r.label: r.rate for r in S.proportional_rates(S.label_histogram(df, "l"), 10).collect()}
