@@ -8,8 +8,7 @@ more likely an attack) or ``pred_class`` added.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
-from typing import Any
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,6 @@ class Detector:
     """Fixed parameters plus the rules that the evaluation protocol needs."""
 
     name: str = ""
-    params: dict[str, Any] = field(default_factory=dict)
     anomaly: bool = False  # fitted on benign rows only, no multiclass part
     calibrated: bool = True  # threshold chosen on the validation split
     fold_rule: str = "half"  # out-of-fold label: "half" 0.5, "zero" offset, "p90" of the own fold
@@ -42,6 +40,11 @@ class Detector:
     def percentiles(self) -> list[float]:
         return PERCENTILE_GRID
 
+    def params(self) -> dict:
+        """The fixed parameters, as they appear in the results."""
+        rules = {f.name for f in fields(Detector)}
+        return {f.name: getattr(self, f.name) for f in fields(self) if f.name not in rules}
+
     def fit(self, train: DataFrame) -> Fitted:
         raise NotImplementedError
 

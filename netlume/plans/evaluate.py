@@ -6,6 +6,7 @@ validation, metrics on test, and a separate multiclass model.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from math import ceil
 
@@ -87,7 +88,9 @@ def evaluate(
         scored = stage(cv.unionByName(scored), "scored")
 
     tables = {"binary": M.binary_metrics(scored, "y", "pred", "score", ["stage"])}
-    tables["binary"] = tables["binary"].withColumn("threshold", F.lit(threshold).cast("double"))
+    tables["binary"] = tables["binary"].withColumns(
+        {"threshold": F.lit(threshold).cast("double"), "params": F.lit(json.dumps(detector.params()))}
+    )
     if detector.anomaly:
         tables["per_attack"] = M.per_attack(scored.where(F.col("stage") == "test"), "attack", "pred")
     else:

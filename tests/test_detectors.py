@@ -73,6 +73,7 @@ def test_full_protocol_and_majority(data):
     assert set(stages) == {"cv", "val", "test"} and done.threshold is None
     assert all(r.roc_auc == 0.5 and r.f1 == 0 for r in stages.values())
     assert sum(stages["cv"][n] for n in ("tn", "fp", "fn", "tp")) == N * 7 // 10
+    assert IsolationForest(trees=5).params() == {"trees": 5, "sample": 256}
     forest = evaluate(IsolationForest(trees=5), data, "blobs").tables["binary"].where("stage = 'cv'").first()
     assert forest.roc_auc > 0.8  # labels at the contamination offset, one model per fold
     assert 0.05 < (forest.fp / (forest.tn + forest.fp)) < 0.2
