@@ -1,7 +1,7 @@
 """Byte-level BPE with a hierarchical-bitmap rank queue.
 
 Each pre-token is a linked list of pieces. Every adjacent pair that merges sits in the bucket of its merge rank. A bitmap
-with one bit per rank and a summary bitmap with one bit per 64 ranks say which buckets hold something, so
+with one bit per rank and a summary bitmap with one bit per 256 ranks say which buckets hold something, so
 find-first-set on the summary and then on one word yields the next rank. A bucket is a small heap of positions, because
 equal ranks merge from the left. Entries are not removed when a neighbour merges: a popped entry counts only if the pair
 at its position still has that rank. A pre-token of n bytes costs O(n log n), however long it is.
@@ -12,6 +12,7 @@ Rows: a NULL text is the empty text (no ids); NULL ids stay; repeated rows give
 from __future__ import annotations
 
 import base64
+import struct
 from heapq import heappop, heappush
 
 import numpy as np
@@ -22,42 +23,24 @@ from pyspark.sql import functions as F
 
 from netlume.llm.common import Shared, text_of
 
-#: Pre-tokens remembered per Python worker; the memory is emptied when full, which changes no result.
-REMEMBERED = 400_000
+#: Pre-tokens remembered per Python worker in each of two generations; forgetting changes no result.
+REMEMBERED = 450_000
+
+
+def _pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class RankQueue:
-    """Positions by merge rank, smallest rank first, leftmost position first."""
+    """Buckets of positions by merge rank, and a bitmap of the ranks whose bucket is not empty (256 to a word).
+
+    The summary bitmap, with one bit per word, is all zero between two pre-tokens and lives in ``Bpe.merge``.
+    """
 
     def __init__(self, n_ranks: int):
-        self.words = [0] * (n_ranks // 64 + 1)
-        self.summary = 0
+        self.words = [0] * (n_ranks // 256 + 1)
         self.buckets: dict[int, list[int]] = {}
 
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            self.words[rank >> 6] |= 1 << (rank & 63)
-            self.summary |= 1 << (rank >> 6)
-        else:
-            heappush(bucket, position)
-
-    def pop(self) -> tuple[int, int]:
-        """The next (rank, position); only valid while ``summary`` is not zero."""
-        high = (self.summary & -self.summary).bit_length() - 1
-        word = self.words[high]
-        rank = (high << 6) + (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            word &= word - 1
-            self.words[high] = word
-            if not word:
-                self.summary ^= 1 << high
-        return rank, position
-
 
 class Bpe:
     """Encoder and decoder for one rank file and one pre-token pattern."""
@@ -70,6 +53,7 @@ class Bpe:
             self.pieces[rank] = piece
         self.queue = RankQueue(len(self.pieces))
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # what was known before; still looked up, and then known again
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -79,30 +63,57 @@ class Bpe:
         n, get, queue = len(word), self.ranks.get, self.queue
         after = list(range(1, n + 1))  # start of the following piece
         before = list(range(-1, n - 1))
-        for i in range(n - 1):
-            rank = get(word[i : i + 2])
-            if rank is not None:
-                queue.push(rank, i)
-        while queue.summary:
-            rank, i = queue.pop()
+        ranks = [get(word[i : i + 2], -1) for i in range(n - 1)]  # of the pair that begins here
+        ranks.append(-1)
+        # push and pop of the queue are written out here: calls would double the time of a short pre-token
+        words, buckets, summary = queue.words, queue.buckets, 0
+        for i, rank in enumerate(ranks):
+            if rank >= 0:
+                if rank in buckets:
+                    buckets[rank].append(i)  # ascending, so still a heap
+                else:
+                    buckets[rank] = [i]
+                    words[rank >> 8] |= 1 << (rank & 255)
+                    summary |= 1 << (rank >> 8)
+        while summary:
+            high = (summary & -summary).bit_length() - 1
+            bits = words[high]
+            rank = (high << 8) + (bits & -bits).bit_length() - 1
+            bucket = buckets[rank]
+            i = heappop(bucket)
+            if not bucket:
+                del buckets[rank]
+                words[high] = bits = bits & (bits - 1)
+                if not bits:
+                    summary &= summary - 1
+            if ranks[i] != rank:
+                continue  # stale: the piece or its neighbour has grown or gone
             mid = after[i]
-            if mid >= n or mid < 0:
-                continue  # stale: the piece is gone or has no neighbour
             end = after[mid]
-            if get(word[i:end]) != rank:
-                continue  # stale: a neighbour has grown
             after[i] = end
-            after[mid] = -1
+            ranks[mid] = -1
+            left = before[i]
+            new = -1
             if end < n:
                 before[end] = i
-                rank = get(word[i : after[end]])
-                if rank is not None:
-                    queue.push(rank, i)
-            left = before[i]
+                new = get(word[i : after[end]], -1)
+            ranks[i] = new
+            if new >= 0:
+                if new in buckets:
+                    heappush(buckets[new], i)
+                else:
+                    buckets[new] = [i]
+                    words[new >> 8] |= 1 << (new & 255)
+                    summary |= 1 << (new >> 8)
             if left >= 0:
-                rank = get(word[left:end])
-                if rank is not None:
-                    queue.push(rank, left)
+                ranks[left] = new = get(word[left:end], -1)
+                if new >= 0:
+                    if new in buckets:
+                        heappush(buckets[new], left)
+                    else:
+                        buckets[new] = [left]
+                        words[new >> 8] |= 1 << (new & 255)
+                        summary |= 1 << (new >> 8)
         ids, i = [], 0
         while i < n:
             ids.append(self.ranks[word[i : after[i]]])
@@ -112,20 +123,18 @@ class Bpe:
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         found = self.find(text)
-        known = self.known
+        known, older = self.known, self.older
         out = list(map(known.get, found))
         if None in out:
             for k, ids in enumerate(out):
                 if ids is None:
                     piece = found[k]
-                    ids = known.get(piece)
-                    if ids is None:
-                        ids = np.array(self.merge(piece.encode()), "<u4").tobytes()
-                        if len(known) >= REMEMBERED:
-                            known.clear()
-                        if len(piece) <= 256:
-                            known[piece] = ids
+                    ids = known.get(piece) or older.get(piece) or _pack(self.merge(piece.encode()))
+                    if len(piece) <= 256:
+                        known[piece] = ids
                     out[k] = ids
+            if len(known) >= REMEMBERED:
+                self.known, self.older = {}, known
         return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
