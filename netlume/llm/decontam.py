@@ -211,6 +211,17 @@ def _make(value) -> Index:
     return Index(items, segment)
 
 
+def _search_udf(index: Shared, window: int, least: float, overlap: float):
+    keys = ("item_id", "score", "n_passages", "question_overlap", "answer_overlap")
+
+    @F.pandas_udf("array<struct<item_id:long,score:double,n_passages:long,question_overlap:double,answer_overlap:double>>")
+    def run(texts: pd.Series) -> pd.Series:
+        made = index.get()
+        return pd.Series([[dict(zip(keys, m)) for m in made.matches(t, window, least, overlap)] for t in texts])
+
+    return run
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -225,19 +236,11 @@ def contaminated(
     items = items.where(F.length("text") > 0)
     blocks = max(1, math.ceil(items.count() / block_items))
     items = stage(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))), "items")
-    schema = "array<struct<item_id:long,score:double,n_passages:long,question_overlap:double,answer_overlap:double>>"
     passes = []
     for block in range(blocks):
         held = sorted(((r.item_id, bytes(r.text)) for r in items.where(F.col("block") == block).collect()), key=repr)
         # a segment is half a window, so a whole one lies inside some passage
-        index = Shared(spark, (held, window // 2), _make)
-
-        @F.pandas_udf(schema)
-        def run(texts: pd.Series, index=index) -> pd.Series:
-            made = index.get()
-            keys = ("item_id", "score", "n_passages", "question_overlap", "answer_overlap")
-            return pd.Series([[dict(zip(keys, m)) for m in made.matches(t, window, least, overlap)] for t in texts])
-
+        run = _search_udf(Shared(spark, (held, window // 2), _make), window, least, overlap)
         passes.append(utf8_of(docs).select("doc_id", F.xxhash64("text").alias("row"), F.explode(run("text")).alias("m")))
     found = reduce(DataFrame.union, passes)
     return found.select("doc_id", "m.*", "row")

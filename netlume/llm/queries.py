@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlume.llm import bpe, line_dedup, simhash
+from netlume.llm import bpe, decontam, kn_quality, line_dedup, simhash
 from netlume.llm.common import UPPER
 
 QUERIES: dict = {}
@@ -63,3 +63,16 @@ def op5_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
 def op8_simhash(spark: SparkSession, sf: str) -> DataFrame:
     made = simhash.groups(table(spark, sf, "documents"))
     return made.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query()
+def op2_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    found = decontam.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.drop("row")
+
+
+@query()
+def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents that are kept, with their perplexity and the threshold of their language."""
+    judged = kn_quality.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return judged.where("kept").drop("row")
