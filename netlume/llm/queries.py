@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlume.llm import bpe, decontam, kn_quality, line_dedup, simhash
+from netlume.llm import ann, bpe, decontam, kn_quality, line_dedup, simhash, toxicity
 from netlume.llm.common import UPPER
 
 QUERIES: dict = {}
@@ -76,3 +76,13 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
     """The documents that are kept, with their perplexity and the threshold of their language."""
     judged = kn_quality.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
     return judged.where("kept").drop("row")
+
+
+@query()
+def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query()
+def op9_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return ann.search(table(spark, sf, "embeddings"))
