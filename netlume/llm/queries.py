@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlume.llm import ann, bpe, decontam, kn_quality, line_dedup, simhash, toxicity
+from netlume.llm import ann, bpe, decontam, kn_quality, line_dedup, simhash, suffix_dedup, toxicity
 from netlume.llm.common import UPPER
 
 QUERIES: dict = {}
@@ -86,3 +86,9 @@ def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op9_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return ann.search(table(spark, sf, "embeddings"))
+
+
+@query()
+def op7_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    done = suffix_dedup.dedup(table(spark, sf, "documents"))
+    return done.withColumn("kept", F.sha2("kept", 256)).withColumnRenamed("kept", "kept_sha256")
