@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlume.llm import ann, bpe, decontam, kn_quality, line_dedup, simhash, suffix_dedup, toxicity
+from netlume.llm import ann, bpe, decontam, kn_quality, line_dedup, pii, simhash, suffix_dedup, toxicity
 from netlume.llm.common import UPPER
 
 QUERIES: dict = {}
@@ -92,3 +92,15 @@ def op9_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 def op7_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     done = suffix_dedup.dedup(table(spark, sf, "documents"))
     return done.withColumn("kept", F.sha2("kept", 256)).withColumnRenamed("kept", "kept_sha256")
+
+
+@query()
+def op4_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    found = pii.spans(table(spark, sf, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id",
+        *(count(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)),
+        F.sha2(pii.written(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        pii.written(F.array_sort(F.concat("base", "added"))).alias("spans"),
+    )
