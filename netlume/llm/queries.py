@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlume.llm import ann, bpe, decontam, kn_quality, line_dedup, pii, simhash, suffix_dedup, toxicity
+from netlume.llm import ann, attention_lm, bpe, decontam, kn_quality, line_dedup, pii, simhash, suffix_dedup, toxicity
 from netlume.llm.common import UPPER
 
 QUERIES: dict = {}
@@ -104,3 +104,8 @@ def op4_personal_data(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(pii.written(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         pii.written(F.array_sort(F.concat("base", "added"))).alias("spans"),
     )
+
+
+@query()
+def op3_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    return attention_lm.score(table(spark, sf, "documents"), public_tokenizers.path(RANKS))
