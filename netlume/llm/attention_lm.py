@@ -39,10 +39,10 @@ LEAD = WINDOW - STEP
 WIDTH = 16
 #: Rarer words are spelled with the first ids of the vocabulary only, single bytes and the shortest merges.
 SPELLING = 640
-SINGLE = 144
+SINGLE = 96
 TOPICS, CUES = 6, 128
 #: Classes of rarer ids by frequency: rests of words, starts of words, whole words of each topic.
-BANDS = (12, 4, *[6] * TOPICS)
+BANDS = (8, 4, *[4] * TOPICS)
 CLASSES = SINGLE + sum(BANDS)
 FREQUENT, FREQUENT_FROM = 1 << 17, 8
 #: Words remembered per Python worker in each of two generations; forgetting changes no result.
@@ -247,11 +247,9 @@ def id_counts(words: DataFrame, shared: Shared) -> np.ndarray:
         code = shared.get()
         total = np.zeros(len(code.kind), np.int64)
         for frame in frames:
-            for word, c in zip(frame["word"], frame["c"]):
-                if word:
-                    np.add.at(total, code.ids([word])[0][:-1], c)
-                else:
-                    total[code.end] += c
+            words, c = list(frame["word"]), frame["c"].to_numpy()
+            ids = [code.ids([w])[0][:-1] if w else np.array([code.end]) for w in words]
+            np.add.at(total, np.concatenate(ids), np.repeat(c, [len(x) for x in ids]))
         at = np.flatnonzero(total)
         yield pd.DataFrame({"id": at, "c": total[at]})
 
@@ -302,7 +300,7 @@ def word_topics(texts: DataFrame, parts: tuple, topic_docs: int) -> np.ndarray:
             for text in frame["text"]:
                 ids = code.ids(words_of(text))[0]
                 topic = int(np.argmax(centres @ cue_shares(ids, code.first)))
-                total[topic] += np.bincount(ids[ids >= code.first] - code.first, minlength=size)
+                np.add.at(total[topic], ids[ids >= code.first] - code.first, 1)
         yield pd.DataFrame({"topic": range(TOPICS), "counts": [x.tobytes() for x in total]})
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
@@ -440,7 +438,7 @@ def _subword_parts(value):
 
 
 def score(
-    docs: DataFrame, ranks_file: str, share: int = 24, shard_docs: int = 512, rounds: int = 2, rate: float = 0.02, topic_docs: int = 2000
+    docs: DataFrame, ranks_file: str, share: int = 32, shard_docs: int = 512, rounds: int = 2, rate: float = 0.02, topic_docs: int = 2000
 ) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     spark = docs.sparkSession
