@@ -245,7 +245,6 @@ def repeated_ranges(docs: DataFrame, span: int = 200, gram: int = 50, chunk: int
     return hits.select("doc_id", "row", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
 
 
-@F.pandas_udf("n_removed long, n_spans long, kept binary")
 def _remove(texts: pd.Series, a: pd.Series, b: pd.Series) -> pd.DataFrame:
     out = []
     for text, lo, hi in zip(texts, a, b):
@@ -256,9 +255,8 @@ def _remove(texts: pd.Series, a: pd.Series, b: pd.Series) -> pd.DataFrame:
         np.add.at(edge, lo, 1)
         np.add.at(edge, hi, -1)
         gone = np.cumsum(edge[:-1]) > 0
-        raw = np.frombuffer(text, np.uint8)
         spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-        out.append((int(gone.sum()), spans, raw[~gone].tobytes()))
+        out.append((int(gone.sum()), spans, np.frombuffer(text, np.uint8)[~gone].tobytes()))
     return pd.DataFrame(out, columns=["n_removed", "n_spans", "kept"])
 
 
@@ -270,7 +268,8 @@ def dedup(docs: DataFrame, span: int = 200, **options) -> DataFrame:
     per_row = ranges.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(pairs.alias("r"))
     rows = utf8_of(docs).withColumn("row", F.xxhash64("text"))
     joined = rows.join(per_row, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left")
-    done = _remove("text", F.col("r.a"), F.col("r.b"))
+    remove = F.pandas_udf(_remove, "n_removed long, n_spans long, kept binary")
+    done = remove("text", F.col("r.a"), F.col("r.b"))
     return joined.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), done.alias("d")).select(
         "doc_id", "n_bytes", "d.*"
     )
