@@ -21,6 +21,7 @@ from netlume.detectors.base import rows_to_numpy
 
 
 MIN_ROWS_PER_WORKER = 4_000
+MAX_WORKERS = 1_024
 
 
 class LocalModel(Protocol):
@@ -88,8 +89,8 @@ def train_rounds(
     patience: int | None = None,
     tolerance: float = 1e-4,
 ) -> np.ndarray:
-    """At most ``rounds`` rounds; with ``patience``, stop once the held-out loss stops falling and
-    return the best state seen."""
+    """At most ``rounds`` rounds; with ``patience``, stop once the held-out loss stops falling. Returns
+    the best state seen, the last one included."""
     best, best_loss, stale = state, float("inf"), 0
     for i in range(rounds):
         new, loss = train_round(data, load, state, seed + i)
@@ -100,21 +101,28 @@ def train_rounds(
             if stale >= patience:
                 return best
         state = new
+    if patience is not None and best_loss < float("inf"):
+        loss = train_round(data, load, state, seed + rounds)[1]  # a round reports the loss it began with
+        return best if loss is not None and best_loss < loss else state
     return state
 
 
 def with_workers(data: DataFrame, site: str | None, rows_per_worker: int = 1_000_000) -> DataFrame:
     """Number the local models and lay the rows out by them, in hash order.
 
-    Without sites every task is a worker, with enough rows for a useful local epoch. A site larger than ``rows_per_worker`` is shared by several
-    workers, so one site that holds a third of all rows does not end up in one task; its rows are
-    dealt out by the task they are read in. The weighted average over workers equals the average over
-    sites of the average within each site.
+    Without sites there is one worker for ``MIN_ROWS_PER_WORKER`` rows, at most ``MAX_WORKERS``; rows belong to
+    a worker by a hash, so the fitted model does not depend on how the table is stored or read. A site
+    larger than ``rows_per_worker`` is shared by several workers in the same way, so one site that holds
+    a third of all rows does not end up in one task. The weighted average over workers equals the average
+    over sites of the average within each site.
     """
+    order = F.xxhash64(*data.columns)
     if site is None:
-        workers = max(1, data.count() // MIN_ROWS_PER_WORKER)
-        return data.coalesce(workers).withColumn("worker", F.spark_partition_id())
-    largest = data.groupBy(site).count().agg(F.max("count")).first()[0] or 0
-    shares = max(1, ceil(largest / rows_per_worker))
-    worker = (F.col(site) * shares + F.spark_partition_id() % shares).cast("int")
-    return data.withColumn("worker", worker).repartition("worker").sortWithinPartitions("worker", "_h")
+        workers = min(MAX_WORKERS, max(1, data.count() // MIN_ROWS_PER_WORKER))
+        worker = F.pmod(order, F.lit(workers)).cast("int")
+    else:
+        largest = data.groupBy(site).count().agg(F.max("count")).first()[0] or 0
+        shares = max(1, ceil(largest / rows_per_worker))
+        worker = (F.col(site) * shares + F.pmod(order, F.lit(shares))).cast("int")
+    laid = data.withColumn("worker", worker).withColumn("_order", order)
+    return laid.repartition("worker").sortWithinPartitions("worker", "_order").drop("_order")

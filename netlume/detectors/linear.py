@@ -72,5 +72,8 @@ class GaussianBayes(Detector):
         )
 
     def fit_classes(self, train: DataFrame, classes: list[str]) -> Fitted:
-        indexed = with_vector(class_index(train, classes, "label"))
-        return predicted_class(NaiveBayes(modelType="gaussian", labelCol="label").fit(indexed), classes)
+        # the estimator numbers the classes that train has; a class only in test is never predicted
+        here = {r["attack"] for r in train.select("attack").distinct().collect()}
+        known = [name for name in classes if name in here]
+        indexed = with_vector(class_index(train, known, "label"))
+        return predicted_class(NaiveBayes(modelType="gaussian", labelCol="label").fit(indexed), known)

@@ -83,13 +83,9 @@ class IsolationForest(Detector):
     sample: int = 256
 
     def _samples(self, benign: DataFrame) -> DataFrame:
-        """(tree, x): up to ``sample`` rows per tree. Trees share no row if there are enough rows,
-        otherwise each draws its own subset of a pool that is smaller than trees * sample."""
-        wanted = self.trees * self.sample
-        pool = stage(benign_subsample(benign, "y", "_h", wanted).select("_h", "x"), "tree-pool")
-        if pool.count() >= wanted:
-            place = F.row_number().over(Window.orderBy("_h")) - 1  # over `wanted` rows
-            return pool.withColumn("tree", (place % self.trees).cast("int"))
+        """(tree, x): ``sample`` rows per tree, drawn for each tree by its own hash from a pool of
+        trees * sample benign rows (all of them, if there are fewer)."""
+        pool = stage(benign_subsample(benign, "y", "_h", self.trees * self.sample).select("_h", "x"), "tree-pool")
         each = pool.withColumn("tree", F.explode(F.expr(f"sequence(0, {self.trees - 1})")))
         draw = Window.partitionBy("tree").orderBy(F.md5(F.concat_ws("|", "tree", "_h")))
         return each.withColumn("_rn", F.row_number().over(draw)).where(F.col("_rn") <= self.sample)
@@ -128,6 +124,7 @@ class IsolationForest(Detector):
 # ---- local outlier factor ----------------------------------------------------------------------
 
 QUERY_ROWS = 256
+CANDIDATES = 100_000
 
 
 def nearest(
@@ -135,24 +132,31 @@ def nearest(
 ) -> tuple[np.ndarray, np.ndarray]:
     """Distances and positions of the k nearest reference rows; ``own`` excludes the row itself.
 
-    A matrix product finds candidates; their distances are then taken from differences, which keeps
-    close points exact. Ties are broken by position.
+    A matrix product on centred rows finds candidates: all whose rough distance is within the rounding
+    bound of the k-th. Their distances are then taken from differences. Ties are broken by position.
     """
-    norms = (reference**2).sum(axis=1)
-    more = min(len(reference), k + 12)
+    centre = reference.mean(axis=0)
+    moved = reference - centre
+    norms = (moved**2).sum(axis=1)
     dist, pos = [], []
     for at in range(0, len(queries), QUERY_ROWS):
-        q = queries[at : at + QUERY_ROWS]
-        rough = norms - 2.0 * (q @ reference.T)
+        q = queries[at : at + QUERY_ROWS] - centre
+        own_norms = (q**2).sum(axis=1)
+        rough = own_norms[:, None] + norms - 2.0 * (q @ moved.T)
         if own is not None:
             rough[np.arange(len(q)), own[at : at + QUERY_ROWS]] = np.inf
-        near = np.sort(np.argpartition(rough, more - 1, axis=1)[:, :more], axis=1)
-        exact = np.sqrt(((reference[near] - q[:, None, :]) ** 2).sum(axis=2))
-        if own is not None:
-            exact[near == own[at : at + QUERY_ROWS, None]] = np.inf
-        order = np.argsort(exact, axis=1, kind="stable")[:, :k]
-        dist.append(np.take_along_axis(exact, order, axis=1))
-        pos.append(np.take_along_axis(near, order, axis=1))
+        kth = np.partition(rough, k - 1, axis=1)[:, k - 1]
+        slack = 8 * (q.shape[1] + 4) * np.finfo(float).eps * (own_norms + norms.max())
+        rows, cols = np.nonzero((rough <= (kth + slack)[:, None]) & (rough < np.inf))
+        exact = np.empty(len(rows))
+        for lo in range(0, len(rows), CANDIDATES):
+            part = slice(lo, lo + CANDIDATES)
+            exact[part] = np.sqrt(((reference[cols[part]] - queries[at + rows[part]]) ** 2).sum(axis=1))
+        order = np.lexsort((cols, exact, rows))
+        rows, cols, exact = rows[order], cols[order], exact[order]
+        first = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+        dist.append(exact[first].reshape(len(q), k))
+        pos.append(cols[first].reshape(len(q), k))
     return np.vstack(dist), np.vstack(pos)
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from netlume.staging import stage
 
 ROWS_PER_BUCKET = 1_000_000
+LAST = "~"  # sorts after every hash
 HASH_PREFIX = 4  # hex digits: 65,536 buckets per stratum
 
 
@@ -60,26 +61,43 @@ def cut_pieces(
 ) -> DataFrame:
     """Number the pieces into which ``ranks`` cut each stratum in hash order: 0, 1, ... len(ranks).
 
-    ``ranks`` are expressions over ``n``, the size of the stratum. The wide rows are not shuffled:
-    each compares its hash with the cut values of its stratum.
+    ``ranks`` are expressions over ``n``, the size of the stratum; a NULL stratum is cut like any other.
+    The wide rows are not shuffled: each compares its hash with the cut values of its stratum. Rows that
+    share the hash at a cut (copies) are dealt to both sides of it by a second, random hash.
     """
-    totals = df.groupBy(*strata).agg(F.count("*").alias("n"))
+    keyed = df.withColumn("_stratum", F.struct(*strata))  # structs compare equal on NULL
+    totals = keyed.groupBy("_stratum").agg(F.count("*").alias("n"))
     cuts = totals.select(
-        *strata, F.posexplode(F.array(*[r.cast("bigint") for r in ranks])).alias("cut", "rank")
+        "_stratum", F.posexplode(F.array(*[r.cast("bigint") for r in ranks])).alias("cut", "rank")
     )
-    found = rank_cuts(df, strata, hash_col, stage(cuts, "cut-ranks"))
+    found = rank_cuts(keyed, ["_stratum"], hash_col, stage(cuts, "cut-ranks"))
+    found = found.withColumn("copy_cut", F.lit(LAST))
+    split = stage(found.where(F.col("rank") < F.col("below") + F.col("ties")), "split-copies")
+    if split.isEmpty():
+        keyed = keyed.withColumn("_copy", F.lit(""))
+    else:
+        # the table is written once, so that the second hash stays the same in every later scan
+        mark = F.md5(F.monotonically_increasing_id().cast("string"))
+        keyed = stage(keyed.withColumn("_copy", mark), "marked-copies")
+        at = keyed.join(split.select("_stratum", "cut", "cut_hash"), "_stratum")
+        copies = at.where(F.col(hash_col) == F.col("cut_hash")).select("_stratum", F.col("cut").alias("_at"), "_copy")
+        need = split.select("_stratum", F.col("cut").alias("_at"), F.lit(0).alias("cut"), (F.col("rank") - F.col("below")).alias("rank"))
+        inner = rank_cuts(copies, ["_stratum", "_at"], "_copy", need).select(
+            "_stratum", F.col("_at").alias("cut"), F.col("cut_hash").alias("_inner")
+        )
+        found = found.join(inner, ["_stratum", "cut"], "left").withColumn("copy_cut", F.coalesce("_inner", "copy_cut"))
     # a rank of 0 matches no row: the empty text sorts before every hash
-    per_stratum = found.groupBy(*strata).agg(
-        *[
-            F.coalesce(F.max(F.when(F.col("cut") == i, F.col("cut_hash"))), F.lit("")).alias(f"_cut{i}")
-            for i in range(len(ranks))
-        ]
-    )
-    joined = df.join(stage(per_stratum, "stratum-cuts"), strata, "left")
+    at_cut = [
+        F.coalesce(F.max(F.when(F.col("cut") == i, F.struct("cut_hash", "copy_cut"))), F.struct(F.lit("").alias("cut_hash"), F.lit(LAST).alias("copy_cut")))
+        .alias(f"_cut{i}")
+        for i in range(len(ranks))
+    ]
+    joined = keyed.join(stage(found.groupBy("_stratum").agg(*at_cut), "stratum-cuts"), "_stratum", "left")
+    place = F.struct(F.col(hash_col).alias("cut_hash"), F.col("_copy").alias("copy_cut"))
     piece = F.lit(0)
     for i in range(len(ranks)):
-        piece = piece + F.coalesce((F.col(hash_col) > F.col(f"_cut{i}")).cast("int"), F.lit(1))
-    return joined.withColumn(out, piece).drop(*[f"_cut{i}" for i in range(len(ranks))])
+        piece = piece + F.coalesce((place > F.col(f"_cut{i}")).cast("int"), F.lit(1))
+    return joined.withColumn(out, piece).drop("_stratum", "_copy", *[f"_cut{i}" for i in range(len(ranks))])
 
 
 def running_sums(

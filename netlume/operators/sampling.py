@@ -102,15 +102,16 @@ def sample_by_rate(
 def sample_by_quota(
     df: DataFrame, label: str, sample_n: int, keys: list[str] | None = None, seed: int = SEED
 ) -> DataFrame:
-    """Exactly ``max(1, floor(sample_n * share))`` rows per label, all of them if it has fewer."""
-    sizes = stage(df.groupBy(c(label)).agg(F.count("*").alias("n")), "label-sizes")
-    if (sizes.agg(F.sum("n")).first()[0] or 0) <= sample_n:
-        return df
-    sizes = sizes.where(c(label).isNotNull())
-    total = sizes.agg(F.sum("n")).first()[0]
+    """Exactly ``max(1, floor(sample_n * share))`` rows per label, all of them if it has fewer.
+
+    One rule for every size of table. Rows without a label are a stratum like any other.
+    """
+    keyed = df.withColumn("_stratum", F.struct(c(label).alias("v")))  # structs compare equal on NULL
+    sizes = stage(keyed.groupBy("_stratum").agg(F.count("*").alias("n")), "label-sizes")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
     take = F.least(F.col("n"), quota(sample_n, F.col("n"), F.lit(total)))
-    quotas = sizes.withColumn("quota", take)
-    return _take_in_hash_order(df, [label], stage(quotas, "quotas"), keys, seed)
+    quotas = stage(sizes.withColumn("quota", take), "quotas")
+    return _take_in_hash_order(keyed, ["_stratum"], quotas, keys or df.columns, seed).drop("_stratum")
 
 
 def stratified_split(
