@@ -124,5 +124,6 @@ def with_workers(data: DataFrame, site: str | None, rows_per_worker: int = 1_000
         largest = data.groupBy(site).count().agg(F.max("count")).first()[0] or 0
         shares = max(1, ceil(largest / rows_per_worker))
         worker = (F.col(site) * shares + F.pmod(order, F.lit(shares))).cast("int")
-    laid = data.withColumn("worker", worker).withColumn("_order", order)
+    first = F.col("_h") if "_h" in data.columns else order
+    laid = data.withColumn("worker", worker).withColumn("_order", first)
     return laid.repartition("worker").sortWithinPartitions("worker", "_order").drop("_order")
