@@ -55,13 +55,12 @@ def present(text: bytes) -> np.ndarray:
     return np.flatnonzero(seen)
 
 
-def _training(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic) of labelled rows that may be learned from."""
+def _marks(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of the labels that may be learned from, one row per id."""
     marks = labels.where("toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.max("toxic").cast("int").alias("toxic")
     )
-    marks = marks.where(crc_mod(F.col("doc_id"), 5) != 0)
-    return utf8_of(docs).join(stage(marks, "toxic-marks"), "doc_id")
+    return stage(marks.where(crc_mod(F.col("doc_id"), 5) != 0), "toxic-marks")
 
 
 def _ratios(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,8 +135,8 @@ def train(
     penalty: float = 1e-5,
     rounds: int = 400,
 ) -> Shared:
-    rows = _training(docs, labels)
-    size, other, toxic = _ratios(rows)
+    texts, marks = utf8_of(docs), _marks(labels)
+    size, other, toxic = _ratios(texts.join(marks, "doc_id"))
     if not size.all():
         rate = float(size[1] / max(1, size.sum()))
         return Shared(docs.sparkSession, (np.zeros(0, np.int64), np.zeros(0), _logit(rate)), _dense)
@@ -152,9 +151,10 @@ def train(
         at = place.get()
         return pd.Series([(lambda x: x[x >= 0].astype("<i4").tobytes())(at[present(t)]) for t in texts])
 
-    # bounded: fit_rows rows of at most ``features`` numbers
-    chosen = stage(rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows), "toxic-fit")
-    sample = rows.join(F.broadcast(chosen), "doc_id").select("toxic", pick("text").alias("x")).toPandas()
+    # bounded: fit_rows ids are broadcast, and come back as rows of at most ``features`` numbers; no text is shuffled
+    found = marks.join(texts.select("doc_id"), "doc_id", "left_semi")
+    chosen = stage(found.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows), "toxic-fit")
+    sample = texts.join(F.broadcast(chosen), "doc_id").select("toxic", pick("text").alias("x")).toPandas()
     x = [np.frombuffer(b, "<i4").astype(np.int64) for b in sample["x"]]
     w, b = _fit(x, sample["toxic"].to_numpy(float), ratio[kept], penalty, rounds)
     return Shared(docs.sparkSession, (kept, w * ratio[kept], float(b)), _dense)
