@@ -100,16 +100,29 @@ def _ratios(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return docs, counts[0], counts[1]
 
 
-def _fit(x_rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, penalty: float, rounds: int):
-    """Weights and intercept of a logistic regression on present features times ``scale``, by accelerated gradient steps."""
-    row = np.repeat(np.arange(len(x_rows)), [len(x) for x in x_rows])
-    col = np.concatenate(x_rows) if len(x_rows) else np.zeros(0, np.int64)
-    value = scale[col]
+def _fit(blocks: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, scale: np.ndarray, penalty: float, rounds: int):
+    """Weights and intercept of a logistic regression on present features times ``scale``, by accelerated gradient steps.
+
+    blocks: (all present features, how many each row has) of a few rows each; numbers per feature exist for one block at a
+    time, which keeps the driver small.
+    """
     n, m = max(1, len(y)), len(scale)
+
+    def per_row(w: np.ndarray) -> np.ndarray:
+        sums = [np.bincount(np.repeat(np.arange(len(k)), k), w[x], minlength=len(k)) for x, k in blocks]
+        return np.concatenate(sums) if sums else np.zeros(0)
+
+    def per_feature(r: np.ndarray) -> np.ndarray:
+        total, at = np.zeros(m), 0
+        for x, k in blocks:
+            total += np.bincount(x, np.repeat(r[at : at + len(k)], k), minlength=m)
+            at += len(k)
+        return total * scale
+
     v = np.full(m, m**-0.5)
     largest = 1.0
     for _ in range(20):  # the largest curvature, by power iteration
-        v = np.bincount(col, value * np.bincount(row, value * v[col], minlength=n)[row], minlength=m) / n
+        v = per_feature(per_row(scale * v)) / n
         largest = np.linalg.norm(v) or 1.0
         v = v / largest
     step = 1.0 / (0.25 * (1.1 * largest + 1) + penalty)
@@ -117,9 +130,9 @@ def _fit(x_rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, penalty: fl
     w, b = np.zeros(m), np.log(rate / (1 - rate))
     look_w, look_b, t = w, b, 1.0
     for _ in range(rounds):
-        margin = np.bincount(row, value * look_w[col], minlength=n) + look_b
+        margin = per_row(scale * look_w) + look_b
         error = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y
-        grad = np.bincount(col, value * error[row], minlength=m) / n + penalty * look_w
+        grad = per_feature(error) / n + penalty * look_w
         new_w, new_b = look_w - step * grad, look_b - step * error.mean()
         t_next = (1 + np.sqrt(1 + 4 * t * t)) / 2
         look_w, look_b = new_w + (t - 1) / t_next * (new_w - w), new_b + (t - 1) / t_next * (new_b - b)
@@ -136,7 +149,8 @@ def train(
     rounds: int = 400,
 ) -> Shared:
     texts, marks = utf8_of(docs), _marks(labels)
-    size, other, toxic = _ratios(texts.join(marks, "doc_id"))
+    learnable = texts.where(crc_mod(F.col("doc_id"), 5) != 0)  # held-out texts have no mark, so they are not shuffled
+    size, other, toxic = _ratios(learnable.join(marks, "doc_id"))
     if not size.all():
         rate = float(size[1] / max(1, size.sum()))
         return Shared(docs.sparkSession, (np.zeros(0, np.int64), np.zeros(0), _logit(rate)), _dense)
@@ -154,9 +168,13 @@ def train(
     # bounded: fit_rows ids are broadcast, and come back as rows of at most ``features`` numbers; no text is shuffled
     found = marks.join(texts.select("doc_id"), "doc_id", "left_semi")
     chosen = stage(found.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows), "toxic-fit")
-    sample = texts.join(F.broadcast(chosen), "doc_id").select("toxic", pick("text").alias("x")).toPandas()
-    x = [np.frombuffer(b, "<i4").astype(np.int64) for b in sample["x"]]
-    w, b = _fit(x, sample["toxic"].to_numpy(float), ratio[kept], penalty, rounds)
+    sample = texts.join(F.broadcast(chosen), "doc_id").select("toxic", pick("text").alias("x"))
+    blocks, y = [], []
+    for batch in sample.toArrow().to_batches(max_chunksize=512):
+        toxic, x = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+        blocks.append((np.frombuffer(b"".join(x), "<i4"), np.fromiter(map(len, x), np.int64, len(x)) // 4))
+        y.append(toxic.astype(float))
+    w, b = _fit(blocks, np.concatenate(y), ratio[kept], penalty, rounds)
     return Shared(docs.sparkSession, (kept, w * ratio[kept], float(b)), _dense)
 
 
