@@ -4,15 +4,14 @@ A text is its words in lower case (A-Z) and one end. Each word, with a space bef
 public vocabulary; a frequent word (at least ``FREQUENT_FROM`` times in the training texts, ``FREQUENT`` words at most)
 goes in whole, as one more id; the others are spelled with the first ``SPELLING`` ids. The model reads ids as classes: the most frequent ids are a class each, the others share
 classes by kind (whole word, start or rest of a word), frequency and, for whole words, the topic they occur in most (topics
-are ``TOPICS`` groups of texts by their most frequent words, such as languages; their centres are fitted on at most
-``topic_docs`` texts, every training text is counted); P(id) = P(class | context) * P(id | class), the second factor from
+are ``TOPICS`` groups of texts by their most frequent words, such as languages; centres and counts take every training
+text); P(id) = P(class | context) * P(id | class), the second factor from
 counts over all training texts. One layer of masked self-attention gives P(class | context). Windows of ``WINDOW`` ids overlap by
 ``WINDOW - STEP``, so every id is scored once and sees at least that many ids before it (unless the text begins there).
 
 Counts of words and ids cover all training texts: tasks send one row per word and chunk, and the counts meet by word. The
-weights are fitted on a fixed share of the training texts, by hash, so the work follows the corpus: each round, every
-shard of about ``shard_docs`` texts starts from the same weights and streams its texts, and the results are averaged by
-tokens. Shards are made by hash, so the fit does not depend on the layout of the table.
+weights are fitted on all training texts: each round, every shard of about ``shard_docs`` texts starts from the same
+weights and streams its texts, and the results are averaged by tokens; the shards grow with the corpus. Shards are made by hash, so the fit does not depend on the layout of the table.
 
 For the base, the frequent words are sent to the tasks (a fixed bound); the others are joined by word.
 
@@ -24,6 +23,7 @@ from __future__ import annotations
 
 import base64
 from collections import Counter
+from itertools import chain, groupby
 
 import numpy as np
 import pandas as pd
@@ -39,14 +39,16 @@ LEAD = WINDOW - STEP
 WIDTH = 16
 #: Rarer words are spelled with the first ids of the vocabulary only, single bytes and the shortest merges.
 SPELLING = 640
-SINGLE = 96
+SINGLE = 144
 TOPICS, CUES = 6, 128
 #: Classes of rarer ids by frequency: rests of words, starts of words, whole words of each topic.
-BANDS = (8, 4, *[4] * TOPICS)
+BANDS = (12, 4, *[6] * TOPICS)
 CLASSES = SINGLE + sum(BANDS)
 FREQUENT, FREQUENT_FROM = 1 << 17, 8
 #: Words remembered per Python worker in each of two generations; forgetting changes no result.
 REMEMBERED = 250_000
+#: Most tasks of a training round; a task streams its shards one after another.
+PARTITIONS = 1 << 14
 LN10 = float(np.log(10))
 
 
@@ -260,37 +262,87 @@ def id_counts(words: DataFrame, shared: Shared) -> np.ndarray:
     return counts
 
 
-def cue_shares(ids: np.ndarray, first: int) -> np.ndarray:
-    """Square roots of the shares of the most frequent words in a text."""
-    n = np.sqrt(np.bincount(ids[(ids >= first) & (ids < first + CUES)] - first, minlength=CUES).astype(float))
-    return n / max(1.0, np.linalg.norm(n))
-
-
-def topic_centres(shares: np.ndarray, rounds: int = 15) -> np.ndarray:
-    """Spherical k-means, started from texts far from one another."""
-    shares = shares[shares.any(axis=1)]
-    if not len(shares):
+def cue_counts(ids: np.ndarray, first: int) -> np.ndarray:
+    """How often each of the most frequent words occurs in a text."""
+    return np.bincount(ids[(ids >= first) & (ids < first + CUES)] - first, minlength=CUES).astype("<i4")
+
+
+def cue_shares(counts: np.ndarray) -> np.ndarray:
+    """Square roots of the shares of the most frequent words in each text (the last axis)."""
+    n = np.sqrt(counts.astype(float))
+    return n / np.maximum(1.0, np.linalg.norm(n, axis=-1, keepdims=True))
+
+
+def topic_centres(cues: DataFrame, rounds: int = 15) -> np.ndarray:
+    """Spherical k-means over all rows of ``cues`` (counts as bytes), started from texts far from one another.
+
+    Sums are of whole numbers, so they do not depend on the layout of the table.
+    """
+
+    def unpack(frame):
+        return np.frombuffer(b"".join(frame["cues"]), "<i4").reshape(-1, CUES)
+
+    def sums(centres):
+        def add(frames):
+            total = np.zeros((len(centres), CUES), np.int64)
+            for frame in frames:
+                shares = cue_shares(unpack(frame))
+                near = np.argmax(np.round(shares @ centres.T, 9), axis=1)
+                np.add.at(total, near, np.rint(shares * (1 << 20)).astype(np.int64))
+            topic, cue = np.nonzero(total)
+            yield pd.DataFrame({"topic": topic, "cue": cue, "x": total[topic, cue]})
+
+        rows = cues.mapInPandas(add, "topic int, cue int, x long").groupBy("topic", "cue").agg(F.sum("x").alias("x"))
+        total = np.zeros((len(centres), CUES))
+        for r in rows.collect():  # at most TOPICS x CUES rows
+            total[r["topic"], r["cue"]] = r["x"]
+        return total
+
+    def farthest(centres):
+        def least(frames):
+            best = None
+            for frame in frames:
+                counts = unpack(frame)
+                if len(counts):
+                    near = np.round(np.max(cue_shares(counts) @ centres.T, axis=1), 9)
+                    at = np.flatnonzero(near == near.min())
+                    own = (float(near[at[0]]), min(counts[i].tobytes() for i in at))
+                    best = min(best, own) if best else own
+            if best:
+                yield pd.DataFrame({"near": [best[0]], "cues": [best[1]]})
+
+        r = cues.mapInPandas(least, "near double, cues binary").orderBy("near", "cues").first()
+        return cue_shares(np.frombuffer(r["cues"], "<i4"))
+
+    mean = sums(np.zeros((1, CUES)))
+    if not mean.any():
         return np.zeros((TOPICS, CUES))
-    centres = [shares.mean(axis=0)]
+    centres = mean / np.linalg.norm(mean)
     for _ in range(TOPICS):
-        centres.append(shares[np.argmin(np.max(shares @ np.array(centres).T, axis=1))])
-    centres = np.array(centres[1:])
+        centres = np.vstack([centres, farthest(centres)])
+    centres = centres[1:]
     for _ in range(rounds):
-        near = np.argmax(shares @ centres.T, axis=1)
-        for k in range(TOPICS):
-            if (near == k).any():
-                mean = shares[near == k].mean(axis=0)
-                centres[k] = mean / max(1e-9, np.linalg.norm(mean))
+        total = sums(centres)
+        norm = np.linalg.norm(total, axis=1, keepdims=True)
+        new = np.where(norm > 0, total / np.maximum(norm, 1), centres)
+        if np.array_equal(new, centres):
+            break
+        centres = new
     return centres
 
 
-def word_topics(texts: DataFrame, parts: tuple, topic_docs: int) -> np.ndarray:
+def word_topics(texts: DataFrame, parts: tuple) -> np.ndarray:
     """The topic in which each frequent word occurs most, counted over all training texts."""
     size = len(parts[1])
     code = Shared(texts.sparkSession, parts, _subword_parts)
-    some = texts.orderBy(F.xxhash64("doc_id", "text")).limit(topic_docs).select("text").toPandas()["text"]
-    local = code.get()
-    centres = topic_centres(np.array([cue_shares(local.ids(words_of(t))[0], local.first) for t in some]).reshape(-1, CUES))
+
+    def cues_of(frames):
+        local = code.get()
+        for frame in frames:
+            counts = [cue_counts(local.ids(words_of(t))[0], local.first) for t in frame["text"]]
+            yield pd.DataFrame({"cues": [c.tobytes() for c in counts if c.any()]}, dtype=object)
+
+    centres = topic_centres(stage(texts.select("text").mapInPandas(cues_of, "cues binary"), "lm-cues"))
     shared = Shared(texts.sparkSession, (*parts, centres), _topic_parts)
 
     def count(frames):
@@ -299,7 +351,7 @@ def word_topics(texts: DataFrame, parts: tuple, topic_docs: int) -> np.ndarray:
         for frame in frames:
             for text in frame["text"]:
                 ids = code.ids(words_of(text))[0]
-                topic = int(np.argmax(centres @ cue_shares(ids, code.first)))
+                topic = int(np.argmax(np.round(centres @ cue_shares(cue_counts(ids, code.first)), 9)))
                 np.add.at(total[topic], ids[ids >= code.first] - code.first, 1)
         yield pd.DataFrame({"topic": range(TOPICS), "counts": [x.tobytes() for x in total]})
 
@@ -354,15 +406,14 @@ def _stack(texts, code: Subwords, cls: np.ndarray, size: int):
 
 
 def fit(
-    texts: DataFrame, code: tuple, cls: np.ndarray, prior: np.ndarray, share: int, shard_docs: int, rounds: int, rate: float
+    texts: DataFrame, code: tuple, cls: np.ndarray, prior: np.ndarray, shard_docs: int, rounds: int, rate: float
 ) -> dict[str, np.ndarray]:
-    """Weights fitted on one in ``share`` of the training texts."""
+    """Weights fitted on all training texts."""
     key = F.xxhash64("doc_id", "text")
-    sample = stage(texts.where(F.pmod(key, F.lit(share)) == 0).withColumn("key", key), "lm-sample")
-    n = sample.count()
+    n = texts.count()
     shards = max(1, round(n / shard_docs))
-    bucket = F.pmod(F.floor(F.col("key") / share), F.lit(shards)).cast("int")
-    dealt = sample.withColumn("bucket", bucket).repartition(shards, "bucket").sortWithinPartitions("bucket", "key", "text")
+    rows = texts.select("text", key.alias("key"), F.pmod(key, F.lit(shards)).alias("bucket"))
+    dealt = rows.repartition(min(shards, PARTITIONS), "bucket").sortWithinPartitions("bucket", "key", "text")
     p = init(prior)
     names = list(p)
     for k in range(rounds if n else 0):
@@ -372,23 +423,12 @@ def fit(
         def run(frames, shared=shared, step=step):
             code, cls, p = shared.get()
 
-            def of_bucket():
-                last, held = None, []
-                for frame in frames:
-                    for bucket, text in zip(frame["bucket"], frame["text"]):
-                        if bucket != last and held:
-                            yield last, held
-                            held = []
-                        last = bucket
-                        held.append(text)
-                if held:
-                    yield last, held
-
-            for bucket, held in of_bucket():  # about shard_docs texts
-                w, seen = fit_stream(p, _stack(held, code, cls, 64), step)
+            rows = chain.from_iterable(zip(frame["bucket"], frame["text"]) for frame in frames)
+            for bucket, own in groupby(rows, key=lambda row: row[0]):  # about shard_docs texts
+                w, seen = fit_stream(p, _stack((text for _, text in own), code, cls, 64), step)
                 yield pd.DataFrame({"bucket": [bucket], "seen": [seen]} | {n: [x.tobytes()] for n, x in w.items()})
 
-        schema = "bucket int, seen long, " + ", ".join(f"{x} binary" for x in names)
+        schema = "bucket long, seen long, " + ", ".join(f"{x} binary" for x in names)
         got = dealt.select("bucket", "text").mapInPandas(run, schema)
         p = _average(got, p, names)
     return p
@@ -438,7 +478,7 @@ def _subword_parts(value):
 
 
 def score(
-    docs: DataFrame, ranks_file: str, share: int = 32, shard_docs: int = 512, rounds: int = 2, rate: float = 0.02, topic_docs: int = 2000
+    docs: DataFrame, ranks_file: str, shard_docs: int = 512, rounds: int = 2, rate: float = 0.02
 ) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     spark = docs.sparkSession
@@ -454,9 +494,9 @@ def score(
     parts = (ranks, [bytes(w) for w in top["word"]])
     code = Shared(spark, parts, _subword_parts)
     counts = id_counts(words, code)
-    topics = word_topics(training, parts, topic_docs)
+    topics = word_topics(training, parts)
     cls, within, prior = classes_of(counts, Subwords(*parts).kind, topics)
-    p = fit(training.select("doc_id", "text"), parts, cls, prior, share, shard_docs, rounds, rate)
+    p = fit(training.select("doc_id", "text"), parts, cls, prior, shard_docs, rounds, rate)
     logs = _log10(top["c"].to_numpy(float), n, v)
     model = Shared(spark, (*parts, cls, within, p, logs), _score_parts)
 

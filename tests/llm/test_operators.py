@@ -379,6 +379,32 @@ def test_lm_gradient_and_windows():
 # ---- all -----------------------------------------------------------------------------------------
 
 
+def test_lm_fits_on_every_text(spark):
+    """The order of words changes no count, only what the weights learn; no text may be left out of that."""
+    words = "one two three four five six seven eight nine ten".split()
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 != 1][:12]
+    probe = next(i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 1)
+
+    def score(turned):
+        rows = [(i, " ".join(words[:: -1 if i == turned else 1])) for i in ids] + [(probe, " ".join(words))]
+        return {r.doc_id: r.score for r in attention_lm.score(spark.createDataFrame(rows, "doc_id long, text string"), RANKS).collect()}[probe]
+
+    plain = score(None)
+    assert all(abs(score(i) - plain) > 1e-6 for i in ids[:3])
+
+
+def test_lm_topics_from_every_text(spark):
+    """One text of its own kind among 3,000 gets a centre, wherever it stands."""
+    rows = np.zeros((3000, attention_lm.CUES), "<i4")
+    rows[:, 0] = 3
+    rows[2345] = 0
+    rows[2345, 7] = 5
+    cues = spark.createDataFrame([(bytearray(x.tobytes()),) for x in rows], "cues binary").repartition(5)
+    centres = attention_lm.topic_centres(cues)
+    assert centres.shape == (attention_lm.TOPICS, attention_lm.CUES)
+    assert np.isclose(centres[:, 7].max(), 1) and np.isclose(centres[:, 0].max(), 1)
+
+
 def test_empty_tables(spark, labels, benchmark):
     none = spark.createDataFrame([], SCHEMA)
     assert line_dedup.dedup_report(none).count() == 0
