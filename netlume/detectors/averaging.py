@@ -20,10 +20,6 @@ from pyspark.sql import functions as F
 from netlume.detectors.base import rows_to_numpy
 
 
-MIN_ROWS_PER_WORKER = 4_000
-MAX_WORKERS = 1_024
-
-
 class LocalModel(Protocol):
     """A model whose whole state is one flat vector."""
 
@@ -107,23 +103,17 @@ def train_rounds(
     return state
 
 
-def with_workers(data: DataFrame, site: str | None, rows_per_worker: int = 1_000_000) -> DataFrame:
+def with_workers(data: DataFrame, site: str, rows_per_worker: int = 1_000_000) -> DataFrame:
     """Number the local models and lay the rows out by them, in hash order.
 
-    Without sites there is one worker for ``MIN_ROWS_PER_WORKER`` rows, at most ``MAX_WORKERS``; rows belong to
-    a worker by a hash, so the fitted model does not depend on how the table is stored or read. A site
-    larger than ``rows_per_worker`` is shared by several workers in the same way, so one site that holds
+    A site larger than ``rows_per_worker`` is shared by several workers by a hash, so one site that holds
     a third of all rows does not end up in one task. The weighted average over workers equals the average
     over sites of the average within each site.
     """
     order = F.xxhash64(*data.columns)
-    if site is None:
-        workers = min(MAX_WORKERS, max(1, data.count() // MIN_ROWS_PER_WORKER))
-        worker = F.pmod(order, F.lit(workers)).cast("int")
-    else:
-        largest = data.groupBy(site).count().agg(F.max("count")).first()[0] or 0
-        shares = max(1, ceil(largest / rows_per_worker))
-        worker = (F.col(site) * shares + F.pmod(order, F.lit(shares))).cast("int")
+    largest = data.groupBy(site).count().agg(F.max("count")).first()[0] or 0
+    shares = max(1, ceil(largest / rows_per_worker))
+    worker = (F.col(site) * shares + F.pmod(order, F.lit(shares))).cast("int")
     first = F.col("_h") if "_h" in data.columns else order
     laid = data.withColumn("worker", worker).withColumn("_order", first)
     return laid.repartition("worker").sortWithinPartitions("worker", "_order").drop("_order")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from netlume.functions.columns import c, row_hash
 from netlume.operators.metrics import PERCENTILE_GRID, THRESHOLD_GRID
 from netlume.operators.sampling import SEED
+from netlume.sources.csv import union_by_name
 
 Fitted = Callable[[DataFrame], DataFrame]
 
@@ -48,6 +49,12 @@ class Detector:
     def fit(self, train: DataFrame) -> Fitted:
         raise NotImplementedError
 
+    def fit_folds(self, train: DataFrame, folds: int) -> Fitted:
+        """Scores every row by the model that was fitted without its ``fold``. Detectors whose folds can share their
+        passes over the rows do so."""
+        models = [self.fit(train.where(F.col("fold") != i)) for i in range(folds)]
+        return lambda df: union_by_name([m(df.where(F.col("fold") == i)) for i, m in enumerate(models)])
+
     def fit_classes(self, train: DataFrame, classes: list[str]) -> Fitted:
         raise NotImplementedError
 

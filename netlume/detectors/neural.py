@@ -1,35 +1,30 @@
-"""Multilayer perceptron classifier and autoencoder, trained in averaged rounds."""
+"""Multilayer perceptron classifier and autoencoder, trained by summed gradients."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netlume.detectors.averaging import train_rounds, with_workers
-from netlume.detectors.base import Detector, Fitted, class_index, classify_in_arrow, score_in_arrow
+from netlume.detectors.base import Detector, Fitted, class_index, classify_in_arrow
+from netlume.detectors.gradient import Schedule, descend, score_models
 from netlume.operators.sampling import SEED
 
-BATCH = 200
-RATE = 1e-3
 DECAY = 1e-4
 PATIENCE = 10
 
 
 class Network:
-    """ReLU layers with Adam. ``targets`` is "class" (softmax) or "input" (reconstruction).
+    """ReLU layers over flat parameter vectors. ``targets`` is "class" (softmax) or "input" (reconstruction).
 
-    The state vector holds the parameters, both Adam moments and the step count.
+    ``models`` networks of one shape are trained together; with ``folds``, network m does not see the rows of fold m.
     """
 
-    def __init__(self, sizes: list[int], targets: str, state: np.ndarray):
-        self.sizes, self.targets = sizes, targets
-        n = parameter_count(sizes)
-        self.params, self.m, self.v = (np.array(state[i * n : (i + 1) * n]) for i in range(3))
-        self.steps = float(state[3 * n])
+    def __init__(self, sizes: list[int], targets: str, models: int = 1, folds: bool = False):
+        self.sizes, self.targets, self.models, self.folds = sizes, targets, models, folds
+        self.size = sum(a * b + b for a, b in zip(sizes, sizes[1:]))
 
     def layers(self, flat: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         out, at = [], 0
@@ -38,54 +33,67 @@ class Network:
             at += a * b + b
         return out
 
-    def forward(self, x: np.ndarray) -> list[np.ndarray]:
-        seen, layers = [x], self.layers(self.params)
+    def start(self, seed: int) -> np.ndarray:
+        rng = np.random.default_rng(seed)
+        parts = []
+        for a, b in zip(self.sizes, self.sizes[1:]):
+            bound = np.sqrt(6.0 / (a + b))
+            parts.append(rng.uniform(-bound, bound, a * b + b))
+        return np.tile(np.concatenate(parts), (self.models, 1))
+
+    def forward(self, flat: np.ndarray, x: np.ndarray) -> list[np.ndarray]:
+        seen, layers = [x], self.layers(flat)
         for i, (w, b) in enumerate(layers):
             z = seen[-1] @ w + b
             seen.append(z if i == len(layers) - 1 else np.maximum(z, 0.0))
         return seen
 
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        out = self.forward(x)[-1]
+    def predict(self, flat: np.ndarray, x: np.ndarray) -> np.ndarray:
+        out = self.forward(flat, x)[-1]
         return softmax(out) if self.targets == "class" else out
 
-    def loss(self, x: np.ndarray, t: np.ndarray) -> np.ndarray:
-        out = self.predict(x)
+    def _losses(self, out: np.ndarray, x: np.ndarray, t: np.ndarray) -> np.ndarray:
         if self.targets == "class":
-            return -np.log(np.clip(out[np.arange(len(t)), t.astype(int)], 1e-12, None))
+            return -np.log(np.clip(softmax(out)[np.arange(len(t)), t], 1e-12, None))
         return ((out - x) ** 2).mean(axis=1) / 2
 
-    def learn(self, x: np.ndarray, t: np.ndarray, rng: np.random.Generator) -> None:
-        order = rng.permutation(len(x))
-        for at in range(0, len(x), BATCH):
-            pick = order[at : at + BATCH]
-            self.step(x[pick], t[pick])
-
-    def step(self, x: np.ndarray, t: np.ndarray) -> None:
-        seen = self.forward(x)
-        if self.targets == "class":
-            delta = softmax(seen[-1])
-            delta[np.arange(len(t)), t.astype(int)] -= 1.0
-        else:
-            delta = (seen[-1] - x) / x.shape[1]
-        delta /= len(x)
-        grad = np.zeros_like(self.params)
-        pairs = list(zip(self.layers(self.params), self.layers(grad)))
-        for i in range(len(pairs) - 1, -1, -1):
-            (w, _), (gw, gb) = pairs[i]
-            gw += seen[i].T @ delta + DECAY / len(x) * w
-            gb += delta.sum(axis=0)
-            if i:
-                delta = (delta @ w.T) * (seen[i] > 0)
-        self.steps += 1.0
-        self.m = 0.9 * self.m + 0.1 * grad
-        self.v = 0.999 * self.v + 0.001 * grad**2
-        mean = self.m / (1 - 0.9**self.steps)
-        spread = self.v / (1 - 0.999**self.steps)
-        self.params = self.params - RATE * mean / (np.sqrt(spread) + 1e-8)
-
-    def state(self) -> np.ndarray:
-        return np.concatenate([self.params, self.m, self.v, [self.steps]])
+    def _rows(self, model: int, x: np.ndarray, t: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keep = fold != model if self.folds else np.ones(len(x), bool)
+        return x[keep], t[keep].astype(int)
+
+    def gradient(self, params: np.ndarray, x: np.ndarray, t: np.ndarray, fold: np.ndarray) -> tuple:
+        grads, losses, rows = np.zeros_like(params), np.zeros(self.models), np.zeros(self.models)
+        for m in range(self.models):
+            mine, want = self._rows(m, x, t, fold)
+            seen = self.forward(params[m], mine)
+            losses[m], rows[m] = self._losses(seen[-1], mine, want).sum(), len(mine)
+            if self.targets == "class":
+                delta = softmax(seen[-1])
+                delta[np.arange(len(want)), want] -= 1.0
+            else:
+                delta = (seen[-1] - mine) / x.shape[1]
+            pairs = list(zip(self.layers(params[m]), self.layers(grads[m])))
+            for i in range(len(pairs) - 1, -1, -1):
+                (w, _), (gw, gb) = pairs[i]
+                gw += seen[i].T @ delta
+                gb += delta.sum(axis=0)
+                if i:
+                    delta = (delta @ w.T) * (seen[i] > 0)
+        return grads, losses, rows
+
+    def loss(self, params: np.ndarray, x: np.ndarray, t: np.ndarray, fold: np.ndarray) -> tuple:
+        losses, rows = np.zeros(self.models), np.zeros(self.models)
+        for m in range(self.models):
+            mine, want = self._rows(m, x, t, fold)
+            losses[m], rows[m] = self._losses(self.forward(params[m], mine)[-1], mine, want).sum(), len(mine)
+        return losses, rows
+
+    def penalty(self, params: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(params)
+        for m in range(self.models):
+            for (w, _), (gw, _) in zip(self.layers(params[m]), self.layers(out[m])):
+                gw += DECAY / rows[m] * w
+        return out
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -93,37 +101,8 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def parameter_count(sizes: list[int]) -> int:
-    return sum(a * b + b for a, b in zip(sizes, sizes[1:]))
-
-
-def first_state(sizes: list[int], seed: int) -> np.ndarray:
-    rng = np.random.default_rng(seed)
-    parts = []
-    for a, b in zip(sizes, sizes[1:]):
-        bound = np.sqrt(6.0 / (a + b))
-        parts.append(rng.uniform(-bound, bound, a * b + b))
-    params = np.concatenate(parts)
-    return np.concatenate([params, np.zeros(2 * len(params) + 1)])
-
-
-def tenth_held_out() -> Column:
-    """A fixed tenth of the rows, by hash digits that the sampling order hardly depends on."""
-    return F.conv(F.substring("_h", 25, 6), 16, 10).cast("int") % 10 == 0
-
-
-def train_network(
-    train: DataFrame, target: Column, sizes: list[int], targets: str, rounds: int, patience: int | None
-) -> Network:
-    data = with_workers(
-        train.select("x", target.cast("int").alias("t"), tenth_held_out().alias("holdout")), None
-    ).persist()
-    try:
-        load = partial(Network, sizes, targets)
-        state = train_rounds(data, load, first_state(sizes, SEED), rounds, SEED, patience)
-    finally:
-        data.unpersist()
-    return load(state)
+def width_of(train: DataFrame) -> int:
+    return len(train.select("x").first()["x"])
 
 
 @dataclass
@@ -133,17 +112,21 @@ class Mlp(Detector):
     rounds: int = 300
     patience: int = PATIENCE
 
-    def _train(self, train: DataFrame, target: Column, k: int) -> Network:
-        width = len(train.select("x").first()["x"])
-        return train_network(train, target, [width, *self.hidden, k], "class", self.rounds, self.patience)
+    def _train(self, train: DataFrame, target: Column, k: int, folds: int = 0) -> tuple[Network, np.ndarray]:
+        net = Network([width_of(train), *self.hidden, k], "class", max(folds, 1), folds > 0)
+        return net, descend(train, target, net, net.start(SEED), Schedule(self.rounds, self.patience), True)
 
     def fit(self, train: DataFrame) -> Fitted:
-        net = self._train(train, F.col("y"), 2)
-        return lambda df: score_in_arrow(df, lambda x: net.predict(x)[:, 1])
+        net, params = self._train(train, F.col("y"), 2)
+        return lambda df: score_models(df, lambda x, m: net.predict(params[m], x)[:, 1], False)
+
+    def fit_folds(self, train: DataFrame, folds: int) -> Fitted:
+        net, params = self._train(train, F.col("y"), 2, folds)
+        return lambda df: score_models(df, lambda x, m: net.predict(params[m], x)[:, 1], True)
 
     def fit_classes(self, train: DataFrame, classes: list[str]) -> Fitted:
-        net = self._train(class_index(train, classes, "label"), F.col("label"), len(classes))
-        return lambda df: classify_in_arrow(df, net.predict, classes)
+        net, params = self._train(class_index(train, classes, "label"), F.col("label"), len(classes))
+        return lambda df: classify_in_arrow(df, lambda x: net.predict(params[0], x), classes)
 
 
 @dataclass
@@ -157,9 +140,15 @@ class Autoencoder(Detector):
     rounds: int = 100
     patience: int = PATIENCE
 
+    def _score(self, train: DataFrame, folds: int) -> Fitted:
+        benign, width = train.where(F.col("y") == 0), width_of(train)
+        net = Network([width, *self.hidden, width], "input", max(folds, 1), folds > 0)
+        params = descend(benign, F.lit(0), net, net.start(SEED), Schedule(self.rounds, self.patience), True)
+        error = lambda x, m: ((net.predict(params[m], x) - x) ** 2).mean(axis=1)
+        return lambda df: score_models(df, error, folds > 0)
+
     def fit(self, train: DataFrame) -> Fitted:
-        benign = train.where(F.col("y") == 0)
-        width = len(train.select("x").first()["x"])
-        sizes = [width, *self.hidden, width]
-        net = train_network(benign, F.lit(0), sizes, "input", self.rounds, self.patience)
-        return lambda df: score_in_arrow(df, lambda x: ((net.predict(x) - x) ** 2).mean(axis=1))
+        return self._score(train, 0)
+
+    def fit_folds(self, train: DataFrame, folds: int) -> Fitted:
+        return self._score(train, folds)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netlume.detectors.base import Detector, Fitted, rows_to_numpy, score_in_arrow
-from netlume.operators.ordering import exact_quantiles
+from netlume.operators.selection import exact_quantiles
 from netlume.operators.sampling import SEED, benign_subsample
 from netlume.staging import stage
 

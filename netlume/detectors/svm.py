@@ -1,49 +1,36 @@
 """Hinge-loss linear model with sigmoid calibration.
 
 Three parts, one model per part and class, fitted on the other parts and calibrated on its own part;
-the probability is the mean over the parts. All of them are trained in the same passes over the rows
-and calibrated in the same aggregates, so the number of jobs does not grow with the classes.
+the probability is the mean over the parts. All of them, and those of all folds, are trained in the same
+summed gradient steps and calibrated in the same aggregates, so the number of jobs does not grow with the classes.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netlume.detectors.averaging import train_rounds, with_workers
-from netlume.detectors.base import (
-    Detector,
-    Fitted,
-    class_index,
-    classify_in_arrow,
-    rows_to_numpy,
-    score_in_arrow,
-)
+from netlume.detectors.base import Detector, Fitted, class_index, classify_in_arrow, rows_to_numpy
+from netlume.detectors.gradient import NO_FOLD, Schedule, descend, score_models
 from netlume.operators.sampling import SEED, stratified_parts
 from netlume.staging import stage
 
 DECAY = 1e-4
-STEP_ROWS = 32
-FIRST_STEP = 1000.0  # the step size 1 / (DECAY * (FIRST_STEP + t)) starts at 10
+RATE = 2e-3
 NEWTON_STEPS = 25
 
 
 class HingeUnits:
-    """``parts * k`` linear units. ``t`` is class * parts + part; a unit skips the rows of its part.
+    """``parts * k`` linear units per model. ``t`` is class * parts + part; a unit skips the rows of its part, and with
+    ``folds`` model m skips the rows of fold m."""
 
-    The state is the average of the weights over the local epoch, and the step count.
-    """
-
-    def __init__(self, parts: int, k: int, width: int, state: np.ndarray):
-        self.parts, self.k, self.width = parts, k, width
-        weights = np.array(state[:-1]).reshape(parts * k, width + 1)
-        self.w, self.steps = weights, float(state[-1])
-        self.total, self.count = np.zeros_like(weights), 0
+    def __init__(self, parts: int, k: int, width: int, models: int = 1, folds: bool = False):
+        self.parts, self.k, self.width, self.models, self.folds = parts, k, width, models, folds
+        self.units, self.size = parts * k, parts * k * (width + 1)
 
     def wanted(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Per row and unit: the side (+1 or -1) and whether the unit learns from the row."""
@@ -53,57 +40,63 @@ class HingeUnits:
         learns = np.repeat(part[:, None] != np.arange(self.parts), self.k, axis=1)
         return side, learns
 
-    def margins(self, x: np.ndarray) -> np.ndarray:
-        return x @ self.w[:, :-1].T + self.w[:, -1]
-
-    def learn(self, x: np.ndarray, t: np.ndarray, rng: np.random.Generator) -> None:
-        side, learns = self.wanted(t)
-        ones = np.hstack([x, np.ones((len(x), 1))])
-        order = rng.permutation(len(x))
-        for at in range(0, len(x), STEP_ROWS):
-            pick = order[at : at + STEP_ROWS]
-            rate = 1.0 / (DECAY * (FIRST_STEP + self.steps))
-            z = ones[pick] @ self.w.T
-            push = side[pick] * learns[pick] * (side[pick] * z < 1.0)
-            self.w = self.w + rate * (push.T @ ones[pick]) / np.maximum(learns[pick].sum(axis=0), 1)[:, None]
-            self.w[:, :-1] *= 1.0 - rate * DECAY
-            self.total += self.w
-            self.count += 1
-            self.steps += 1.0
-
-    def loss(self, x: np.ndarray, t: np.ndarray) -> np.ndarray:
-        side, learns = self.wanted(t)
-        return (np.maximum(0.0, 1.0 - side * self.margins(x)) * learns).mean(axis=1)
-
-    def state(self) -> np.ndarray:
-        return np.append((self.total / max(self.count, 1)).ravel(), self.steps)
+    def margins(self, flat: np.ndarray, x: np.ndarray) -> np.ndarray:
+        w = flat.reshape(self.units, self.width + 1)
+        return x @ w[:, :-1].T + w[:, -1]
+
+    def _each(self, params: np.ndarray, x: np.ndarray, t: np.ndarray, fold: np.ndarray):
+        """Per model: its rows, sides, and the rows' slack where a unit learns from them."""
+        for m in range(self.models):
+            keep = fold != m if self.folds else np.ones(len(x), bool)
+            side, learns = self.wanted(t[keep])
+            yield m, x[keep], side, np.maximum(0.0, 1.0 - side * self.margins(params[m], x[keep])) * learns
+
+    def gradient(self, params: np.ndarray, x: np.ndarray, t: np.ndarray, fold: np.ndarray) -> tuple:
+        grads, (losses, rows) = np.zeros_like(params), (np.zeros(self.models), np.zeros(self.models))
+        for m, mine, side, slack in self._each(params, x, t, fold):
+            push = side * (slack > 0)
+            grads[m] = -np.hstack([push.T @ mine, push.sum(axis=0)[:, None]]).ravel()
+            losses[m], rows[m] = slack.sum() / self.units, len(mine) * (self.parts - 1) / self.parts
+        return grads, losses, rows
+
+    def loss(self, params: np.ndarray, x: np.ndarray, t: np.ndarray, fold: np.ndarray) -> tuple:
+        losses, rows = np.zeros(self.models), np.zeros(self.models)
+        for m, mine, _, slack in self._each(params, x, t, fold):
+            losses[m], rows[m] = slack.sum() / self.units, len(mine) * (self.parts - 1) / self.parts
+        return losses, rows
+
+    def penalty(self, params: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        out = DECAY * params.reshape(self.models, self.units, self.width + 1)
+        out[:, :, -1] = 0.0
+        return out.reshape(params.shape)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -500, 500)))
 
 
-def held_margins(data: DataFrame, model: HingeUnits) -> DataFrame:
-    """(unit, t, m): per row the margins of the units of its own part, which did not learn from it."""
-    parts, k = model.parts, model.k
+def held_margins(data: DataFrame, model: HingeUnits, params: np.ndarray) -> DataFrame:
+    """(unit, t, m): per row the margins of the units of its own part, which did not learn from it, of every model that
+    learnt from the row's fold. Units are numbered through all models."""
 
     def work(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            t = batch.column("t").to_numpy(zero_copy_only=False)
+            x = rows_to_numpy(batch.column("x"))
+            t, fold = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("t", "fold"))
             side, learns = model.wanted(t)
-            rows, units = np.nonzero(~learns)
-            m = model.margins(rows_to_numpy(batch.column("x")))
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "unit": pa.array(units, pa.int32()),
-                    "t": pa.array((side[rows, units] > 0).astype(np.int32), pa.int32()),
-                    "m": pa.array(m[rows, units], pa.float64()),
-                }
-            )
-
-    assert parts * k == len(model.w)
+            for m in range(model.models):
+                rows, units = np.nonzero(~learns & ((fold != m) | (not model.folds))[:, None])
+                made = model.margins(params[m], x)
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "unit": pa.array(units + m * model.units, pa.int32()),
+                        "t": pa.array((side[rows, units] > 0).astype(np.int32), pa.int32()),
+                        "m": pa.array(made[rows, units], pa.float64()),
+                    }
+                )
+
     return data.mapInArrow(work, "unit int, t int, m double")
 
 
@@ -159,24 +152,36 @@ def newton_step(sums: np.ndarray) -> np.ndarray:
 @dataclass
 class PlattSvm(Detector):
     name: str = "sgd"
-    rounds: int = 20
+    rounds: int = 1000
+    patience: int = 5
+    tolerance: float = 1e-3
     parts: int = 3
 
-    def _train(self, train: DataFrame, target: str, k: int):
-        """Function from rows to calibrated probabilities, shape (rows, parts, k)."""
-        width = len(train.select("x").first()["x"])
+    def _train(self, train: DataFrame, target: str, k: int, folds: int = 0):
+        """Function from rows and a model's number to calibrated probabilities, shape (rows, parts, k)."""
         code = (F.col(target) * self.parts + F.col("_part")).cast("int")
-        data = with_workers(train.select("x", code.alias("t"), F.lit(False).alias("holdout")), None).persist()
-        load = partial(HingeUnits, self.parts, k, width)
-        units = self.parts * k
-        model = load(train_rounds(data, load, np.zeros(units * (width + 1) + 1), self.rounds, SEED))
-        curves = platt_sigmoids(stage(held_margins(data, model), "margins"), units)
-        data.unpersist()
-        return lambda x: sigmoid(model.margins(x) * curves[:, 0] + curves[:, 1]).reshape(len(x), self.parts, k)
+        model = HingeUnits(self.parts, k, len(train.select("x").first()["x"]), max(folds, 1), folds > 0)
+        plan = Schedule(self.rounds, self.patience, self.tolerance, RATE, fading=True)
+        params = descend(train, code, model, np.zeros((model.models, model.size)), plan, False)
+        fold = F.col("fold").cast("int") if folds else F.lit(NO_FOLD)
+        held = held_margins(train.select("x", code.alias("t"), fold.alias("fold")), model, params)
+        curves = platt_sigmoids(stage(held, "margins"), model.models * model.units).reshape(model.models, model.units, 2)
+
+        def probability(x: np.ndarray, m: int) -> np.ndarray:
+            z = model.margins(params[m], x)
+            return sigmoid(z * curves[m, :, 0] + curves[m, :, 1]).reshape(len(x), self.parts, k)
+
+        return probability
+
+    def _binary(self, train: DataFrame, folds: int) -> Fitted:
+        probability = self._train(stratified_parts(train, "y", "_h", self.parts, "_part"), "y", 1, folds)
+        return lambda df: score_models(df, lambda x, m: probability(x, m)[:, :, 0].mean(axis=1), folds > 0)
 
     def fit(self, train: DataFrame) -> Fitted:
-        probability = self._train(stratified_parts(train, "y", "_h", self.parts, "_part"), "y", 1)
-        return lambda df: score_in_arrow(df, lambda x: probability(x)[:, :, 0].mean(axis=1))
+        return self._binary(train, 0)
+
+    def fit_folds(self, train: DataFrame, folds: int) -> Fitted:
+        return self._binary(train, folds)
 
     def fit_classes(self, train: DataFrame, classes: list[str]) -> Fitted:
         indexed = class_index(train, classes, "label")
@@ -184,7 +189,7 @@ class PlattSvm(Detector):
         probability = self._train(parted, "label", len(classes))
 
         def scores(x: np.ndarray) -> np.ndarray:
-            p = probability(x)
+            p = probability(x, 0)
             return (p / np.maximum(p.sum(axis=2, keepdims=True), 1e-300)).mean(axis=1)
 
         return lambda df: classify_in_arrow(df, scores, classes)

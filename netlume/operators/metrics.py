@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netlume.functions.columns import c
-from netlume.operators.ordering import ROWS_PER_BUCKET, exact_quantiles, running_sums
+from netlume.operators.ordering import running_sums
+from netlume.operators.selection import exact_quantiles
 
 THRESHOLD_GRID = [i / 100 for i in range(10, 91, 5)]
 PERCENTILE_GRID = [i / 100 for i in range(5, 100, 5)]
@@ -52,14 +53,14 @@ def binary_rates(confusion: DataFrame) -> DataFrame:
 
 
 def ranking_metrics(
-    df: DataFrame, true: str, score: str, by: list[str] = (), rows_per_bucket: int = ROWS_PER_BUCKET
+    df: DataFrame, true: str, score: str, by: list[str] = (), ranges: int | None = None
 ) -> DataFrame:
-    """ROC-AUC (ties count half) and average precision (step rule) per group."""
+    """ROC-AUC (ties count half) and average precision (step rule) per group, from ``ranges`` sorted ranges of scores."""
     by = list(by)
     keys = by or ["_all"]
     source = df if by else df.withColumn("_all", F.lit(0))
     sums = {"pos": F.col(true), "neg": 1 - F.col(true)}
-    run = running_sums(source, score, sums, keys, descending=True, rows_per_bucket=rows_per_bucket)
+    run = running_sums(source, score, sums, keys, descending=True, ranges=ranges)
     area = F.sum(F.col("neg").cast("double") * (F.col("cum_pos") - F.col("pos") / 2))
     steps = F.sum(F.col("pos") * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg")))
     pos, neg = F.sum("pos").cast("double"), F.sum("neg").cast("double")

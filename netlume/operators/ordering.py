@@ -1,21 +1,20 @@
 """Exact order statistics over tables of any size.
 
 Nothing here sorts the wide table. Values are first counted per distinct value (copies collapse
-before the shuffle), then cumulated in two levels: over the buckets of a group, and inside a bucket.
+before the shuffle), then cumulated in two levels: inside sorted ranges, and over the table of ranges.
 No window ever spans a whole stratum of rows.
 """
 
 from __future__ import annotations
 
-from math import ceil
-
-from pyspark.ml.feature import Bucketizer
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from netlume.staging import stage
 
-ROWS_PER_BUCKET = 1_000_000
 LAST = "~"  # sorts after every hash
 HASH_PREFIX = 4  # hex digits: 65,536 buckets per stratum
 
@@ -106,84 +105,56 @@ def running_sums(
     sums: dict[str, Column],
     by: list[str],
     descending: bool = False,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    ranges: int | None = None,
 ) -> DataFrame:
-    """Per distinct value: each sum, and its running total ``cum_<name>`` in value order."""
+    """Per distinct value: each sum, and its running total ``cum_<name>`` in value order.
+
+    A prefix scan over sorted ranges: the distinct values are dealt out by (by..., value), every task adds up its own
+    range, and the small table of the sums of all ranges gives each range its offset. ``ranges`` fixes their number;
+    without it Spark chooses one by size.
+    """
+    keys, names = [f"_k{i}" for i in range(len(by))], list(sums)
     grouped = stage(
         df.where(F.col(value).isNotNull())
         .groupBy(*by, value)
         .agg(*[F.sum(col).cast("bigint").alias(name) for name, col in sums.items()]),
         "distinct-values",
     )
-    order = F.col(value).desc() if descending else F.col(value).asc()
-    n_buckets = ceil(grouped.count() / rows_per_bucket)
-    if n_buckets <= 1:
-        w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        return grouped.withColumns({f"cum_{s}": F.sum(s).over(w) for s in sums})
-
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    edges = sorted(set(grouped.approxQuantile(value, probs, 0.25 / n_buckets)))
-    splits = [float("-inf"), *edges, float("inf")]
-    bucketed = Bucketizer(splits=splits, inputCol=value, outputCol="_bucket").transform(grouped)
-    bucket_order = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
-    before = Window.partitionBy(*by).orderBy(bucket_order).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        bucketed.groupBy(*by, "_bucket")
-        .agg(*[F.sum(s).alias(f"_sum_{s}") for s in sums])
-        .select(
-            *by,
-            "_bucket",
-            *[F.coalesce(F.sum(f"_sum_{s}").over(before), F.lit(0)).alias(f"_off_{s}") for s in sums],
-        )
-    )
-    w = Window.partitionBy(*by, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        bucketed.join(stage(offsets, "bucket-offsets"), [*by, "_bucket"])
-        .withColumns({f"cum_{s}": F.sum(s).over(w) + F.col(f"_off_{s}") for s in sums})
-        .drop("_bucket", *[f"_off_{s}" for s in sums])
-    )
-
-
-def exact_quantiles(
-    df: DataFrame,
-    value: str,
-    probs: list[float],
-    by: list[str] = (),
-    rows_per_bucket: int = ROWS_PER_BUCKET,
-) -> DataFrame:
-    """Linear-interpolation quantiles per group: (by..., prob, quantile). NULLs are ignored."""
-    by = list(by)
-    keys = by or ["_all"]
-    source = df if by else df.withColumn("_all", F.lit(0))
-    running = running_sums(
-        source.select(*keys, value), value, {"n": F.lit(1)}, keys, rows_per_bucket=rows_per_bucket
-    )
-    sizes = stage(running.groupBy(*keys).agg(F.sum("n").alias("_size")), "group-sizes")
-    wanted = (
-        sizes.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-        .withColumn("_pos", F.round((F.col("_size") - 1) * F.col("prob"), 9))
-        .withColumn("_lo", F.floor("_pos"))
-        .withColumn("_hi", F.ceil("_pos"))
-    )
-    # wanted positions travel to the rows as one array per group, so rows are not multiplied
-    spots = wanted.groupBy(*keys).agg(
-        F.array_distinct(F.flatten(F.collect_list(F.array("_lo", "_hi")))).alias("_spots")
-    )
-    # 0-based position p lies in the value with cum - n <= p < cum
-    at = (
-        running.join(stage(spots, "quantile-spots"), keys)
-        .select(
-            *keys,
-            value,
-            F.explode(
-                F.filter("_spots", lambda p: (p < F.col("cum_n")) & (p >= F.col("cum_n") - F.col("n")))
-            ).alias("_spot"),
-        )
+    order = [*[F.col(n) for n in by], F.col(value).desc() if descending else F.col(value).asc()]
+    ranged = grouped.repartitionByRange(ranges, *order) if ranges else grouped.repartitionByRange(*order)
+    placed = ranged.sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+
+    def scan(batches):
+        last, carry = None, dict.fromkeys(names, 0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.zeros(batch.num_rows, bool)
+            for name in by:
+                codes = batch.column(name).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                new[1:] |= codes[1:] != codes[:-1]
+            new[0] = last != [batch.column(name)[0].as_py() for name in by]
+            last = [batch.column(name)[-1].as_py() for name in by]
+            starts, group = np.flatnonzero(new), np.cumsum(new)
+            for name in names:
+                total = np.cumsum(batch.column(name).to_numpy(zero_copy_only=False))
+                # rows before the first start go on with the group of the batch before
+                base = np.append(-carry[name], np.where(starts > 0, total[starts - 1], 0))
+                total = total - base[group]
+                carry[name] = int(total[-1])
+                batch = batch.append_column(f"cum_{name}", pa.array(total, pa.int64()))
+            yield batch
+
+    schema = StructType(list(placed.schema.fields))
+    for name in sums:
+        schema = schema.add(f"cum_{name}", LongType())
+    scanned = stage(placed.mapInArrow(scan, schema), "range-sums")
+    before = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    per_range = scanned.groupBy(*[F.col(n).alias(k) for n, k in zip(by, keys)], F.col("_part").alias("_at"))
+    offsets = per_range.agg(*[F.sum(s).alias(f"_sum_{s}") for s in sums]).select(
+        *keys, "_at", *[F.coalesce(F.sum(f"_sum_{s}").over(before), F.lit(0)).alias(f"_off_{s}") for s in sums]
     )
-    at = stage(at, "quantile-values")
-    lo = at.select(*keys, F.col("_spot").alias("_lo"), F.col(value).alias("_vlo"))
-    hi = at.select(*keys, F.col("_spot").alias("_hi"), F.col(value).alias("_vhi"))
-    out = wanted.join(lo, [*keys, "_lo"]).join(hi, [*keys, "_hi"])
-    share = F.col("_pos") - F.col("_lo")
-    quantile = F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * share
-    return out.select(*by, "prob", quantile.cast("double").alias("quantile"))
+    same = [F.col(n).eqNullSafe(F.col(k)) for n, k in zip(by, keys)]
+    joined = scanned.join(stage(offsets, "range-offsets"), [F.col("_part") == F.col("_at"), *same])
+    out = joined.withColumns({f"cum_{s}": F.col(f"cum_{s}") + F.col(f"_off_{s}") for s in sums})
+    return out.drop("_part", "_at", *keys, *[f"_off_{s}" for s in sums])

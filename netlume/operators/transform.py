@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netlume.functions.columns import c, drop_missing, sanitize_name
-from netlume.operators.ordering import ROWS_PER_BUCKET, exact_quantiles
+from netlume.operators.selection import FEW, quantiles_of
 
 MAX_ONEHOT_COLUMNS = 10_000
 
@@ -18,17 +18,11 @@ def in_train(split: str = "split") -> Column:
     return F.col(split) == "train"
 
 
-def exact_medians(
-    train: DataFrame, columns: list[str], rows_per_bucket: int = ROWS_PER_BUCKET
-) -> dict[str, float]:
+def exact_medians(train: DataFrame, columns: list[str], few: int = FEW) -> dict[str, float]:
     """Exact median per column; a column without any value has none."""
     if not columns:
         return {}
-    entries = F.array(
-        *[F.struct(F.lit(i).alias("column"), c(n).cast("double").alias("value")) for i, n in enumerate(columns)]
-    )
-    long = train.select(F.explode(entries).alias("e")).select("e.column", "e.value")
-    found = exact_quantiles(long, "value", [0.5], by=["column"], rows_per_bucket=rows_per_bucket)
+    found = quantiles_of(train, [c(n) for n in columns], [0.5], few=few)
     return {columns[r["column"]]: r["quantile"] for r in found.collect()}  # one row per column
 
 

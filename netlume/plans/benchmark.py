@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netlume.detectors.base import Detector
-from netlume.detectors.boosting import SecondOrderBoost
+from netlume.detectors.boosting import HistBoost, SecondOrderBoost
+from netlume.detectors.extra_trees import ExtraTrees
 from netlume.detectors.federated import FederatedSgd
 from netlume.detectors.linear import GaussianBayes, Logistic, Majority
 from netlume.detectors.neural import Autoencoder, Mlp
 from netlume.detectors.outliers import IsolationForest, LocalOutlierFactor
 from netlume.detectors.svm import PlattSvm
-from netlume.detectors.trees import ExtraTrees, Forest, HistBoost
+from netlume.detectors.trees import Forest
 from netlume.functions.columns import c
 from netlume.plans.evaluate import Evaluation, evaluate, evaluation_table
 from netlume.sources.artifact import load_artifact

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from netlume.detectors.base import Detector, matrix
 from netlume.operators import metrics as M
 from netlume.operators.sampling import CV_FOLDS, with_folds
-from netlume.sources.csv import union_by_name
 from netlume.staging import stage
 
 ROWS_PER_TASK = 1_000_000
@@ -46,11 +45,7 @@ def evaluation_table(rows: DataFrame, meta: dict, keys: list[str] | None = None)
 
 def out_of_fold(detector: Detector, train: DataFrame, folds: int = CV_FOLDS) -> DataFrame:
     """Every train row scored by the model that was fitted without its fold."""
-    scored = []
-    for i in range(folds):
-        model = detector.fit(train.where(F.col("fold") != i))
-        scored.append(model(train.where(F.col("fold") == i)))
-    return union_by_name(scored)
+    return detector.fit_folds(train, folds)(train)
 
 
 def label_folds(detector: Detector, scored: DataFrame) -> DataFrame:

@@ -84,6 +84,19 @@ def average_precision(spark: SparkSession, sf: str) -> DataFrame:
     return M.ranking_metrics(rows, "planted", "l_extendedprice", ["part"]).select("part", "pr_auc")
 
 
+@query(f"""
+WITH {EV}, sk AS (SELECT event_type, CASE WHEN value > 30 THEN 1 ELSE 0 END AS pred, k FROM ev),
+{_ranking_sql('sk', 'event_type', 'pred', 'k')}
+SELECT part, round(sum(neg::DOUBLE * (cp - pos / 2)) / nullif(sum(pos)::DOUBLE * sum(neg)::DOUBLE, 0), 4) AS roc_auc,
+  round(sum(pos * (cp / (cp + cn))) / sum(pos), 4) AS pr_auc FROM w GROUP BY 1
+""")
+def ranking_in_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """Both ranking metrics by event type, from a prefix scan over 32 sorted ranges of scores."""
+    pred = (F.col("value") > 30).cast("int").alias("pred")
+    rows = R.events(spark, sf).select(F.col("event_type").alias("part"), pred, "k")
+    return M.ranking_metrics(rows, "pred", "k", ["part"], ranges=32)
+
+
 _GRID_SQL = f"""
 WITH {EV}, c AS (SELECT y, k / 100.0::DOUBLE AS score FROM ev), t AS (SELECT i / 100.0::DOUBLE AS threshold FROM range(10, 91, 5) r(i)),
 m AS (SELECT threshold, CAST(sum(CASE WHEN score >= threshold THEN y ELSE 0 END) AS BIGINT) AS tp,

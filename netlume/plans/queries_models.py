@@ -5,21 +5,24 @@ Parameters are smaller than the defaults (fewer trees and rounds), the tables ar
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlume.detectors.boosting import SecondOrderBoost
+from netlume.detectors.boosting import HistBoost, SecondOrderBoost
+from netlume.detectors.extra_trees import ExtraTrees
 from netlume.detectors.federated import FederatedSgd, weighted_average
 from netlume.detectors.linear import GaussianBayes, Logistic, Majority
-from netlume.detectors.neural import Autoencoder, Mlp
+from netlume.detectors.gradient import summed
+from netlume.detectors.neural import Autoencoder, Mlp, Network
 from netlume.detectors.outliers import IsolationForest, LocalOutlierFactor
 from netlume.detectors.svm import PlattSvm
-from netlume.detectors.trees import ExtraTrees, Forest, HistBoost
+from netlume.detectors.trees import Forest
 from netlume.operators import metrics as M
 from netlume.plans import frames as R
 from netlume.plans.benchmark import cross_evaluate, run_all, run_benchmark
 from netlume.plans.evaluate import label_folds, multiclass_tables, out_of_fold
-from netlume.plans.queries_data import LINE_HASH, SPLIT_LINES
+from netlume.plans.queries_data import LI, LINE_HASH, SPLIT_LINES
 from netlume.plans.queries_metrics import line_artifact
 from netlume.operators.leakage import remove_overlaps
 from netlume.operators.transform import Scaler, in_train
@@ -153,6 +156,61 @@ def fedavg_round(spark: SparkSession, sf: str) -> DataFrame:
     return weighted_average(models, "w", "n", ["event_type"]).withColumn("w", F.round("w", 4))
 
 
+# ---- one summed gradient of a small network over all rows ----------------------------------------
+
+_INPUTS = {"x0": "l_quantity / 50", "x1": "l_discount * 10", "x2": "l_tax * 10", "x3": "l_linenumber / 7.0::DOUBLE"}
+
+
+def _network(targets: str) -> tuple[Network, np.ndarray]:
+    net = Network([4, 3, 2 if targets == "class" else 4], targets)
+    return net, np.random.default_rng(5).normal(size=(1, net.size)).round(3)
+
+
+def network_sql(targets: str) -> str:
+    """The mean gradient of the network, spelt out parameter by parameter."""
+    net, params = _network(targets)
+    (w1, b1), (w2, b2) = net.layers(params[0])
+    (n_in, n_mid), n_out = w1.shape, len(b2)
+
+    def line(weights: np.ndarray, names: str, bias: float = 0.0) -> str:
+        return " + ".join([*(f"{w}::DOUBLE * {names}{i}" for i, w in enumerate(weights)), f"{bias}::DOUBLE"])
+
+    hidden = ", ".join(f"greatest({line(w1[:, j], 'x', b1[j])}, 0) AS h{j}" for j in range(n_mid))
+    out = ", ".join(f"{line(w2[:, j], 'h', b2[j])} AS z{j}" for j in range(n_out))
+    if targets == "class":
+        total = " + ".join(f"exp(z{j})" for j in range(n_out))
+        delta = ", ".join(f"exp(z{j}) / ({total}) - CAST(planted = {j} AS INTEGER) AS d{j}" for j in range(n_out))
+    else:
+        delta = ", ".join(f"(z{j} - x{j}) / {n_in} AS d{j}" for j in range(n_out))
+    back = ", ".join(f"({line(w2[i], 'd')}) * CAST(h{i} > 0 AS INTEGER) AS e{i}" for i in range(n_mid))
+    sums = [f"avg(x{i} * e{j})" for i in range(n_in) for j in range(n_mid)] + [f"avg(e{j})" for j in range(n_mid)]
+    sums += [f"avg(h{i} * d{j})" for i in range(n_mid) for j in range(n_out)] + [f"avg(d{j})" for j in range(n_out)]
+    inputs = ", ".join(f"{v} AS {k}" for k, v in _INPUTS.items())
+    return f"""
+WITH {LI}, a AS (SELECT planted, {inputs} FROM li), b AS (SELECT *, {hidden} FROM a), c AS (SELECT *, {out} FROM b),
+d AS (SELECT *, {delta} FROM c), e AS (SELECT *, {back} FROM d), g AS (SELECT [{', '.join(sums)}] AS v FROM e)
+SELECT unnest(range(len(v))) AS parameter, round(unnest(v), 6) + 0 AS gradient FROM g"""
+
+
+def network_gradient(spark: SparkSession, sf: str, targets: str) -> DataFrame:
+    net, params = _network(targets)
+    inputs = [F.expr(v.replace("::DOUBLE", "D")).cast("double") for v in _INPUTS.values()]
+    rows = R.lines(spark, sf).select(F.array(*inputs).alias("x"), F.col("planted").alias("t"), F.lit(-1).alias("fold"))
+    total, _, n = summed(rows, net, params, True, False)
+    made = [(i, float(round(v, 6)) + 0.0) for i, v in enumerate(total[0] / n[0])]
+    return spark.createDataFrame(made, "parameter bigint, gradient double")
+
+
+@query(network_sql("class"))
+def mlp_gradient(spark: SparkSession, sf: str) -> DataFrame:
+    return network_gradient(spark, sf, "class")
+
+
+@query(network_sql("input"))
+def autoencoder_gradient(spark: SparkSession, sf: str) -> DataFrame:
+    return network_gradient(spark, sf, "input")
+
+
 # ---- detectors: validation and test metrics ------------------------------------------------------
 
 
@@ -163,17 +221,17 @@ def gaussian_nb_report(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def logistic(spark: SparkSession, sf: str) -> DataFrame:
-    return R.detector_report(spark, sf, Logistic(max_iter=100))
+    return R.detector_report(spark, sf, Logistic())
 
 
 @query()
 def svm_platt(spark: SparkSession, sf: str) -> DataFrame:
-    return R.detector_report(spark, sf, PlattSvm(rounds=5))
+    return R.detector_report(spark, sf, PlattSvm())
 
 
 @query()
 def mlp(spark: SparkSession, sf: str) -> DataFrame:
-    return R.detector_report(spark, sf, Mlp(hidden=(32, 16), rounds=6))
+    return R.detector_report(spark, sf, Mlp())
 
 
 @query()
@@ -183,7 +241,7 @@ def forest(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def extra_trees(spark: SparkSession, sf: str) -> DataFrame:
-    return R.detector_report(spark, sf, ExtraTrees(trees=4, max_depth=8))
+    return R.detector_report(spark, sf, ExtraTrees())
 
 
 @query()
@@ -198,12 +256,12 @@ def second_order_boost(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def isolation_forest(spark: SparkSession, sf: str) -> DataFrame:
-    return R.detector_report(spark, sf, IsolationForest(trees=50))
+    return R.detector_report(spark, sf, IsolationForest())
 
 
 @query()
 def autoencoder(spark: SparkSession, sf: str) -> DataFrame:
-    return R.detector_report(spark, sf, Autoencoder(hidden=(16, 4, 16), rounds=6))
+    return R.detector_report(spark, sf, Autoencoder())
 
 
 @query()

@@ -3,13 +3,28 @@ import pytest
 from pyspark.sql import functions as F
 
 from netlume.detectors.averaging import train_round, with_workers
-from netlume.detectors.boosting import SecondOrderBoost
+from netlume.detectors import extra_trees
+from netlume.detectors.base import class_index
+from netlume.detectors.boosting import (
+    Growth,
+    HistBoost,
+    Loss,
+    SecondOrderBoost,
+    Tree,
+    bin_table,
+    boosted,
+    grow_trees,
+    level_histograms,
+    with_siblings,
+)
+from netlume.detectors.extra_trees import ExtraTrees
 from netlume.detectors.federated import FederatedSgd, LinearSgd
 from netlume.detectors.linear import GaussianBayes, Logistic, Majority
-from netlume.detectors.neural import Autoencoder, Mlp, Network, first_state
+from netlume.detectors.gradient import Schedule, descend, summed
+from netlume.detectors.neural import Autoencoder, Mlp, Network
 from netlume.detectors.outliers import IsolationForest, LocalOutlierFactor, nearest, path_adjustment
-from netlume.detectors.svm import PlattSvm, platt_sigmoids
-from netlume.detectors.trees import ExtraTrees, Forest, HistBoost
+from netlume.detectors.svm import HingeUnits, PlattSvm, platt_sigmoids
+from netlume.detectors.trees import Forest
 from netlume.operators.metrics import ranking_metrics
 from netlume.plans.evaluate import evaluate, evaluation_table
 from netlume.staging import stage
@@ -38,11 +53,11 @@ def data(spark):
 SUPERVISED = [
     Logistic(max_iter=30),
     GaussianBayes(),
-    PlattSvm(rounds=2),
-    Mlp(hidden=(16,), rounds=12),
+    PlattSvm(rounds=30),
+    Mlp(hidden=(16,), rounds=60),
     Forest(trees=5, max_depth=5),
-    ExtraTrees(trees=2, max_depth=5),
-    HistBoost(rounds=2, max_depth=3),
+    ExtraTrees(trees=8),
+    HistBoost(rounds=8, max_depth=4, rate=0.3),
     SecondOrderBoost(rounds=2, max_depth=3, rate=0.5),
     FederatedSgd(rounds=2),
 ]
@@ -58,7 +73,7 @@ def test_supervised_detectors_find_the_attack(data, detector):
 
 
 @pytest.mark.parametrize(
-    "detector", [IsolationForest(trees=30), LocalOutlierFactor(), Autoencoder(hidden=(8, 3, 8), rounds=8)], ids=lambda d: d.name
+    "detector", [IsolationForest(trees=30), LocalOutlierFactor(), Autoencoder(hidden=(8, 3, 8), rounds=60)], ids=lambda d: d.name
 )
 def test_anomaly_detectors_find_the_attack(data, detector):
     done = evaluate(detector, data, "blobs", cross_validate=False)
@@ -113,23 +128,68 @@ def test_a_hot_site_is_shared_by_workers(spark):
     assert with_workers(df, "site").select("worker").distinct().count() == 2
 
 
-def test_network_gradient(spark):
-    for targets, t in (("class", np.array([0, 1, 2, 1])), ("input", np.zeros(4, int))):
-        sizes = [3, 5, 3]
-        net = Network(sizes, targets, first_state(sizes, 1))
-        x = np.random.default_rng(1).normal(size=(4, 3))
-        before = net.params.copy()
-        numeric = np.zeros_like(before)
-        for i in range(len(before)):
-            for sign in (1, -1):
-                net.params = before.copy()
-                net.params[i] += sign * 1e-6
-                numeric[i] += sign * net.loss(x, t).mean() / 2e-6
-        net.params = before.copy()
-        net.step(x, t)
-        moved = before - net.params  # the first Adam step moves by the sign of the gradient
-        strong = np.abs(numeric) > 1e-3
-        assert strong.sum() > 10 and (np.sign(moved[strong]) == np.sign(numeric[strong])).all()
+def numeric_gradient(objective, params, x, t, fold):
+    out = np.zeros_like(params)
+    for at in np.ndindex(*params.shape):
+        for sign in (1, -1):
+            moved = params.copy()
+            moved[at] += sign * 1e-6
+            out[at] += sign * objective.loss(moved, x, t, fold)[0][at[0]] / 2e-6
+    return out
+
+
+def test_gradients_equal_differences(spark):
+    rng = np.random.default_rng(1)
+    x, t, fold = rng.normal(size=(12, 3)), rng.integers(0, 3, 12), rng.integers(0, 2, 12)
+    for folds in (False, True):
+        for objective in (Network([3, 5, 4, 3], "class", 2, folds), Network([3, 5, 3], "input", 2, folds)):
+            params = rng.normal(size=(2, objective.size))
+            gradient, losses, rows = objective.gradient(params, x, t, fold)
+            assert np.allclose(gradient, numeric_gradient(objective, params, x, t, fold), atol=1e-4)
+            assert np.allclose(losses, objective.loss(params, x, t, fold)[0])
+            assert rows.tolist() == [(fold != m).sum() if folds else 12 for m in (0, 1)]
+        units = HingeUnits(3, 2, 3, 2, folds)
+        params = rng.normal(size=(2, units.size))
+        code = (t % 2) * 3 + rng.integers(0, 3, 12)
+        gradient = units.gradient(params, x, code, fold)[0]
+        assert np.allclose(gradient / units.units, numeric_gradient(units, params, x, code, fold), atol=1e-4)
+
+
+def test_summed_gradient_equals_one_task(spark):
+    rng = np.random.default_rng(2)
+    x, t = rng.normal(size=(500, 3)), rng.integers(0, 2, 500)
+    rows = spark.createDataFrame([(a.tolist(), int(b), int(i % 5)) for i, (a, b) in enumerate(zip(x, t))], "x array<double>, t int, fold int")
+    net = Network([3, 4, 2], "class", 5, True)
+    params = net.start(1) + rng.normal(size=(5, net.size)) / 9
+    want = net.gradient(params, x, t, np.arange(500) % 5)
+    for parts, wide in ((1, False), (7, False), (40, True)):
+        got = summed(rows.repartition(parts), net, params, True, wide)
+        assert all(np.allclose(a, b, rtol=1e-9) for a, b in zip(got, want))
+    assert summed(rows.limit(0), net, params, False, False)[2].tolist() == [0] * 5
+
+
+def test_folds_trained_together_equal_single_fits(spark):
+    """The model of fold m equals one that was trained on the other rows alone."""
+    rng = np.random.default_rng(3)
+    rows = [([float(a), float(b)], int(a + b > 0), int(i % 3), f"{rng.integers(2**60):015x}" * 2 + "00") for i, (a, b) in enumerate(rng.normal(size=(900, 2)))]
+    df = spark.createDataFrame(rows, "x array<double>, y int, fold int, _h string")
+    plan = Schedule(6, 10)
+    net = Network([2, 6, 2], "class", 3, True)
+    together = descend(df, F.col("y"), net, net.start(4), plan, True)
+    single = Network([2, 6, 2], "class")
+    alone = descend(df.where("fold <> 1"), F.col("y"), single, single.start(4), plan, True)[0]
+    x = rng.normal(size=(50, 2))
+    # the step size belongs to the number of all rows, so only the direction of training is compared
+    assert np.corrcoef(net.predict(together[1], x)[:, 1], single.predict(alone, x)[:, 1])[0, 1] > 0.99
+
+
+@pytest.mark.parametrize("detector", [Majority(), GaussianBayes()], ids=lambda d: d.name)
+def test_fold_complements_equal_refits(data, detector):
+    train = data.where("split = 'train'")
+    shared = {r["_h"]: r.score for r in detector.fit_folds(train, 5)(train).collect()}
+    for i in range(2):
+        refit = detector.fit(train.where(f"fold <> {i}"))(train.where(f"fold = {i}")).collect()
+        assert refit and all(abs(shared[r["_h"]] - r.score) < 1e-9 for r in refit)
 
 
 def test_platt_sigmoid_minimises_the_loss(spark):
@@ -157,3 +217,88 @@ def test_nearest_equals_brute_force():
 def test_ranking_of_constant_scores(data):
     scored = Majority().fit(data.where("split = 'train'"))(data)
     assert ranking_metrics(scored, "y", "score").first().roc_auc == 0.5
+
+
+# ---- tree kernels --------------------------------------------------------------------------------
+
+
+def test_sibling_subtraction_equals_direct_counts(data):
+    """Histograms of siblings that were never counted equal counted ones, for classes and for folds."""
+    train = class_index(data.where("split = 'train'"), ["a", "b", "c"], "label")
+    for loss, target in ((Loss(3, softmax=True), "label"), (Loss(5, folds=True), "y")):
+        binned, edges = bin_table(train, target, loss)
+        plan = Growth(3, 0.3, l2=1.0, min_hessian=1.0)
+        trees = grow_trees(binned, edges, loss, [], plan)
+        assert all(t.feature[0] >= 0 for t in trees)
+        parents = level_histograms(binned, 5, loss, [], [Tree(3) for _ in trees], [[0]] * len(trees))
+        for t in trees:  # only the first cut
+            t.feature[1:] = -1
+        counted = level_histograms(binned, 5, loss, [], trees, [[1]] * len(trees))
+        other = level_histograms(binned, 5, loss, [], trees, [[2]] * len(trees))
+        both = {(r.output, r.node, r.feature): r.sums for r in with_siblings(counted, parents).collect()}
+        assert len(both) == 2 * 5 * len(trees)
+        for r in other.collect():
+            assert np.allclose(both[r.output, 2, r.feature], r.sums, atol=1e-9)
+
+
+def test_boosting_equals_one_task_reference(spark):
+    """One small tree against an exhaustive search over all cuts."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 12, (400, 2)).astype(float)
+    y = ((x[:, 0] > 5) ^ (x[:, 1] > 8)).astype(int)
+    rows = [(a.tolist(), int(b), "n", f"{i:032x}") for i, (a, b) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "x array<double>, y int, attack string, _h string")
+    [[tree]] = boosted(df, "y", Loss(1), Growth(2, 0.1, l2=1.0, min_hessian=1.0), 1)
+    g, h = 0.5 - y, np.full(400, 0.25)
+
+    def best(rows):
+        def worth(m):
+            return g[m].sum() ** 2 / (h[m].sum() + 1.0)
+
+        found = []
+        for f in (0, 1):
+            for cut in np.unique(x[rows, f])[:-1]:
+                left = rows & (x[:, f] <= cut)
+                found.append((worth(left) + worth(rows & ~left) - worth(rows), -f, cut))
+        return max(found)
+
+    everything = np.ones(400, bool)
+    gain, f, cut = best(everything)
+    assert tree.feature[0] == -f
+    left = x[:, -f] <= tree.cut[0]
+    assert (left == (x[:, -f] <= cut)).all()
+    for node, rows in ((1, left), (2, ~left)):
+        _, f, cut = best(rows)
+        assert tree.feature[node] == -f and ((x[rows, -f] <= tree.cut[node]) == (x[rows, -f] <= cut)).all()
+        for child, part in ((2 * node + 1, x[:, -f] <= cut), (2 * node + 2, x[:, -f] > cut)):
+            mine = rows & part
+            assert np.isclose(tree.value[child], -0.1 * g[mine].sum() / (h[mine].sum() + 1.0))
+
+
+def test_histogram_boosting_keeps_its_limits(data):
+    train = data.where("split = 'train'")
+    [[tree]] = boosted(train, "y", Loss(1), Growth(8, 0.1, min_hessian=1e-3, min_rows=20, max_leaves=6), 1)
+    assert (tree.feature >= 0).sum() <= 5
+    x = np.array([r.x for r in train.collect()])
+    assert np.bincount(tree.leaf(x, tree.cut))[np.unique(tree.leaf(x, tree.cut))].min() >= 20
+
+
+def test_extra_trees_do_not_depend_on_layout(data, monkeypatch):
+    """Nodes grown by levels and in one task, in any layout: every leaf's shares are those of its rows."""
+    train = data.where("split = 'train'")
+    x, y = (np.array(v) for v in zip(*((r.x, r.y) for r in train.collect())))
+    for local in (300, 10**6):
+        monkeypatch.setattr(extra_trees, "LOCAL_ROWS", local)
+        one, two = (ExtraTrees(trees=3, max_depth=9)._grow(part, "y", 2) for part in (train, train.repartition(5)))
+        for (tree, shares), (again, shares2) in zip(one, two):
+            assert all(np.array_equal(a, b) for a, b in zip(tree, again)) and np.array_equal(shares, shares2)
+            at = extra_trees.walk(tree, x)
+            sizes = np.bincount(at, minlength=len(shares))
+            assert sizes[np.unique(at)].min() >= 2
+            assert np.allclose(np.bincount(at, y, len(shares))[sizes > 0] / sizes[sizes > 0], shares[sizes > 0][:, 1])
+
+
+def test_extra_trees_bound_their_model(data):
+    train = data.where("split = 'train'")
+    small = ExtraTrees(trees=3, max_nodes=40)._grow(train, "y", 2)
+    assert sum(len(tree[0]) for tree, _ in small) < 40 + 3 * 2 * extra_trees.LOCAL_ROWS

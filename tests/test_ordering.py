@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from netlume.functions.columns import row_hash
 from netlume.operators import sampling as S
-from netlume.operators.ordering import exact_quantiles, rank_cuts, running_sums
+from netlume.operators.ordering import rank_cuts, running_sums
+from netlume.operators.selection import exact_quantiles, quantiles_of
 
 
 def test_rank_cuts_equal_window_ranks(spark, sf):
@@ -23,27 +24,50 @@ def test_rank_cuts_equal_window_ranks(spark, sf):
         assert all(r.ties == 1 and r.below == r["rank"] - 1 for r in found)
 
 
-def test_running_sums_do_not_depend_on_buckets(spark):
+def test_running_sums_do_not_depend_on_ranges(spark):
     rng = np.random.default_rng(1)
-    rows = [(int(g), float(v)) for g, v in zip(rng.integers(0, 2, 3000), np.round(rng.exponential(5, 3000), 2))]
+    rows = [(int(g) or None, float(v)) for g, v in zip(rng.integers(0, 3, 3000), np.round(rng.exponential(5, 3000), 2))]
     df = spark.createDataFrame(rows, "g int, v double")
     for down in (False, True):
-        one, many = (
-            {(r.g, r.v): (r.n, r.cum_n) for r in running_sums(df, "v", {"n": F.lit(1)}, ["g"], down, size).collect()}
-            for size in (10**6, 100)
+        one, many, free = (
+            {(r.g, r.v): (r.n, r.cum_n) for r in running_sums(df, "v", {"n": F.lit(1)}, ["g"], down, ranges).collect()}
+            for ranges in (1, 9, None)
         )
-        assert one == many and max(c for _, c in one.values()) == max(sum(g == k for g, _ in rows) for k in (0, 1))
+        assert one == many == free
+        for group in (None, 1, 2):
+            values = sorted((v for g, v in rows if g == group), reverse=down)
+            assert [c for (g, _), (_, c) in sorted(one.items(), key=lambda x: x[1][1]) if g == group] == [
+                i + 1 for i, v in enumerate(values) if i + 1 == len(values) or values[i + 1] != v
+            ]
 
 
 def test_exact_quantiles_equal_numpy(spark):
     values = np.concatenate([np.random.default_rng(2).normal(size=999), np.full(500, 0.25)])
     df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
     probs = [0.0, 0.05, 0.333, 0.5, 0.9, 1.0]
-    for size in (10**6, 50):
-        got = {r.prob: r.quantile for r in exact_quantiles(df, "v", probs, rows_per_bucket=size).collect()}
+    for few in (10**6, 50, 1):
+        got = {r.prob: r.quantile for r in exact_quantiles(df, "v", probs, few=few).collect()}
         assert np.allclose([got[p] for p in probs], np.quantile(values, probs), atol=1e-12)
 
 
+def test_quantiles_of_groups_and_columns_equal_numpy(spark):
+    """Several columns and groups in one run, with hot values, NULLs, a group of one row and an empty column."""
+    rng = np.random.default_rng(3)
+    rows = [(int(rng.integers(0, 3)), float(np.round(rng.normal(), 3)), None if i % 3 else 7.0, None) for i in range(4000)]
+    rows += [(9, 1.5, 2.5, None)] + [(0, 0.25, None, None)] * 3000
+    df = spark.createDataFrame(rows, "g int, a double, b double, c double")
+    probs = [0.0, 0.1, 0.5, 0.9, 0.95, 1.0]
+    for few in (10**6, 20, 1):
+        found = quantiles_of(df, [F.col("a"), F.col("b"), F.col("c")], probs, ["g"], few).collect()
+        got = {(r.g, r.column, r.prob): r.quantile for r in found}
+        assert len(got) == len(found) == 4 * 2 * len(probs)
+        for g in (0, 1, 2, 9):
+            for column in (0, 1):
+                values = [r[1 + column] for r in rows if r[0] == g and r[1 + column] is not None]
+                assert np.allclose([got[g, column, p] for p in probs], np.quantile(values, probs), atol=1e-12)
+    assert quantiles_of(df.limit(0), [F.col("a")], probs).collect() == []
+
+
 def test_sample_with_a_third_of_all_rows_identical(spark):
     rows = [("a", "same")] * 700 + [("a", f"r{i}") for i in range(900)] + [("b", "x")] * 20 + [(None, "n")]
     df = spark.createDataFrame(rows, "label string, v string")

@@ -4,8 +4,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from netlume.detectors.linear import GaussianBayes
-from netlume.detectors.neural import Mlp
+from netlume.detectors.neural import Autoencoder, Mlp
 from netlume.detectors.outliers import nearest
+from netlume.detectors.svm import PlattSvm
 from netlume.functions.columns import row_hash
 from netlume.operators.sampling import sample_by_quota, stratified_split, with_folds
 
@@ -49,12 +50,19 @@ def test_neighbours_far_from_zero():
 
 
 def test_training_does_not_depend_on_layout(spark):
+    """The same rows under 1, 2 and 8 shuffle partitions, laid out in as many parts, give the same scores."""
     rng = np.random.default_rng(3)
     rows = [([float(a), float(b)], int(a + b > 0)) for a, b in rng.normal(0, 1, (9000, 2))]
     df = spark.createDataFrame(rows, "x array<double>, y int")
     df = df.withColumn("_h", F.md5(F.to_json("x"))).withColumn("attack", F.lit("z"))
-    scores = []
-    for parts in (2, 5):
-        model = Mlp(hidden=(8,), rounds=3).fit(df.repartition(parts))
-        scores.append([r.score for r in model(df.orderBy("_h").limit(200)).orderBy("_h").collect()])
-    assert np.allclose(*scores)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for detector in (Mlp(hidden=(8,), rounds=8), Autoencoder(hidden=(3, 1, 3), rounds=5), PlattSvm(rounds=6)):
+            scores = []
+            for parts in (1, 2, 8):
+                spark.conf.set("spark.sql.shuffle.partitions", parts)
+                model = detector.fit(df.repartition(parts))
+                scores.append([r.score for r in model(df.orderBy("_h").limit(200)).orderBy("_h").collect()])
+            assert np.allclose(scores[0], scores[1], rtol=1e-7) and np.allclose(scores[0], scores[2], rtol=1e-7)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
