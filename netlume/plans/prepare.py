@@ -138,12 +138,14 @@ def prepare(raw: DataFrame, spec: DatasetSpec, extra: dict | None = None) -> tup
 
     train = df.where(in_train())
     details: dict = {}
+    categories: DataFrame | None = None
     if categorical and spec.encoding == "onehot":
         onehot = OneHot.fit(train, categorical)
         df, details["onehot_columns"] = onehot.transform(df), onehot.columns()
     elif categorical:
         codes = LabelCodes.fit(train, categorical)
         df, details["categorical_encoders"] = codes.transform(df), codes.encoders()
+        categories = codes.codes
     features = [n for n in df.columns if n not in spec.targets and n != "split"]
     scaler = Scaler.fit(df.where(in_train()), features)
     df = remove_overlaps(scaler.transform(df), features)
@@ -153,6 +155,7 @@ def prepare(raw: DataFrame, spec: DatasetSpec, extra: dict | None = None) -> tup
         "dropped": [n for n in spec.drop],
         "encoding": spec.encoding if categorical else None,
         "scaler": {"mean": scaler.mean, "scale": scaler.scale, "columns": features},
+        "categories": categories,
         "extra": {**details, **(extra or {})},
     }
     return df, facts
@@ -162,6 +165,8 @@ def write_prepared(df: DataFrame, facts: dict, spec: DatasetSpec, base: str) ->
     """Write rows, then metadata counted from the written rows, then validate both."""
     spark = df.sparkSession
     written = artifact.write_rows(df, base)
+    if facts["categories"] is not None:
+        artifact.write_categories(facts["categories"], facts["categorical"], base)
     meta = artifact.build_metadata(
         written,
         spec.dataset,

@@ -5,6 +5,8 @@ Every function takes (spark, sf_dir). ``SQL`` holds the same question for an ind
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -483,6 +485,23 @@ def label_encode(spark: SparkSession, sf: str) -> DataFrame:
     return coded.groupBy("split", "flag", "st").agg(F.count("*").alias("n"))
 
 
+@query(f"""
+{SPLIT_LINES}, k AS (SELECT split, CAST(l_partkey AS VARCHAR) AS part, l_linestatus AS st FROM sp),
+d AS (SELECT part, row_number() OVER (ORDER BY part) - 1 AS code FROM (SELECT DISTINCT part FROM k WHERE split = 'train')),
+e AS (SELECT st, row_number() OVER (ORDER BY st) - 1 + (SELECT count(*) FROM d) AS code
+  FROM (SELECT DISTINCT st FROM k WHERE split = 'train'))
+SELECT split, CAST(code AS INTEGER) AS at, count(*) AS n FROM (SELECT split, d.code FROM k JOIN d USING (part)
+  UNION ALL SELECT split, e.code FROM k JOIN e USING (st)) GROUP BY 1, 2
+""")
+def onehot_sparse(spark: SparkSession, sf: str) -> DataFrame:
+    """Indicators of all part keys and line states as sparse vectors: how many rows of a split set each of them."""
+    rows = R.split_lines(spark, sf).select("split", F.col("l_partkey").cast("string").alias("part"), "l_linestatus")
+    coder = OneHot.fit(rows.where(in_train()), ["part", "l_linestatus"])
+    sums = coder.sparse(rows, "flags").groupBy("split").agg(Summarizer.sum(F.col("flags")).alias("n"))
+    counts = sums.select("split", F.posexplode(vector_to_array("n")).alias("at", "n")).where("n > 0")
+    return counts.select("split", "at", F.col("n").cast("bigint").alias("n"))
+
+
 @query(f"""
 {SPLIT_LINES}, m AS (SELECT avg(l_quantity) AS m1, stddev_pop(l_quantity) AS s1, avg(l_tax) AS m2,
   stddev_pop(l_tax) AS s2 FROM sp WHERE split = 'train')

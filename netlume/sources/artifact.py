@@ -150,6 +150,16 @@ def write_rows(df: DataFrame, base: str) -> DataFrame:
     return read_rows(spark, base)
 
 
+def write_categories(codes: DataFrame, columns: list[str], base: str) -> None:
+    """The dictionary of encoded columns as a table (column, value, code), however many values it has."""
+    named = F.get(F.array(*[F.lit(n) for n in columns]), F.col("i"))
+    codes.select(named.alias("column"), F.col("v").alias("value"), "code").write.mode("overwrite").parquet(f"{base}/categories")
+
+
+def read_categories(spark: SparkSession, base: str) -> DataFrame:
+    return spark.read.parquet(f"{base}/categories")
+
+
 def read_rows(spark: SparkSession, base: str) -> DataFrame:
     return spark.read.parquet(f"{base}/data")
 

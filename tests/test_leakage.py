@@ -74,6 +74,25 @@ def test_encoders(spark):
     assert [tuple(r) for r in codes.transform(other).collect()] == [(0, 1), (-1, 2)]
 
 
+def test_many_categories_are_sparse(spark):
+    """50,000 categories and a small column: one sparse vector a row, nothing listed on the driver."""
+    train = spark.range(50_000).selectExpr("concat('v', id) AS big", "if(id % 2 = 0, 'x', 'y') AS small", "id AS n")
+    coder = OneHot.fit(train, ["big", "small"])
+    assert coder.sizes() == [50_000, 2]
+    other = spark.createDataFrame([("v7", "y", 1), ("new", "x", 2), ("v49999", None, 3)], "big string, small string, n long")
+    rows = {r.n: r.flags for r in coder.sparse(other, "flags").collect()}
+    order = sorted(f"v{i}" for i in range(50_000))
+    assert {n: v.indices.tolist() for n, v in rows.items()} == {
+        1: [order.index("v7"), 50_001],
+        2: [50_000],
+        3: [order.index("v49999")],
+    }
+    assert all(v.size == 50_002 and set(v.values) <= {1.0} for v in rows.values())
+    codes = LabelCodes.fit(train, ["big", "small"])
+    got = {r.n: (r.big, r.small) for r in codes.transform(other).collect()}
+    assert got == {1: (order.index("v7"), 1), 2: (-1, 0), 3: (order.index("v49999"), -1)}
+
+
 def test_scaler_uses_population_deviation(spark):
     df = spark.createDataFrame([(1.0, 0.1), (2.0, 0.1), (4.0, 0.1)], "a double, k double")
     scaler = Scaler.fit(df, ["a", "k"])

@@ -8,6 +8,7 @@ from netlume.operators.leakage import count_overlaps
 from netlume.plans.prepare import prepare_files
 from netlume.plans.specs import EDGE_SPEC, FLOW_SPEC, TELEMETRY_SPEC
 from netlume.sources import artifact as A
+from netlume.sources.csv import scan_devices
 
 
 def write(path, header, rows, bom=False):
@@ -76,6 +77,8 @@ def test_edge(spark, tmp_path, encoding):
         assert meta["feature_columns"][:2] == ["tcp.len", "udp.stream"]
     else:
         assert meta["categorical_encoders"]["mqtt.topic"][-3:] == ["top0", "top1", "top2"]
+        table = A.read_categories(spark, base).orderBy("code").collect()
+        assert [r.value for r in table] == meta["categorical_encoders"]["mqtt.topic"]
         assert meta["feature_columns"] == ["tcp.len", "mqtt.topic", "udp.stream"]
 
 
@@ -100,3 +103,17 @@ def test_telemetry(spark, tmp_path):
     sampled = prepare_files(spark, replace(spec, sample_n=90), str(tmp_path / "raw" / "IoT_*.csv"), str(tmp_path / "few"))
     # each label gets the floor of its share, 88 rows in all; a pair of copies may be among them
     assert 86 <= sum(sampled["split_rows"].values()) <= 88
+
+
+def test_devices_are_scanned_by_header(spark, tmp_path):
+    """Many files of two headers make two branches of the plan; the device is the name of the file."""
+    for i in range(60):
+        header, row = (["a", "b"], [i, "x"]) if i % 3 else (["b", "c"], ["y", i])
+        write(tmp_path / f"IoT_Dev {i}.csv", header, [row])
+    (tmp_path / "IoT_Parts.csv").mkdir()
+    write(tmp_path / "IoT_Parts.csv" / "part-0.csv", ["a", "b"], [[99, "z"]])
+    found = scan_devices(spark, str(tmp_path / "IoT_*.csv"))
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan csv") == 2
+    rows = {r.device: (r.a, r.b, r.c) for r in found.collect()}
+    assert len(rows) == 61 and rows["dev 1"] == ("1", "x", None) and rows["dev 3"] == (None, "y", "3")
+    assert rows["parts"] == ("99", "z", None)
