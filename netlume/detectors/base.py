@@ -32,6 +32,7 @@ class Detector:
     anomaly: bool = False  # fitted on benign rows only, no multiclass part
     calibrated: bool = True  # threshold chosen on the validation split
     fold_rule: str = "half"  # out-of-fold label: "half" 0.5, "zero" offset, "p90" of the own fold
+    strategy_type: str = "supervised"
 
     @property
     def grid(self) -> list[float] | None:

@@ -136,6 +136,7 @@ class Autoencoder(Detector):
     name: str = "autoencoder"
     anomaly: bool = True
     fold_rule: str = "p90"
+    strategy_type: str = "anomaly_reconstruction"
     hidden: tuple[int, ...] = (64, 16, 64)
     rounds: int = 100
     patience: int = PATIENCE

@@ -79,6 +79,7 @@ class IsolationForest(Detector):
     name: str = "isolation_forest"
     anomaly: bool = True
     fold_rule: str = "zero"
+    strategy_type: str = "anomaly_baseline"
     trees: int = 100
     sample: int = 256
 
@@ -170,6 +171,7 @@ class LocalOutlierFactor(Detector):
     name: str = "lof"
     anomaly: bool = True
     fold_rule: str = "zero"
+    strategy_type: str = "anomaly_novelty"
     neighbours: int = 20
     reference_rows: int = 30_000
 

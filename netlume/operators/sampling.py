@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netlume.functions.columns import c, row_hash
-from netlume.operators.ordering import cut_pieces, rank_cuts
+from netlume.operators.ordering import copies_of, cut_pieces, rank_cuts
 from netlume.staging import stage
 
 SEED = 42
@@ -14,7 +14,6 @@ SPLITS = ["train", "val", "test"]
 TEST_PERCENT = 15
 VAL_PERCENT = 15
 CV_FOLDS = 5
-COPIES_PER_TASK_ROW = 10_000
 
 
 def label_histogram(df: DataFrame, label: str) -> DataFrame:
@@ -61,16 +60,10 @@ def _take_to_cut(
     ).select(*[c(n) for n in columns])
     if found.where(F.col("ties") > F.col("_need")).isEmpty():
         return whole
-    copies = (
-        joined.where(at_cut & (F.col("ties") > F.col("_need")))
-        .groupBy(*[c(n) for n in columns], "_need")
-        .count()
-        .withColumn("_chunk", F.explode(F.expr(f"sequence(0, int((_need - 1) / {COPIES_PER_TASK_ROW}))")))
-        .withColumn("_left", F.col("_need") - F.col("_chunk") * COPIES_PER_TASK_ROW)
-        .repartition("_chunk")
-        .withColumn("_copy", F.explode(F.expr(f"sequence(1, least({COPIES_PER_TASK_ROW}, _left))")))
-        .select(*[c(n) for n in columns])
+    groups = (
+        joined.where(at_cut & (F.col("ties") > F.col("_need"))).groupBy(*[c(n) for n in columns], "_need").count()
     )
+    copies = copies_of(groups, columns, "_need")
     return whole.unionByName(copies)
 
 

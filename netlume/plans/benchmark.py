@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +21,7 @@ from netlume.detectors.trees import Forest
 from netlume.functions.columns import c
 from netlume.plans.evaluate import Evaluation, evaluate, evaluation_table
 from netlume.sources.artifact import load_artifact
-from netlume.sources.results import write_results
+from netlume.sources.results import read_results, write_results
 
 MIN_COMMON_FEATURES = 5
 DETECTORS: dict[str, type[Detector]] = {
@@ -43,24 +45,40 @@ DETECTORS: dict[str, type[Detector]] = {
 
 
 def run_benchmark(
-    spark: SparkSession, base: str, detector: Detector, results: str | None = None
+    spark: SparkSession,
+    base: str,
+    detector: Detector,
+    results: str | None = None,
+    rebuild: Callable[[], object] | None = None,
+    force: bool = False,
 ) -> Evaluation:
-    """One detector on one artifact; the result tables are written if a folder is given."""
-    rows, meta = load_artifact(spark, base)
+    """One detector on one artifact; the result tables are written if a folder is given.
+
+    With a builder, an artifact that is missing or stale is built first, and any with ``force``.
+    """
+    rows, meta = load_artifact(spark, base, rebuild, force)
     done = evaluate(detector, evaluation_table(rows, meta), meta["dataset"])
-    if results:
-        write_results(done.tables, results)
-    return done
+    return replace(done, tables=write_results(done.tables, results)) if results else done
 
 
 def run_all(
-    spark: SparkSession, bases: list[str], detector: Detector, results: str | None = None
+    spark: SparkSession,
+    bases: list[str],
+    detector: Detector,
+    results: str | None = None,
+    rebuild: dict[str, Callable[[], object]] | None = None,
+    force: bool = False,
 ) -> DataFrame:
-    """One detector on every artifact: the binary metrics of all of them."""
-    runs = [run_benchmark(spark, base, detector, results) for base in bases]
+    """One detector on every artifact: the binary metrics of all of them. ``rebuild`` has a builder per artifact."""
+    runs = [run_benchmark(spark, base, detector, results, (rebuild or {}).get(base), force) for base in bases]
     return reduce(DataFrame.unionByName, [r.tables["binary"] for r in runs])
 
 
+def stored_leaderboard(spark: SparkSession, results: str, datasets: list[str]) -> DataFrame:
+    """The leaderboard of everything that runs have written to a results folder."""
+    return leaderboard(read_results(spark, results, "binary"), read_results(spark, results, "multiclass"), datasets)
+
+
 def common_features(source: dict, target: dict) -> list[str]:
     return sorted(set(source["feature_columns"]) & set(target["feature_columns"]))
 
@@ -91,8 +109,13 @@ def cross_evaluate(
     source: tuple[DataFrame, dict],
     targets: list[tuple[DataFrame, dict]],
     keys: list[str] | None = None,
+    results: str | None = None,
 ) -> tuple[list[Evaluation], int]:
-    """Train on one dataset, test on each other one; also the number of skipped targets."""
+    """Train on one dataset, test on each other one; also the number of skipped targets.
+
+    Every table says what was trained on, what was tested on and how many features both have. The tables are written
+    if a folder is given.
+    """
     done, skipped = [], 0
     for target in targets:
         pair = cross_rows(source, target)
@@ -100,7 +123,14 @@ def cross_evaluate(
             skipped += 1
             continue
         rows, meta = pair
-        done.append(evaluate(detector, evaluation_table(rows, meta, keys), meta["dataset"]))
+        run = evaluate(detector, evaluation_table(rows, meta, keys), meta["dataset"])
+        ends = {
+            "train_on": F.lit(source[1]["dataset"]),
+            "test_on": F.lit(target[1]["dataset"]),
+            "common_features": F.lit(len(meta["feature_columns"])),
+        }
+        tables = {name: table.withColumns(ends) for name, table in run.tables.items()}
+        done.append(replace(run, tables=write_results(tables, results) if results else tables))
     return done, skipped
 
 

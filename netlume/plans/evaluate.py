@@ -84,7 +84,11 @@ def evaluate(
 
     tables = {"binary": M.binary_metrics(scored, "y", "pred", "score", ["stage"])}
     tables["binary"] = tables["binary"].withColumns(
-        {"threshold": F.lit(threshold).cast("double"), "params": F.lit(json.dumps(detector.params()))}
+        {
+            "threshold": F.lit(threshold).cast("double"),
+            "params": F.lit(json.dumps(detector.params())),
+            "strategy_type": F.lit(detector.strategy_type),
+        }
     )
     if detector.anomaly:
         tables["per_attack"] = M.per_attack(scored.where(F.col("stage") == "test"), "attack", "pred")

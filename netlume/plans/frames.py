@@ -84,8 +84,8 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def detector_report(spark: SparkSession, sf: str, detector: Detector) -> DataFrame:
-    """Test metrics of one detector on lineitem, with its multiclass or per-attack result."""
-    done = evaluate(detector, line_table(spark, sf), "lineitem", cross_validate=False)
+    """Metrics of one detector on lineitem (out of fold, validation, test), with its multiclass result."""
+    done = evaluate(detector, line_table(spark, sf), "lineitem")
     report = done.tables["binary"]
     if "multiclass" in done.tables:
         multi = done.tables["multiclass"].select("strategy", "macro_f1", "weighted_f1")
@@ -115,6 +115,7 @@ EDGE_DEMO = DatasetSpec(
     target_multi="Attack_type",
     drop=["ip.src_host"],
     categorical=["mqtt.topic"],
+    row_key=["tcp.len", "udp.time_delta", "mqtt.topic"],
 )
 TELEMETRY_DEMO = DatasetSpec(
     dataset="events-telemetry",
@@ -124,6 +125,7 @@ TELEMETRY_DEMO = DatasetSpec(
     target_binary="label_binary",
     target_multi="label_multi",
     drop=["date", "time", "label", "type"],
+    row_key=["seq"],
 )
 
 

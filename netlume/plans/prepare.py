@@ -21,7 +21,7 @@ from netlume.operators.transform import (
 )
 from netlume.plans.specs import DatasetSpec
 from netlume.sources import artifact
-from netlume.sources.csv import FILE_COLUMN, scan_csv, scan_devices
+from netlume.sources.csv import FILE_COLUMN, list_files, scan_csv, scan_devices
 from netlume.staging import stage
 
 
@@ -206,6 +206,7 @@ def prepare_files(spark: SparkSession, spec: DatasetSpec, path: str, base: str)
         "source": path,
         "sampling_mode": "full" if full else f"label_aware_{spec.kind}",
         "sample_target": "all" if full else str(spec.sample_n),
+        "source_files": [found.rsplit("/", 1)[-1] for found in list_files(spark, path)],
     }
     if spec.kind != "flow":
         extra["n_rows_before_cleaning"] = source.count()

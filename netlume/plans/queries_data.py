@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netlume.functions import columns as C
@@ -552,10 +552,30 @@ o AS (SELECT *, CASE split WHEN 'train' THEN 1 WHEN 'val' THEN 2 ELSE 3 END AS s
 kept AS (SELECT * FROM o QUALIFY sn = min(sn) OVER (PARTITION BY f1, f2, f3, f4))"""
 
 
-@query(f"{FLOW_SQL} SELECT split, y, count(*) AS n FROM kept GROUP BY 1, 2")
+def unscaled(name: str, facts: dict) -> Column:
+    """A scaled feature in its own units."""
+    scaler = facts["scaler"]
+    i = scaler["columns"].index(name)
+    return c(name) * F.lit(scaler["scale"][i]) + F.lit(scaler["mean"][i])
+
+
+def mean_of(column: Column | str) -> Column:
+    return F.round(F.avg(column), 5) + F.lit(0.0)
+
+
+_FLOW_MEANS = ", ".join(
+    f"round(avg((f{i} - (SELECT avg(f{i}) FROM kept WHERE split = 'train')) / "
+    f"(SELECT stddev_pop(f{i}) FROM kept WHERE split = 'train')), 5) + 0 AS m{i}"
+    for i in range(1, 5)
+)
+
+
+@query(f"{FLOW_SQL} SELECT split, y, count(*) AS n, {_FLOW_MEANS} FROM kept GROUP BY 1, 2")
 def prepare_flow(spark: SparkSession, sf: str) -> DataFrame:
-    rows, _ = prepare(R.raw_flows(spark, sf), R.FLOW_DEMO)
-    return split_counts(rows, "label_binary")
+    """Rows and mean scaled features of every split and class."""
+    rows, facts = prepare(R.raw_flows(spark, sf), R.FLOW_DEMO)
+    means = [mean_of(c(n)).alias(f"m{i}") for i, n in enumerate(R.FLOW_DEMO.features, 1)]
+    return rows.groupBy("split", F.col("label_binary").alias("y")).agg(F.count("*").alias("n"), *means)
 
 
 EDGE_SQL = f"""WITH {EV}, cl AS (SELECT DISTINCT floor(value) AS f1, k AS f2, user_id % 7 AS f3, event_type,
@@ -564,20 +584,44 @@ ok AS (SELECT * FROM cl QUALIFY count(*) OVER (PARTITION BY f1, f2, f3) = 1),
 s AS (SELECT y, count(*) AS n, (count(*) * 15 + 50) // 100 AS part FROM ok GROUP BY 1),
 t AS (SELECT 'train' AS split, y, n - 2 * part AS n FROM s UNION ALL SELECT 'val', y, part FROM s
   UNION ALL SELECT 'test', y, part FROM s)"""
+_EDGE_HASH = """md5(concat_ws('|', CAST(CAST(f1 AS DOUBLE) AS VARCHAR), CAST(CAST(f2 AS DOUBLE) AS VARCHAR),
+  CASE WHEN f3 = 0 THEN '0' ELSE 't' || f3 END, '42'))"""
 
 
-@query(f"{EDGE_SQL} SELECT split, y, n FROM t")
+@query(f"""
+{EDGE_SQL}, {sql_split('ok', 'y', _EDGE_HASH)},
+m AS (SELECT avg(f1) AS a1, stddev_pop(f1) AS s1, avg(f2) AS a2, stddev_pop(f2) AS s2 FROM sp WHERE split = 'train')
+SELECT split, y, count(*) AS n, round(avg((f1 - a1) / s1), 5) + 0 AS len_mean, round(avg((f2 - a2) / s2), 5) + 0 AS delta_mean,
+  count(*) FILTER (f3 = 0) AS topic_zero, count(*) FILTER (f3 = 3) AS topic_three FROM sp, m GROUP BY 1, 2
+""")
 def prepare_edge(spark: SparkSession, sf: str) -> DataFrame:
-    rows, _ = prepare(R.raw_edge(spark, sf), R.EDGE_DEMO)
-    return split_counts(rows, "Attack_label")
+    """Rows, mean scaled numbers and totals of two indicator columns of every split and class."""
+    rows, facts = prepare(R.raw_edge(spark, sf), R.EDGE_DEMO)
+    return rows.groupBy("split", c("Attack_label").alias("y")).agg(
+        F.count("*").alias("n"),
+        mean_of(c("tcp.len")).alias("len_mean"),
+        mean_of(c("udp.time_delta")).alias("delta_mean"),
+        F.round(F.sum(unscaled("mqtt.topic_0", facts))).cast("bigint").alias("topic_zero"),
+        F.round(F.sum(unscaled("mqtt.topic_t3", facts))).cast("bigint").alias("topic_three"),
+    )
 
 
-@query("""
-WITH c AS (SELECT CASE WHEN event_type = 'click' THEN 0 ELSE 1 END AS y, count(*) AS n FROM events GROUP BY 1),
-s AS (SELECT y, n, (n * 15 + 50) // 100 AS part FROM c)
-SELECT 'train' AS split, y, n - 2 * part AS n FROM s UNION ALL SELECT 'val', y, part FROM s
-UNION ALL SELECT 'test', y, part FROM s
+@query(f"""
+WITH {EV}, t AS (SELECT event_id, CASE WHEN event_id % 9 <> 0 THEN value END AS temp,
+  CASE WHEN event_id % 13 <> 0 THEN k % 3 END AS state, CASE WHEN event_type = 'click' THEN 0 ELSE 1 END AS y FROM ev),
+{sql_split('t', 'y', "md5(concat_ws('|', CAST(CAST(event_id AS DOUBLE) AS VARCHAR), '42'))")},
+f AS (SELECT *, coalesce(temp, (SELECT median(temp) FROM sp WHERE split = 'train')) AS full_temp FROM sp),
+m AS (SELECT avg(full_temp) AS a, stddev_pop(full_temp) AS s FROM f WHERE split = 'train')
+SELECT split, y, count(*) AS n, round(sum(full_temp), 2) AS temp_sum, round(avg((full_temp - a) / s), 5) + 0 AS temp_mean,
+  count(*) FILTER (state IS NULL) AS no_state, count(*) FILTER (state = 1) AS state_one FROM f, m GROUP BY 1, 2
 """)
 def prepare_telemetry(spark: SparkSession, sf: str) -> DataFrame:
-    rows, _ = prepare(R.raw_telemetry(spark, sf), R.TELEMETRY_DEMO)
-    return split_counts(rows, "label_binary")
+    """Rows, imputed and scaled temperatures and totals of two indicator columns of every split and class."""
+    rows, facts = prepare(R.raw_telemetry(spark, sf), R.TELEMETRY_DEMO)
+    return rows.groupBy("split", c("label_binary").alias("y")).agg(
+        F.count("*").alias("n"),
+        F.round(F.sum(unscaled("temp", facts)), 2).alias("temp_sum"),
+        mean_of("temp").alias("temp_mean"),
+        F.round(F.sum(unscaled("state___missing__", facts))).cast("bigint").alias("no_state"),
+        F.round(F.sum(unscaled("state_s1", facts))).cast("bigint").alias("state_one"),
+    )

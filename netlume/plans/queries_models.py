@@ -5,6 +5,8 @@ Parameters are smaller than the defaults (fewer trees and rounds), the tables ar
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +22,10 @@ from netlume.detectors.svm import PlattSvm
 from netlume.detectors.trees import Forest
 from netlume.operators import metrics as M
 from netlume.plans import frames as R
-from netlume.plans.benchmark import cross_evaluate, run_all, run_benchmark
+from netlume.plans.benchmark import cross_evaluate, run_all, run_benchmark, stored_leaderboard
 from netlume.plans.evaluate import label_folds, multiclass_tables, out_of_fold
-from netlume.plans.queries_data import LI, LINE_HASH, SPLIT_LINES
+from netlume.plans.prepare import prepare_files
+from netlume.plans.queries_data import FLOW_SQL, LI, LINE_HASH, SPLIT_LINES, sql_split
 from netlume.plans.queries_metrics import line_artifact
 from netlume.operators.leakage import remove_overlaps
 from netlume.operators.transform import Scaler, in_train
@@ -60,20 +63,61 @@ fo AS (SELECT *, CAST(rn > n // 5 AS INTEGER) + CAST(rn > n * 2 // 5 AS INTEGER)
   + CAST(rn > n * 4 // 5 AS INTEGER) AS fold FROM fr)"""
 
 
-def bayes_sql(fit: str, rows: str, by: str) -> str:
+def bayes_sql(fit: str, rows: str, by: str, cls: str = "y", tag: str = "", names: list[str] = _NAMES) -> str:
     """Gaussian log likelihood per class from the table ``fit``, applied to ``rows``; ``by`` is the
-    column that matches a row with its model."""
-    stats = ", ".join(f"avg({n}) AS m_{n}, var_pop({n}) AS v_{n}" for n in _NAMES)
-    most = ", ".join(f"var_pop({n})" for n in _NAMES)
+    column that matches a row with its model. CTE names end in ``tag``."""
+    stats = ", ".join(f"avg({n}) AS m_{n}, var_pop({n}) AS v_{n}" for n in names)
+    most = ", ".join(f"var_pop({n})" for n in names)
     terms = " + ".join(
-        f"ln(2 * pi() * (v_{n} + eps)) + ({n} - m_{n}) * ({n} - m_{n}) / (v_{n} + eps)" for n in _NAMES
+        f"ln(2 * pi() * (v_{n} + eps)) + ({n} - m_{n}) * ({n} - m_{n}) / (v_{n} + eps)" for n in names
     )
-    return f"""st AS (SELECT {by}, y AS cls, count(*) AS cnt, {stats} FROM {fit} GROUP BY 1, 2),
-ep AS (SELECT {by}, 1e-9 * greatest({most}) AS eps, count(*) AS total FROM {fit} GROUP BY 1),
-ll AS (SELECT r.{by}, r.id, r.y, cls, ln(cnt / total) - ({terms}) / 2 AS lp FROM {rows} r
-  JOIN st USING ({by}) JOIN ep USING ({by})),
-pr AS (SELECT {by}, id, any_value(y) AS y, 1 / (1 + exp(max(lp) FILTER (WHERE cls = 0) - max(lp) FILTER (WHERE cls = 1)))
-  AS score FROM ll GROUP BY 1, 2)"""
+    score = f"""pr{tag} AS (SELECT {by}, id, any_value(y) AS y,
+  1 / (1 + exp(max(lp) FILTER (WHERE cls = 0) - max(lp) FILTER (WHERE cls = 1))) AS score FROM ll{tag} GROUP BY 1, 2)"""
+    best = f"pr{tag} AS (SELECT {by}, id, any_value(truth) AS truth, arg_max(cls, lp) AS guess FROM ll{tag} GROUP BY 1, 2)"
+    return f"""st{tag} AS (SELECT {by}, {cls} AS cls, count(*) AS cnt, {stats} FROM {fit} GROUP BY 1, 2),
+ep{tag} AS (SELECT {by}, 1e-9 * greatest({most}) AS eps, count(*) AS total FROM {fit} GROUP BY 1),
+ll{tag} AS (SELECT r.{by}, r.id, r.y, r.{cls} AS truth, cls, ln(cnt / total) - ({terms}) / 2 AS lp FROM {rows} r
+  JOIN st{tag} USING ({by}) JOIN ep{tag} USING ({by})),
+{score if cls == "y" else best}"""
+
+
+def report_sql(source: str, folds: str | None = None, names: list[str] = _NAMES) -> str:
+    """CTE ``report`` (a row per stage) and ``multi`` (one row): the whole protocol with Gaussian naive Bayes.
+
+    ``source``: id, y, band, split and the scaled features; ``folds``: its train rows with a fold.
+    """
+    stages = "SELECT split AS stage, pr_t.y, score FROM pr_t JOIN te USING (id)"
+    cv = ""
+    if folds:
+        stages += " UNION ALL SELECT 'cv', y, score FROM pr_c"
+        cv = f"""cf AS (SELECT CAST(r.i AS INTEGER) AS g, f.* FROM {folds} f JOIN range(5) r(i) ON f.fold <> r.i),
+ce AS (SELECT fold AS g, * FROM {folds}), {bayes_sql('cf', 'ce', 'g', tag='_c', names=names)},"""
+    return f"""ft AS (SELECT 0 AS g, * FROM {source} WHERE split = 'train'),
+te AS (SELECT 0 AS g, * FROM {source} WHERE split <> 'train'), tt AS (SELECT * FROM te WHERE split = 'test'),
+{bayes_sql('ft', 'te', 'g', tag='_t', names=names)}, {cv} {bayes_sql('ft', 'tt', 'g', 'band', '_m', names)},
+sg AS ({stages}),
+th AS (SELECT i / 100.0::DOUBLE AS t, 2 * sum(CASE WHEN score >= i / 100.0::DOUBLE THEN y ELSE 0 END) AS hit,
+  sum(CASE WHEN score >= i / 100.0::DOUBLE THEN 1 ELSE 0 END) + sum(y) AS named FROM sg, range(10, 91, 5) r(i)
+  WHERE stage = 'val' GROUP BY i),
+best AS (SELECT t FROM th ORDER BY CASE WHEN named = 0 THEN 0 ELSE hit / named END DESC, t LIMIT 1),
+pd AS (SELECT *, CASE WHEN score >= CASE WHEN stage = 'cv' THEN 0.5 ELSE t END THEN 1 ELSE 0 END AS pred FROM sg, best),
+cm AS (SELECT stage, any_value(t) AS threshold, CAST(sum((1 - y) * (1 - pred)) AS BIGINT) AS tn,
+  CAST(sum((1 - y) * pred) AS BIGINT) AS fp, CAST(sum(y * (1 - pred)) AS BIGINT) AS fn,
+  CAST(sum(y * pred) AS BIGINT) AS tp FROM pd GROUP BY 1),
+gs AS (SELECT stage, score, sum(y) AS pos, sum(1 - y) AS neg FROM sg GROUP BY 1, 2),
+gw AS (SELECT *, sum(pos) OVER o AS cp, sum(neg) OVER o AS cn FROM gs
+  WINDOW o AS (PARTITION BY stage ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+rk AS (SELECT stage, round(sum(neg::DOUBLE * (cp - pos / 2)) / (sum(pos)::DOUBLE * sum(neg)::DOUBLE), 4) AS roc_auc,
+  round(sum(pos * (cp / (cp + cn))) / sum(pos), 4) AS pr_auc FROM gw GROUP BY 1),
+report AS (SELECT stage, tn, fp, fn, tp, round((coalesce(tp / nullif(tp + fn, 0), 0) + coalesce(tn / nullif(tn + fp, 0), 0)) / 2, 4)
+  AS balanced_accuracy, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 4) AS f1,
+  round(coalesce(tp / nullif(tp + fp, 0), 0), 4) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 4) AS recall,
+  round((tp + tn) / (tp + tn + fp + fn), 4) AS accuracy, roc_auc, pr_auc, threshold FROM cm JOIN rk USING (stage)),
+kc AS (SELECT DISTINCT band AS c FROM {source} WHERE split IN ('train', 'test')),
+pc AS (SELECT c, count(*) FILTER (truth = c) AS support, count(*) FILTER (guess = c) AS predicted,
+  count(*) FILTER (truth = c AND guess = c) AS hit FROM kc, pr_m GROUP BY 1),
+multi AS (SELECT round(avg(coalesce(2 * hit / nullif(support + predicted, 0), 0)), 4) AS macro_f1,
+  round(sum(support * coalesce(2 * hit / nullif(support + predicted, 0), 0)) / sum(support), 4) AS weighted_f1 FROM pc)"""
 
 
 @query(f"""
@@ -214,7 +258,11 @@ def autoencoder_gradient(spark: SparkSession, sf: str) -> DataFrame:
 # ---- detectors: validation and test metrics ------------------------------------------------------
 
 
-@query()
+@query(f"""
+{FOLDS}, zi AS (SELECT *, h AS id FROM z), fi AS (SELECT *, h AS id FROM fo), {report_sql('zi', 'fi')}
+SELECT report.*, multi.*, '{{}}' AS params, 'supervised' AS strategy_type, 'lineitem' AS dataset, 'gaussian_nb' AS strategy
+FROM report, multi
+""")
 def gaussian_nb_report(spark: SparkSession, sf: str) -> DataFrame:
     return R.detector_report(spark, sf, GaussianBayes())
 
@@ -286,13 +334,13 @@ def fedavg_multi(spark: SparkSession, sf: str) -> DataFrame:
 # ---- benchmarks ----------------------------------------------------------------------------------
 
 
-def write_line_artifact(spark: SparkSession, sf: str, name: str, target: str) -> str:
+def write_line_artifact(spark: SparkSession, sf: str, name: str, target: str, base: str | None = None) -> str:
     """A leak-free artifact of lineitem, scaled on train."""
     family = F.when(F.col("planted") == 1, "malware").otherwise("benign")
     rows = R.split_lines(spark, sf, target).withColumn("family", family)
     rows = rows.select(*R.LINE_FEATURES, "planted", "band", "family", "split")
     scaled = Scaler.fit(rows.where(in_train()), R.LINE_FEATURES).transform(rows)
-    base = staging_path(spark, f"artifact-{name}")
+    base = base or staging_path(spark, f"artifact-{name}")
     written = A.write_rows(remove_overlaps(scaled, R.LINE_FEATURES), base)
     A.write_metadata(spark, line_artifact(written, name), base)
     return base
@@ -310,6 +358,80 @@ def benchmark_one(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def kept_sql(target: str, tag: str) -> str:
+    """CTE ``sc<tag>``: the rows of ``write_line_artifact`` as a source of ``report_sql``."""
+    scaled = _SCALED.replace("FROM sp", f"FROM sp{tag}")
+    columns = ", ".join(R.LINE_FEATURES)
+    return f"""{sql_split('li', target, LINE_HASH, f'sp{tag}')},
+ke{tag} AS (SELECT *, CASE split WHEN 'train' THEN 1 WHEN 'val' THEN 2 ELSE 3 END AS sn FROM sp{tag}
+  QUALIFY sn = min(sn) OVER (PARTITION BY {columns})),
+sc{tag} AS (SELECT planted AS y, band, split, {LINE_HASH} AS id, {scaled} FROM ke{tag})"""
+
+
+def _majority_sql(tag: str) -> str:
+    """Test rows of the majority strategy on ``sc<tag>``: f1, balanced accuracy and macro F1."""
+    return f"""mj{tag} AS (SELECT (SELECT y FROM sc{tag} WHERE split = 'train' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS p,
+  (SELECT band FROM sc{tag} WHERE split = 'train' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS b),
+mt{tag} AS (SELECT sum(y) AS pos, count(*) AS n, any_value(p) AS p, count(DISTINCT band) AS k,
+  2 * count(*) FILTER (band = b) / (count(*) + count(*) FILTER (band = b)) AS f FROM sc{tag}, mj{tag} WHERE split = 'test'),
+ml{tag} AS (SELECT round(CASE WHEN p = 1 THEN 2 * pos / (pos + n) ELSE 0 END, 4) AS f1, 0.5::DOUBLE AS balanced_accuracy,
+  round(f / k, 4) AS macro_f1 FROM mt{tag})"""
+
+
+_BOARD = ["planted", "band"]
+
+
+def _board_sql() -> str:
+    """One statement per table, as the protocol's CTE names repeat."""
+    parts, columns = [], []
+    for t in _BOARD:
+        body = f"""WITH {LI}, {kept_sql(t, '_k')}, {report_sql('sc_k')}, {_majority_sql('_k')}
+SELECT 'gaussian_nb' AS strategy, f1, balanced_accuracy, macro_f1 FROM report, multi WHERE stage = 'test'
+UNION ALL SELECT 'dummy', f1, balanced_accuracy, macro_f1 FROM ml_k"""
+        parts.append(f"t_{t} AS ({body})")
+        columns += [f'{t}.{m} AS "lines-{t}_{m}"' for m in ("f1", "balanced_accuracy", "macro_f1")]
+    tables = " JOIN ".join(f"t_{t} AS {t}" + (" USING (strategy)" if i else "") for i, t in enumerate(_BOARD))
+    return f"WITH {', '.join(parts)} SELECT strategy, {', '.join(columns)} FROM {tables}"
+
+
+@query(_board_sql())
+def benchmark_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
+    """Two strategies on two artifacts that are built on demand, results written, leaderboard read back from them."""
+    results = staging_path(spark, "results")
+    bases = {t: staging_path(spark, f"artifact-{t}") for t in _BOARD}
+    build = {bases[t]: partial(write_line_artifact, spark, sf, f"lines-{t}", t, bases[t]) for t in _BOARD}
+    for detector in (Majority(), GaussianBayes()):
+        run_all(spark, list(bases.values()), detector, results, build)
+    return stored_leaderboard(spark, results, [f"lines-{t}" for t in _BOARD])
+
+
+_FLOW_NAMES = ["f1", "f2", "f3", "f4"]
+_FLOW_SCALED = ", ".join(
+    f"(f{i} - (SELECT avg(f{i}) FROM kept WHERE split = 'train')) / "
+    f"(SELECT stddev_pop(f{i}) FROM kept WHERE split = 'train') AS f{i}"
+    for i in range(1, 5)
+)
+
+
+@query(f"""
+{FLOW_SQL}, zk AS (SELECT y, l_returnflag AS band, split, {LINE_HASH} AS id, {_FLOW_SCALED} FROM kept),
+{report_sql('zk', names=_FLOW_NAMES)}
+SELECT report.*, multi.* FROM report, multi
+""")
+def files_to_detector(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole job: CSV files, cleaning, split, leak control, scaling, artifact, detector, stored results."""
+    raw, base, results = (staging_path(spark, n) for n in ("flow-files", "artifact", "results"))
+    for i in range(3):
+        part = R.raw_flows(spark, sf).where(F.col("l_orderkey") % 3 == i)
+        part.write.option("header", True).csv(f"{raw}/Merged{i}.csv")
+    build = partial(prepare_files, spark, R.FLOW_DEMO, f"{raw}/Merged*.csv", base)
+    run_benchmark(spark, base, GaussianBayes(), results, rebuild=build)
+    multi = read_results(spark, results, "multiclass").select("strategy", "macro_f1", "weighted_f1")
+    binary = read_results(spark, results, "binary").where("stage <> 'cv'")
+    columns = "stage tn fp fn tp balanced_accuracy f1 precision recall accuracy roc_auc pr_auc threshold".split()
+    return binary.join(multi, "strategy").select(*columns, "macro_f1", "weighted_f1")
+
+
 @query()
 def benchmark_all(spark: SparkSession, sf: str) -> DataFrame:
     bases = [write_line_artifact(spark, sf, f"lines-{t}", t) for t in ("planted", "band")]
@@ -341,5 +463,6 @@ def cross_eval(spark: SparkSession, sf: str) -> DataFrame:
     source = {"feature_columns": names, "target_binary": "planted", "target_multiclass": "band", "dataset": "lines"}
     near = {"feature_columns": names, "target_binary": "attack", "target_multiclass": "kind", "dataset": "events"}
     far = near | {"feature_columns": names[:3], "dataset": "few"}
-    done, skipped = cross_evaluate(GaussianBayes(), (li, source), [(ev, near), (ev, far)])
-    return done[0].tables["binary"].withColumn("skipped", F.lit(skipped))
+    results = staging_path(spark, "results")
+    _, skipped = cross_evaluate(GaussianBayes(), (li, source), [(ev, near), (ev, far)], results=results)
+    return read_results(spark, results, "binary").withColumn("skipped", F.lit(skipped))

@@ -3,6 +3,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from netlume.functions.columns import row_hash
+from netlume.operators import ordering
 from netlume.operators import sampling as S
 from netlume.operators.ordering import rank_cuts, running_sums
 from netlume.operators.selection import exact_quantiles, quantiles_of
@@ -80,7 +81,7 @@ def test_sample_with_a_third_of_all_rows_identical(spark):
 
 
 def test_copies_at_the_cut_are_put_back_in_chunks(spark, monkeypatch):
-    monkeypatch.setattr(S, "COPIES_PER_TASK_ROW", 3)
+    monkeypatch.setattr(ordering, "COPIES_PER_CHUNK", 3)
     df = spark.createDataFrame([("a", "same")] * 50, "label string, v string")
     assert S.sample_by_quota(df, "label", 17).count() == 17
 

@@ -98,6 +98,7 @@ def test_telemetry(spark, tmp_path):
     prepare_files(spark, spec, str(tmp_path / "raw" / "IoT_*.csv"), base)
     read, meta = check(spark, base, 200)
     assert sorted(meta["categorical_columns"]) == ["device", "state"]
+    assert meta["source_files"] == ["IoT_Door.csv", "IoT_Fridge.csv"]
     assert "device_fridge" in meta["feature_columns"] and "state___missing__" in meta["feature_columns"]
     assert meta["multiclass_classes"] == ["ddos", "normal", "xss"] and meta["n_rows_before_cleaning"] == 201
     sampled = prepare_files(spark, replace(spec, sample_n=90), str(tmp_path / "raw" / "IoT_*.csv"), str(tmp_path / "few"))

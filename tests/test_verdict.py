@@ -8,6 +8,7 @@ from netlume.detectors.neural import Autoencoder, Mlp
 from netlume.detectors.outliers import nearest
 from netlume.detectors.svm import PlattSvm
 from netlume.functions.columns import row_hash
+from netlume.operators import ordering
 from netlume.operators.sampling import sample_by_quota, stratified_split, with_folds
 
 
@@ -23,6 +24,30 @@ def test_folds_and_splits_deal_out_copies(spark):
     assert [parts[None, s] for s in ("train", "val", "test")] == [34, 8, 8]
 
 
+def test_partial_keys_do_not_depend_on_layout(spark):
+    """Rows that share a hash but differ elsewhere go to the same fold in every layout; equal rows are dealt by counts."""
+    df = spark.range(1000).selectExpr("id % 27 AS k", "id % 400 AS v", "'a' AS t")
+    df = df.withColumn("_h", row_hash(df, ["k"]))
+    seen = []
+    for parts in (2, 5):
+        counted = with_folds(df.repartition(parts), "t", "_h").groupBy("k", "v", "fold").count().collect()
+        seen.append({(r.k, r.v, r.fold): r["count"] for r in counted})
+        assert sum(seen[-1].values()) == 1000
+        assert [sum(n for (_, _, f), n in seen[-1].items() if f == i) for i in range(5)] == [200] * 5
+    assert seen[0] == seen[1]
+
+
+def test_equal_rows_across_many_cuts(spark, monkeypatch):
+    """One row a thousand times, wide names, all cuts inside it."""
+    monkeypatch.setattr(ordering, "COPIES_PER_CHUNK", 7)
+    df = spark.createDataFrame([(1, "a", None)] * 103 + [(2, "a", 1.0), (3, "b", 2.0)], "`k.x` int, t string, `v w` double")
+    df = df.withColumn("_h", row_hash(df, ["k.x"]))
+    folds = with_folds(df, "t", "_h")
+    assert folds.columns == [*df.columns, "fold"]
+    sizes = {(r.t, r.fold): r["count"] for r in folds.groupBy("t", "fold").count().collect()}
+    assert sorted(n for (t, _), n in sizes.items() if t == "a") == [20, 21, 21, 21, 21] and sum(sizes.values()) == 105
+
+
 def test_quota_treats_missing_labels_alike(spark):
     df = spark.createDataFrame([(i, None if i < 10 else "a") for i in range(100)], "k int, t string")
     assert sample_by_quota(df, "t", 200).where("t IS NULL").count() == 10
