@@ -1,8 +1,9 @@
 """Toxicity: a linear classifier of character n-grams scaled by naive Bayes log-count ratios.
 
 A feature is one n-gram of 3 to 6 bytes of the text in lower case (A-Z), hashed to one of 2^20 buckets, present or not. The
-log-count ratio of a bucket compares how many toxic and how many other labelled documents hold it; it is counted over all
-training rows, as sums of fixed-size count vectors. The ``features`` buckets whose ratio is surest stay; each is scaled
+log-count ratio of a bucket compares how many toxic and how many other labelled documents hold it; it is counted over
+``ratio_rows`` labelled training rows, give or take the hash (all of them, if there are fewer; chosen by hash), whose ids are
+broadcast, as sums of fixed-size count vectors. The ``features`` buckets whose ratio is surest stay; each is scaled
 by its ratio, and a logistic regression with an L2 penalty is fitted on a bounded, documented sample of the training
 rows (``fit_rows``, chosen by hash). Scoring is one narrow pass over whole texts with the bounded weight vector.
 
@@ -144,13 +145,18 @@ def train(
     docs: DataFrame,
     labels: DataFrame,
     fit_rows: int = 20_000,
+    ratio_rows: int = 250_000,
     features: int = 8192,
     penalty: float = 1e-5,
     rounds: int = 400,
 ) -> Shared:
     texts, marks = utf8_of(docs), _marks(labels)
     learnable = texts.where(crc_mod(F.col("doc_id"), 5) != 0)  # held-out texts have no mark, so they are not shuffled
-    size, other, toxic = _ratios(learnable.join(marks, "doc_id"))
+    # bounded: the ids of ratio_rows labelled rows are broadcast, so no text is shuffled
+    found = stage(marks.join(learnable.select("doc_id"), "doc_id", "left_semi"), "toxic-found")
+    share = min(1.0, ratio_rows / max(1, found.count()))
+    labelled = stage(found.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000), "toxic-labels")
+    size, other, toxic = _ratios(learnable.join(F.broadcast(labelled), "doc_id"))
     if not size.all():
         rate = float(size[1] / max(1, size.sum()))
         return Shared(docs.sparkSession, (np.zeros(0, np.int64), np.zeros(0), _logit(rate)), _dense)
@@ -165,9 +171,8 @@ def train(
         at = place.get()
         return pd.Series([(lambda x: x[x >= 0].astype("<i4").tobytes())(at[present(t)]) for t in texts])
 
-    # bounded: fit_rows ids are broadcast, and come back as rows of at most ``features`` numbers; no text is shuffled
-    found = marks.join(texts.select("doc_id"), "doc_id", "left_semi")
-    chosen = stage(found.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows), "toxic-fit")
+    # the first fit_rows of them come back as rows of at most ``features`` numbers
+    chosen = stage(labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows), "toxic-fit")
     sample = texts.join(F.broadcast(chosen), "doc_id").select("toxic", pick("text").alias("x"))
     blocks, y = [], []
     for batch in sample.toArrow().to_batches(max_chunksize=512):
