@@ -84,19 +84,23 @@ class IsolationForest(Detector):
     sample: int = 256
 
     def _samples(self, benign: DataFrame) -> DataFrame:
-        """(tree, x): ``sample`` rows per tree, drawn for each tree by its own hash from a pool of
-        trees * sample benign rows (all of them, if there are fewer)."""
-        pool = stage(benign_subsample(benign, "y", "_h", self.trees * self.sample).select("_h", "x"), "tree-pool")
-        each = pool.withColumn("tree", F.explode(F.expr(f"sequence(0, {self.trees - 1})")))
-        draw = Window.partitionBy("tree").orderBy(F.md5(F.concat_ws("|", "tree", "_h")))
-        return each.withColumn("_rn", F.row_number().over(draw)).where(F.col("_rn") <= self.sample)
+        """(tree, _h, x): ``sample`` rows per tree, drawn for each tree by its own hash from a pool of
+        trees * sample benign rows (all of them, if there are fewer). The draw sees ids only; a tree's vectors are
+        joined to it afterwards."""
+        drawn = benign_subsample(benign, "y", "_h", self.trees * self.sample).select("_h", "x")
+        pool = stage(drawn.withColumn("_id", F.monotonically_increasing_id()), "tree-pool")
+        each = pool.select("_id", "_h", F.explode(F.expr(f"sequence(0, {self.trees - 1})")).alias("tree"))
+        draw = Window.partitionBy("tree").orderBy(F.md5(F.concat_ws("|", "tree", "_h")), "_id")
+        picked = each.withColumn("_rn", F.row_number().over(draw)).where(F.col("_rn") <= self.sample)
+        return picked.select("tree", "_id").join(pool, "_id").select("tree", "_h", "x")
 
     def fit(self, train: DataFrame) -> Fitted:
         benign = train.where(F.col("y") == 0)
 
         def build(rows: pd.DataFrame) -> pd.DataFrame:
             tree = int(rows["tree"].iloc[0])
-            x = np.stack(rows.sort_values("_h")["x"].to_numpy())
+            x = np.stack(rows["x"].to_numpy())
+            x = x[np.lexsort((*x.T, rows["_h"].to_numpy().astype(str)))]
             nodes = isolation_tree(x, np.random.default_rng([SEED, tree]))
             return pd.DataFrame([{"size": len(x), **nodes}])
 

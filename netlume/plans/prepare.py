@@ -55,8 +55,10 @@ def clean_flow(raw: DataFrame, spec: DatasetSpec) -> Cleaned:
     """Duplicates and missing values count over all raw columns, before the features are chosen.
 
     The targets depend on the label alone, so they are derived after the duplicates are gone. A label
-    that the taxonomy does not know fails the job if any of its rows is complete.
+    that the taxonomy does not know fails the job, whether its rows are complete or not.
     """
+    labels = raw.select(c(spec.label)).distinct()
+    labels.select(spec.taxonomy.family(c(spec.label)).alias("family")).collect()  # one row per label; unknown ones raise
     features = [n for n in spec.features if n in raw.columns]
     df = raw.withColumns({n: C.finite_number(c(n)) for n in features})
     extra = [n for n, kind in df.dtypes if kind in ("double", "float") and n not in features]

@@ -52,8 +52,10 @@ def test_flow(spark, tmp_path, sample):
         assert 100 < sum(meta["split_rows"].values()) <= 150 and meta["sample_target"] == "150"
 
 
-def test_flow_with_unknown_label_fails(spark, tmp_path):
-    write(tmp_path / "raw" / "Merged1.csv", ["Label", "Rate"], [["BENIGN", 1], ["NEW", 2]])
+@pytest.mark.parametrize("rate", [2, "inf"])
+def test_flow_with_unknown_label_fails(spark, tmp_path, rate):
+    """An unknown label is found on incomplete rows too."""
+    write(tmp_path / "raw" / "Merged1.csv", ["Label", "Rate"], [["BENIGN", 1], ["NEW", rate]])
     spec = replace(FLOW_SPEC, sample_n=None)
     with pytest.raises(Exception, match="Unknown CICIoT2023 attack label: NEW"):
         prepare_files(spark, spec, str(tmp_path / "raw" / "Merged*.csv"), str(tmp_path / "out"))
