@@ -5,10 +5,10 @@ that a staged row is a sequence of numbers in which no phrase reaches across a 0
 
 * A trie of the frequent phrases of k-1 words is broadcast as a double array (base, check). numpy holds one state for
   every text position and advances all of them together, word by word.
-* Positions whose state is alive after k-1 words see a possible phrase of k words. Its hash goes to one of ``CELLS``
-  counters; the counters of all shards are summed. A phrase in a cell under the minimum cannot be frequent. What is left,
-  each distinct phrase once, must also end in a frequent phrase of k-1 words (a semi join): those are the candidates.
-  Both tests are safe, no frequent phrase is lost.
+* Positions whose state is alive after k-1 words see a possible phrase of k words. Each of two hashes puts it in one of
+  its sketch's counters; the counters of all shards are summed. A phrase with a counter under the minimum cannot be frequent.
+  What is left, each distinct phrase once, must also end in a frequent phrase of k-1 words (a semi join): those are the
+  candidates. All tests are safe, no frequent phrase is lost.
 * The trie of the candidates is broadcast, all positions advance through it again, and the accepting states are counted
   with one ``bincount`` per batch. The counts of all shards are summed and those under the minimum leave.
 
@@ -24,12 +24,12 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark import Broadcast
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+import pyarrow as pa
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,11 +42,17 @@ LONGEST = 5
 BREAK = b"\xff"  # no byte of UTF-8
 
 BLOCK_WORDS = 500_000
-BLOCK_PHRASES = 1_000_000
-CELLS = 1 << 21
-CELL_ROW = 1 << 14  # counters in one row of a shard's sketch
+BLOCK_PHRASES = 500_000
+HASHES = 2  # sketches
+WORDS_PER_CELL = 40  # of the corpus; a sketch has a power of two of counters
+LEAST_BITS, MOST_BITS = 16, 29
+CELL_ROW = 1 << 16  # counters in one row of a shard's sketch
+COUNT_ROW = 1 << 13  # phrases in one row of a shard's counts
+FAN_IN = 256  # shards whose sketches are added by one task
 HELD_WORDS = 400_000  # distinct words counted in a task before they are passed on
-BATCH_BYTES = 4_000_000  # of text, or of numbers, that are worked on together
+LEAST_BUCKETS, BUCKET_PHRASES = 16, 20_000  # of the phrases seen, and about how many phrases are in one
+HELD_SIGHTINGS = 1_000_000  # phrases seen in a task before repeats among them are removed
+BATCH_BYTES = 1_000_000  # of text, or of numbers, that are worked on together
 SALTS = 64
 
 _TABLE = bytearray(range(256))
@@ -119,17 +125,20 @@ def number_words(texts: DataFrame, words: DataFrame, n_words: int) -> DataFrame:
     now = texts.withColumn("seq", empty)
     for block in range(blocks):
         part = words.where((F.col("id") - 1) % blocks == block) if blocks > 1 else words
-        now = _look_up(now, part.select("lang", "word", "id").toPandas(), last=block == blocks - 1)
+        now = _look_up(now, part.select("lang", "word", "id").toArrow(), last=block == blocks - 1)
         if block < blocks - 1:
             now = stage(now, "numbered-texts")
     return now
 
 
-def _look_up(texts: DataFrame, words: pd.DataFrame, last: bool) -> DataFrame:
-    def make(value: pd.DataFrame) -> dict[str, dict[bytes, int]]:
-        return {k: dict(zip(map(bytes, g["word"]), g["id"].tolist())) for k, g in value.groupby("lang")}
+def _look_up(texts: DataFrame, words: pa.Table, last: bool) -> DataFrame:
+    def make(value: tuple[list[str], list[bytes], list[int]]) -> dict[str, dict[bytes, int]]:
+        out: dict[str, dict[bytes, int]] = {}
+        for lang, word, number in zip(*value):
+            out.setdefault(lang, {})[word] = number
+        return out
 
-    model = Shared(texts.sparkSession, words, make)
+    model = Shared(texts.sparkSession, tuple(words[n].to_pylist() for n in ("lang", "word", "id")), make)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary = model.get()
@@ -137,7 +146,7 @@ def _look_up(texts: DataFrame, words: pd.DataFrame, last: bool) -> DataFrame:
             made = []
             for lang, text, old in zip(batch["lang"], batch["text"], batch["seq"]):
                 known, found = vocabulary.get(lang, {}), words_of(text)
-                seq = np.fromiter((known.get(w, 0) for w in found), np.int32, len(found))
+                seq = np.fromiter(map(known.get, found, repeat(0)), np.int32, len(found))
                 if old is not None:
                     seq = np.maximum(seq, np.frombuffer(old, "<i4"))
                 if last:  # two numbers 0 in a row say no more than one
@@ -163,13 +172,14 @@ def double_array(phrases: np.ndarray) -> tuple[np.ndarray, ...]:
     digits = digits_of(names)
     order = np.lexsort(phrases.T[::-1])
     coded = np.searchsorted(names, phrases[order])
-    steps = [(coded[:, w] >> (8 * d)) & 255 for w in range(phrases.shape[1]) for d in range(digits)[::-1]]
+    coded = coded.astype(np.int32)
     room = 1024 + 2 * n
     base, check, taken = np.zeros(room, np.int32), np.zeros(room, np.int32), np.zeros(room, bool)
     taken[:2] = True
     rng, top = np.random.default_rng(n), 2  # places from ``top`` on are free
     state = np.ones(n, np.int32)  # of every phrase, after the steps so far
-    for step in steps:
+    for w, d in ((w, d) for w in range(phrases.shape[1]) for d in range(digits)[::-1]):
+        step = (coded[:, w] >> (8 * d)) & 255
         edge = np.append(True, (np.diff(state) != 0) | (np.diff(step) != 0))
         heads = np.flatnonzero(edge)  # the first phrase of each edge
         parents, labels = state[heads], step[heads]
@@ -257,80 +267,201 @@ def mixed(columns: list[np.ndarray]) -> np.ndarray:
     return out * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def next_words(trie: Trie, seq: np.ndarray) -> list[np.ndarray]:
-    """Word columns of every sighting of a phrase one word longer than those of the trie."""
-    at, _ = trie.walk(seq)
-    at = at[at + trie.depth < len(seq)]
-    at = at[seq[at + trie.depth] > 0]
-    return [seq[at + i] for i in range(trie.depth + 1)]
+def next_words(trie: Trie, seq: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Every sighting of a phrase one word longer than those of the trie: its word columns, and a number that tells it
+    from others (the state of what the trie holds, and the next word)."""
+    at, state = trie.walk(seq)
+    keep = at + trie.depth < len(seq)
+    at, state = at[keep], state[keep]
+    keep = seq[at + trie.depth] > 0
+    at, state = at[keep], state[keep]
+    return [seq[at + i] for i in range(trie.depth + 1)], (state.astype(np.int64) << 32) | seq[at + trie.depth]
 
 
-def cells_of(columns: list[np.ndarray]) -> np.ndarray:
-    return (mixed(columns) >> np.uint64(20)).astype(np.int64) & (CELLS - 1)
+def cells_of(columns: list[np.ndarray], bits: int) -> list[np.ndarray]:
+    """The counter of each phrase in each sketch: separate digits of one 64-bit hash."""
+    code = mixed(columns)
+    return [((code >> np.uint64(64 - (i + 1) * bits)) & np.uint64((1 << bits) - 1)).astype(np.int64) for i in range(HASHES)]
 
 
-def sketch(seqs: DataFrame, tries: list[Broadcast], minimum: int) -> np.ndarray:
-    """Flags of the cells in which the next longer phrases reach the minimum together."""
+def sketch_bits(words: int) -> int:
+    """Digits of a counter's number: the load of a counter does not grow with the input until the largest sketch."""
+    return min(max((words // WORDS_PER_CELL).bit_length(), LEAST_BITS), MOST_BITS)
+
+
+def _added(cells: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(cells, kind="stable")
+    cells, counts = cells[order], counts[order]
+    starts = np.flatnonzero(np.append(True, np.diff(cells) != 0)) if len(cells) else np.zeros(0, int)
+    return cells[starts], np.add.reduceat(counts, starts) if len(cells) else counts
+
+
+def sketch(seqs: DataFrame, tries: list[Broadcast], minimum: int, bits: int) -> list[np.ndarray]:
+    """Per hash the packed flags of the counters in which the next longer phrases reach the minimum together.
+
+    A task passes on the counters it has used. A counter stops at the largest value of the smallest type that can hold the
+    minimum: a sum of such counters reaches the minimum exactly when the sum of the true counts does.
+    """
+    kind = np.min_scalar_type(minimum)
+    most = int(np.iinfo(kind).max)
+    parts = -(-seqs.rdd.getNumPartitions() // FAN_IN)
+
+    def rows_of(cells: np.ndarray, counts: np.ndarray, part: int) -> pd.DataFrame:
+        counts = np.minimum(counts, most).astype(kind)
+        starts = np.flatnonzero(np.append(True, np.diff(cells // CELL_ROW) != 0))
+        ends = np.append(starts[1:], len(cells))
+        at = (cells % CELL_ROW).astype(np.uint16)
+        return pd.DataFrame(
+            {
+                "row": cells[starts] // CELL_ROW,
+                "part": part,
+                "at": [at[i:j].tobytes() for i, j in zip(starts, ends)],
+                "n": [counts[i:j].tobytes() for i, j in zip(starts, ends)],
+            }
+        )
 
     def count(trie: Broadcast):
         def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total, tree = np.zeros(CELLS, np.int64), Trie(trie.value)
+            tree, part = Trie(trie.value), TaskContext.get().partitionId() % parts
+            held: list[tuple[np.ndarray, np.ndarray]] = []
             for seq in sequences(batches):
-                columns = next_words(tree, seq)
-                total += np.bincount(cells_of(columns), minlength=CELLS)
-            rows = total.reshape(-1, CELL_ROW)
-            for i in np.flatnonzero(rows.any(axis=1)):
-                yield pd.DataFrame({"row": [i], "n": [rows[i].astype(float)]})
-
-        return seqs.mapInPandas(work, "row int, n array<double>")
+                digits = cells_of(next_words(tree, seq)[0], bits)
+                # the counters of the second hash are numbered after those of the first
+                cells = np.concatenate([c + (i << bits) for i, c in enumerate(digits)])
+                held.append(_added(cells, np.ones(len(cells), np.int64)))
+                if sum(len(c) for c, _ in held) > HELD_SIGHTINGS:
+                    held = [_added(*(np.concatenate(x) for x in zip(*held)))]
+                    if len(held[0][0]) > HELD_SIGHTINGS // 2:
+                        yield rows_of(*held.pop(), part)
+            if held:
+                cells, counts = _added(*(np.concatenate(x) for x in zip(*held)))
+                if len(cells):
+                    yield rows_of(cells, counts, part)
+
+        return seqs.mapInPandas(work, "row int, part int, at binary, n binary")
+
+    def total_of(rows: pd.DataFrame) -> np.ndarray:
+        total = np.zeros(CELL_ROW, np.int64)
+        for at, n in zip(rows["at"], rows["n"]):
+            total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, kind)
+        return np.minimum(total, most)
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        total = total_of(rows)
+        used = np.flatnonzero(total)
+        return rows_of(used + int(rows["row"].iloc[0]) * CELL_ROW, total[used], 0)
+
+    def flag(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"row": rows["row"].iloc[:1], "full": [np.packbits(total_of(rows) >= minimum).tobytes()]})
 
     made = reduce(DataFrame.union, map(count, tries))
-    total = made.groupBy("row").agg(vector_to_array(Summarizer.sum(array_to_vector("n"))).alias("n"))
-    full = np.zeros((CELLS // CELL_ROW, CELL_ROW), bool)
-    flags = F.transform("n", lambda x: (x >= minimum).cast("byte"))
-    for r in total.select("row", flags.alias("n")).toPandas().itertuples():  # CELLS flags, whatever the input
-        full[r.row] = np.asarray(r.n, bool)
-    return full.ravel()
+    if parts > 1:
+        made = made.groupBy("row", "part").applyInPandas(add, made.schema)
+    # at most HASHES << MOST_BITS bits reach the driver, whatever the input
+    found = made.groupBy("row").applyInPandas(flag, "row int, full binary").toArrow()
+    out = np.zeros((max(1, (HASHES << bits) // CELL_ROW), CELL_ROW // 8), np.uint8)
+    for row, packed in zip(found["row"].to_pylist(), found["full"].to_pylist()):
+        out[row] = np.frombuffer(packed, np.uint8)
+    return list(out.reshape(HASHES, -1))
+
+
+def is_full(packed: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    return (packed[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 > 0
+
 
+def sightings(seqs: DataFrame, tries: list[Broadcast], full: list[np.ndarray], bits: int) -> DataFrame:
+    """(p): the distinct next longer phrases in full cells that begin with a phrase of the tries.
 
-def sightings(seqs: DataFrame, tries: list[Broadcast], full: np.ndarray, length: int) -> DataFrame:
-    """(p): the distinct phrases of ``length`` words in full cells that begin with a phrase of the tries."""
-    cells = seqs.sparkSession.sparkContext.broadcast(np.packbits(full))
+    A shard passes on what it has seen, each phrase once, in one row per bucket; buckets follow the number of full cells,
+    and repeats from different shards are removed bucket by bucket, for ``FAN_IN`` shards at first.
+    """
+    sent = seqs.sparkSession.sparkContext.broadcast(full)
+    parts = -(-seqs.rdd.getNumPartitions() // FAN_IN)
+    buckets = max(LEAST_BUCKETS, int(np.bitwise_count(full[0]).sum()) // BUCKET_PHRASES)
+
+    def rows_of(phrases: np.ndarray, part: int) -> pd.DataFrame:
+        bucket = (mixed(list(phrases.T)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        phrases, bucket = np.ascontiguousarray(phrases[order], "<i4"), bucket[order]
+        starts = np.flatnonzero(np.append(True, np.diff(bucket) != 0)) if len(bucket) else np.zeros(0, int)
+        ends = np.append(starts[1:], len(bucket))
+        packed = [phrases[i:j].tobytes() for i, j in zip(starts, ends)]
+        return pd.DataFrame({"bucket": bucket[starts], "part": part, "p": packed})
 
     def see(trie: Broadcast):
         def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            flags, tree = np.unpackbits(cells.value), Trie(trie.value)
+            flags, tree, part = sent.value, Trie(trie.value), TaskContext.get().partitionId() % parts
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+
+            def distinct() -> tuple[np.ndarray, np.ndarray]:
+                keys = np.concatenate([k for k, _ in held])
+                keys, first = np.unique(keys, return_index=True)
+                return keys, np.concatenate([p for _, p in held])[first]
+
             for seq in sequences(batches):
-                columns = next_words(tree, seq)
-                keep = flags[cells_of(columns)] > 0
-                if keep.any():
-                    found = np.unique(np.stack([c[keep] for c in columns], axis=1), axis=0)
-                    yield pd.DataFrame({"p": list(found)})
+                columns, keys = next_words(tree, seq)
+                keep = np.logical_and.reduce([is_full(f, cells) for f, cells in zip(flags, cells_of(columns, bits))])
+                keys, first = np.unique(keys[keep], return_index=True)
+                held.append((keys, np.stack([c[keep][first] for c in columns], axis=1)))
+                if sum(len(k) for k, _ in held) > HELD_SIGHTINGS:
+                    held = [distinct()]
+                    if len(held[0][0]) > HELD_SIGHTINGS // 2:
+                        yield rows_of(held.pop()[1], part)
+            if held:
+                yield rows_of(distinct()[1], part)
+
+        def phrases_of(rows: pd.DataFrame) -> np.ndarray:
+            seen = np.frombuffer(b"".join(rows["p"]), "<i4").reshape(-1, Trie(trie.value).depth + 1)
+            return np.unique(seen, axis=0)
+
+        def merge(rows: pd.DataFrame) -> pd.DataFrame:
+            return rows_of(phrases_of(rows), 0)
 
-        return seqs.mapInPandas(work, "p array<int>")
+        def name(rows: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"p": list(phrases_of(rows))})
 
-    return reduce(DataFrame.union, map(see, tries)).distinct()
+        made = seqs.mapInPandas(work, "bucket int, part int, p binary")
+        if parts > 1:
+            made = made.groupBy("bucket", "part").applyInPandas(merge, made.schema)
+        return made.groupBy("bucket").applyInPandas(name, "p array<int>")
+
+    # the tries hold different phrases, so their sightings differ too
+    return reduce(DataFrame.union, map(see, tries))
 
 
 def count_phrases(seqs: DataFrame, tries: list[Broadcast], minimum: int) -> DataFrame:
-    """(p, f): how often the phrases of the tries occur, if ``minimum`` times at least. The accepting states are counted, a shard at a time."""
+    """(p, f): how often the phrases of the tries occur, if ``minimum`` times at least.
+
+    Each shard counts the accepting states and passes the counts on in rows of ``COUNT_ROW``, which are added up.
+    """
+    parts = -(-seqs.rdd.getNumPartitions() // FAN_IN)
 
     def count(trie: Broadcast):
         def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            tree = Trie(trie.value)
+            tree, part = Trie(trie.value), TaskContext.get().partitionId() % parts
             total = np.zeros(len(tree.check), np.int64)
             for seq in sequences(batches):
                 total += np.bincount(tree.walk(seq)[1], minlength=len(total))
-            hit = np.flatnonzero(total[tree.accept])
-            yield pd.DataFrame({"i": hit, "f": total[tree.accept[hit]]})
+            accepted = total[tree.accept]
+            rows = [accepted[i : i + COUNT_ROW] for i in range(0, len(accepted), COUNT_ROW)]
+            used = [i for i, n in enumerate(rows) if n.any()]
+            yield pd.DataFrame({"row": used, "part": part, "n": [rows[i].tobytes() for i in used]})
+
+        def total_of(rows: pd.DataFrame) -> np.ndarray:
+            return np.sum([np.frombuffer(n, np.int64) for n in rows["n"]], axis=0)
+
+        def add(rows: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"row": rows["row"].iloc[:1], "part": 0, "n": [total_of(rows).tobytes()]})
 
-        def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            rows = Trie(trie.value).phrases
-            for batch in batches:
-                yield pd.DataFrame({"p": list(rows[batch["i"]]), "f": batch["f"]})
+        def name(rows: pd.DataFrame) -> pd.DataFrame:
+            first, total = int(rows["row"].iloc[0]) * COUNT_ROW, total_of(rows)
+            kept = np.flatnonzero(total >= minimum)
+            return pd.DataFrame({"p": list(Trie(trie.value).phrases[first + kept]), "f": total[kept]})
 
-        sums = seqs.mapInPandas(work, "i int, f bigint").groupBy("i").agg(F.sum("f").alias("f"))
-        return sums.where(F.col("f") >= minimum).mapInPandas(name, "p array<int>, f bigint")
+        made = seqs.mapInPandas(work, "row int, part int, n binary")
+        if parts > 1:
+            made = made.groupBy("row", "part").applyInPandas(add, made.schema)
+        return made.groupBy("row").applyInPandas(name, "p array<int>, f bigint")
 
     return reduce(DataFrame.union, map(count, tries))
 
@@ -341,7 +472,8 @@ def tries_of(phrases: DataFrame, n: int, length: int) -> list[Broadcast]:
     out = []
     for block in range(blocks):
         part = phrases.where(F.pmod(F.xxhash64("p"), F.lit(blocks)) == block) if blocks > 1 else phrases
-        rows = part.select(*[F.col("p")[i].alias(f"w{i}") for i in range(length)]).toPandas().to_numpy(np.int32)
+        words = part.select(*[F.col("p")[i].alias(f"w{i}") for i in range(length)]).toArrow()
+        rows = np.stack([words.column(i).to_numpy() for i in range(length)], axis=1).astype(np.int32)
         out.append(phrases.sparkSession.sparkContext.broadcast(double_array(rows)))
     return out
 
@@ -357,14 +489,14 @@ def frequent_phrases(docs: DataFrame, minimum: int, longest: int = LONGEST) -> t
     totals = stage(counted.groupBy("lang").agg(F.sum("f").alias("n")), "word-totals")
     words = stage(numbered(counted.where(F.col("f") >= minimum), ["lang", "word"], "id"), "words")
     seqs = stage(number_words(texts, words, words.count()), "sequences")
+    bits = sketch_bits(totals.agg(F.sum("n")).first()[0] or 0)
     levels = [words.select(F.array(F.col("id").cast("int")).alias("p"), "f")]
     for length in range(2, longest + 1):
         n = levels[-1].count()
         if not n:
             break
         known = tries_of(levels[-1], n, length - 1)
-        full = sketch(seqs, known, minimum)
-        seen = sightings(seqs, known, full, length)
+        seen = stage(sightings(seqs, known, sketch(seqs, known, minimum, bits), bits), "sightings")
         ends = levels[-1].select("p")
         safe = seen.join(ends.withColumnRenamed("p", "_end"), F.slice("p", 2, length - 1) == F.col("_end"), "left_semi")
         candidates = stage(safe, "candidates")
