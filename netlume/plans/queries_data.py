@@ -28,7 +28,7 @@ from netlume.operators.transform import (
 from netlume.plans import frames as R
 from netlume.plans.prepare import numeric_columns, prepare
 from netlume.sources.csv import FILE_COLUMN, scan_csv, scan_devices
-from netlume.staging import staging_path
+from netlume.staging import stage, staging_path
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -64,6 +64,11 @@ def sql_split(source: str, target: str, hash_sql: str, name: str = "sp") -> str:
 SPLIT_LINES = f"WITH {LI}, {sql_split('li', 'planted', LINE_HASH)}"
 
 
+def split_columns(spark: SparkSession, sf: str, *columns: Column | str) -> DataFrame:
+    """Some columns of lineitem with the split, written once for queries that read them in several passes."""
+    return stage(R.split_lines(spark, sf).select(*columns, "split"), "split-columns")
+
+
 # ---- sampling ------------------------------------------------------------------------------------
 
 
@@ -382,7 +387,7 @@ _COARSE = ["l_quantity", "l_discount", "l_suppkey"]
 SELECT split, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS key_sum FROM o WHERE sn = first GROUP BY 1
 """)
 def remove_overlaps(spark: SparkSession, sf: str) -> DataFrame:
-    rows = R.split_lines(spark, sf).select(*_COARSE, "l_orderkey", "split")
+    rows = split_columns(spark, sf, *_COARSE, "l_orderkey")
     kept = L.remove_overlaps(rows, _COARSE)
     return kept.groupBy("split").agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("key_sum"))
 
@@ -418,7 +423,7 @@ _SCALED = ", ".join(
 SELECT {_overlap_sql('l_quantity, l_discount, l_suppkey', 'z')}
 """)
 def rescaled_overlaps(spark: SparkSession, sf: str) -> DataFrame:
-    rows = R.split_lines(spark, sf).select(*_COARSE, "split")
+    rows = split_columns(spark, sf, *_COARSE)
     scaled = Scaler.fit(rows.where(in_train()), _COARSE).transform(rows)
     return L.count_overlaps(scaled, _COARSE)
 
@@ -434,8 +439,9 @@ SELECT split, count(*) AS n, round(sum(coalesce(a, ma)), 2) AS a_sum, round(avg(
 FROM g, m GROUP BY 1
 """)
 def median_imputation(spark: SparkSession, sf: str) -> DataFrame:
-    rows = R.split_lines(spark, sf).select(
-        "split",
+    rows = split_columns(
+        spark,
+        sf,
         F.when(F.col("l_orderkey") % 10 != 0, F.col("l_quantity")).alias("a"),
         F.when(F.col("l_orderkey") % 7 != 0, F.col("l_extendedprice")).alias("b"),
     )
@@ -454,7 +460,7 @@ _CATEGORY_SQL = "CASE WHEN split = 'test' AND l_linenumber = 7 THEN 'only_test'
 def _categories(spark: SparkSession, sf: str) -> DataFrame:
     unseen = (F.col("split") == "test") & (F.col("l_linenumber") == 7)
     flag = F.when(unseen, "only_test").otherwise(F.col("l_returnflag"))
-    return R.split_lines(spark, sf).select("split", flag.alias("flag"), F.col("l_linestatus").alias("st"))
+    return split_columns(spark, sf, flag.alias("flag"), F.col("l_linestatus").alias("st"))
 
 
 @query(f"""
@@ -495,7 +501,7 @@ SELECT split, CAST(code AS INTEGER) AS at, count(*) AS n FROM (SELECT split, d.c
 """)
 def onehot_sparse(spark: SparkSession, sf: str) -> DataFrame:
     """Indicators of all part keys and line states as sparse vectors: how many rows of a split set each of them."""
-    rows = R.split_lines(spark, sf).select("split", F.col("l_partkey").cast("string").alias("part"), "l_linestatus")
+    rows = split_columns(spark, sf, F.col("l_partkey").cast("string").alias("part"), "l_linestatus")
     coder = OneHot.fit(rows.where(in_train()), ["part", "l_linestatus"])
     sums = coder.sparse(rows, "flags").groupBy("split").agg(Summarizer.sum(F.col("flags")).alias("n"))
     counts = sums.select("split", F.posexplode(vector_to_array("n")).alias("at", "n")).where("n > 0")
@@ -510,7 +516,7 @@ SELECT split, round(avg((l_quantity - m1) / s1), 6) AS quantity_mean,
   max(0.0::DOUBLE) AS same FROM sp, m GROUP BY 1
 """)
 def standard_scale(spark: SparkSession, sf: str) -> DataFrame:
-    rows = R.split_lines(spark, sf).select("split", "l_quantity", "l_tax", F.lit(3.0).cast("double").alias("same"))
+    rows = split_columns(spark, sf, "l_quantity", "l_tax", F.lit(3.0).cast("double").alias("same"))
     columns = ["l_quantity", "l_tax", "same"]
     scaled = Scaler.fit(rows.where(in_train()), columns).transform(rows)
     return scaled.groupBy("split").agg(
