@@ -209,7 +209,7 @@ _INPUTS = {"x0": "l_quantity / 50", "x1": "l_discount * 10", "x2": "l_tax * 10",
 
 def _network(targets: str) -> tuple[Network, np.ndarray]:
     net = Network([4, 3, 2 if targets == "class" else 4], targets)
-    return net, np.random.default_rng(5).normal(size=(1, net.size)).round(3)
+    return net, np.random.default_rng(5).normal(size=(1, net.size))  # no row lies on an edge of a unit
 
 
 def network_sql(targets: str) -> str:
