@@ -435,7 +435,7 @@ def fit(
 
 
 def _average(got: DataFrame, p: dict, names: list[str]) -> dict:
-    """Mean of the shards' weights by tokens, added up in tasks; the driver sees one row."""
+    """Mean of the shards' weights by tokens, added up in tasks; the driver takes one row per task after the other."""
     shapes = {x: p[x].shape for x in names}
 
     def add(frames):

@@ -1,10 +1,10 @@
 """Line deduplication that returns compressed keep bitmaps instead of text.
 
 Long lines become narrow rows (128-bit key hash, document, position). They are range-partitioned by hash, document and
-position and sorted in that order, largest document first, so the first row of a key is the occurrence that stays and a
-key that a third of all rows share is spread over many partitions. Streaming over the sorted runs counts documents per
-key; only one row per key and partition travels further. Shared keys then meet the narrow rows again (a broadcast if the
-staged table is under Spark's own limit, else a sort-merge join whose hot keys adaptive execution splits). Each document
+position and sorted in that order, so that a key that a third of all rows share is spread over many partitions. Two
+groupings follow, by key and document and then by key: they count the documents of a key and find the largest one, which
+keeps the line. Grouping has replaced a stream over the sorted runs. Shared keys then meet the narrow rows again (a broadcast if
+the staged table is under Spark's own limit, else a sort-merge join whose hot keys adaptive execution splits). Each document
 that loses lines gets one bitmap, as runs of dropped lines. Texts are read twice and never shuffled by line.
 
 Rows: a NULL or empty text is one empty line. A NULL id counts as one document that comes before all others. Rows with

@@ -4,7 +4,7 @@ Every ``span``-byte string of a text has one anchor: the position of the smalles
 first, of equal ones). Equal strings have equal anchors at equal offsets, so a string can only repeat under one anchor
 hash. The strings of a text fall into runs with one anchor each; a run is a stretch of bytes.
 
-1. Runs become narrow rows: anchor hash, 128-bit content hash, place. Counts of contents and anchors are aggregates with
+1. Runs become narrow rows: 64-bit anchor hash, 64-bit content hash, place. Counts of contents and anchors are aggregates with
    map-side sums, so any number of exact copies collapses before the shuffle.
 2. A content with two or more places is repeated as a whole. Only anchors with two or more different contents need their
    bytes: one copy of each content goes to the partition of its anchor.
