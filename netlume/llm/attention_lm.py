@@ -1,29 +1,37 @@
 """Language-model scoring: a causal self-attention model in numpy on subword ids, beside a smoothed unigram base.
 
 A text is its words in lower case (A-Z) and one end. Each word, with a space before it, is cut into subword ids of a
-public vocabulary; a frequent word (at least ``FREQUENT_FROM`` times in the training texts, ``FREQUENT`` words at most)
-goes in whole, as one more id; the others are spelled with the first ``SPELLING`` ids. The model reads ids as classes: the most frequent ids are a class each, the others share
-classes by kind (whole word, start or rest of a word), frequency and, for whole words, the topic they occur in most (topics
-are ``TOPICS`` groups of texts by their most frequent words, such as languages; centres and counts take every training
-text); P(id) = P(class | context) * P(id | class), the second factor from
-counts over all training texts. One layer of masked self-attention gives P(class | context). Windows of ``WINDOW`` ids overlap by
-``WINDOW - STEP``, so every id is scored once and sees at least that many ids before it (unless the text begins there).
-
-Counts of words and ids cover all training texts: tasks send one row per word and chunk, and the counts meet by word. The
-weights are fitted on all training texts: each round, every shard of about ``shard_docs`` texts starts from the same
-weights and streams its texts, and the results are averaged by tokens; the shards grow with the corpus. Shards are made by hash, so the fit does not depend on the layout of the table.
+public vocabulary; a frequent word (``FREQUENT`` words at most, none that occurs only once) goes in whole, as one more id,
+so words that occur once stand for unseen ones. The model predicts ids: one layer of masked self-attention gives a state, and
+
+    P(id | context) = sum over topics t of P(kind of id, t | state) * P(id | kind, t).
+
+Both factors see the context: the first is a softmax over kinds (rest or start of a word, common or rare whole word) and
+topics, the state thereby weighs the topics' own distributions over all ids of a kind, which are counts over all training
+texts, backed off to the counts of the kind. The ``SINGLE`` most frequent ids are a kind each. Topics are ``TOPICS`` groups
+of texts by their most frequent words, such as languages. An id is read as the embedding of its kind plus a learned
+projection of its shares of the topics. Windows of ``WINDOW`` ids overlap by ``LEAD``, so every id is scored once and sees
+at least that many ids before it (unless the text begins there).
+
+Counts of words, ids and topics, topic centres and weights take every training text. Words are counted by word; frequent
+ones are cut off by a histogram of counts, never sorted in one task. Texts are encoded once, into a staged table of ids.
+Weights: a bounded number of texts (``warm_docs``, by hash) makes a common start, then every shard of about ``shard_docs``
+texts streams all its texts from there, and the results are averaged by tokens, in tasks, in groups, then at the driver. Shards
+grow with the corpus and are made by hash, so the fit does not depend on the layout of the table.
 
 For the base, the frequent words are sent to the tasks (a fixed bound); the others are joined by word.
 
 Rows: NULL and empty texts are one end. NULL ids are never held out. Repeated rows count and score one by one; other
-columns are ignored. Without training texts all classes are equally likely and the base score is 0.
+columns are ignored. Without training texts all kinds are equally likely and the base score is 0.
 """
 
 from __future__ import annotations
 
 import base64
 from collections import Counter
-from itertools import chain, groupby
+from collections.abc import Iterable, Iterator
+from itertools import accumulate, chain, groupby
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -34,100 +42,137 @@ from pyspark.sql import functions as F
 from netlume.llm.common import Shared, crc_mod, utf8_of
 from netlume.staging import stage
 
-WINDOW, STEP = 32, 24
+WINDOW, STEP = 48, 32
 LEAD = WINDOW - STEP
 WIDTH = 16
-#: Rarer words are spelled with the first ids of the vocabulary only, single bytes and the shortest merges.
-SPELLING = 640
-SINGLE = 144
+SINGLE, KINDS = 96, 4
 TOPICS, CUES = 6, 128
-#: Classes of rarer ids by frequency: rests of words, starts of words, whole words of each topic.
-BANDS = (12, 4, *[6] * TOPICS)
-CLASSES = SINGLE + sum(BANDS)
-FREQUENT, FREQUENT_FROM = 1 << 17, 8
+#: What the model reads (the beginning and the padding come after it) and what its softmax is over.
+READ, WRITE = SINGLE + KINDS, SINGLE + KINDS * TOPICS
+FREQUENT = 1 << 18
 #: Words remembered per Python worker in each of two generations; forgetting changes no result.
 REMEMBERED = 250_000
-#: Most tasks of a training round; a task streams its shards one after another.
-PARTITIONS = 1 << 14
+#: Most tasks of a training round (a task streams its shards one after another), and groups in which their results are added.
+PARTITIONS, GROUPS = 1 << 14, 64
+#: Windows in one step of training, and in one product.
+BATCH = 64
 LN10 = float(np.log(10))
 
 
 # ---- the model -----------------------------------------------------------------------------------
 
+SHAPES = {
+    "emb": (READ + 2, WIDTH),
+    "topic": (TOPICS, WIDTH),
+    "pos": (WINDOW, WIDTH),
+    "wq": (WIDTH, WIDTH),
+    "wk": (WIDTH, WIDTH),
+    "wv": (WIDTH, WIDTH),
+    "wo": (WIDTH, WIDTH),
+    "out": (WIDTH, WRITE),
+    "bias": (WRITE,),
+}
+_ENDS = list(accumulate(int(np.prod(s)) for s in SHAPES.values()))
+
+
+class Tables(NamedTuple):
+    """What counts say of each id. The last row of all but ``read`` and ``share`` is a padded target."""
+
+    read: np.ndarray  # embedding of each id, of the beginning and of the padding
+    share: np.ndarray  # shares of the topics, less those of all texts
+    slot: np.ndarray  # first output of its kind
+    within: np.ndarray  # P(id | kind, topic) at that output and the ones after it
+
+    @property
+    def begin(self) -> int:
+        return len(self.read) - 2
+
 
-def init(prior: np.ndarray, seed: int = 3) -> dict[str, np.ndarray]:
-    """Weights before training: they predict the class frequencies whatever the context."""
+def views(theta: np.ndarray) -> dict[str, np.ndarray]:
+    """The weights by name, as views of one vector."""
+    starts = [0, *_ENDS]
+    return {name: theta[a:b].reshape(shape) for (name, shape), a, b in zip(SHAPES.items(), starts, _ENDS)}
+
+
+def init(prior: np.ndarray, seed: int = 3) -> np.ndarray:
+    """Weights before training: they predict the frequencies of the outputs whatever the context."""
     rng = np.random.default_rng(seed)
-    draw = lambda *shape: rng.normal(0, shape[0] ** -0.5, shape).astype(np.float32)
-    return {
-        "emb": rng.normal(0, 0.3, (CLASSES + 1, WIDTH)).astype(np.float32),  # the last one stands in front of a text
-        "pos": rng.normal(0, 0.1, (WINDOW, WIDTH)).astype(np.float32),
-        "wq": draw(WIDTH, WIDTH),
-        "wk": draw(WIDTH, WIDTH),
-        "wv": draw(WIDTH, WIDTH),
-        "wo": draw(WIDTH, WIDTH),
-        "out": np.zeros((WIDTH, CLASSES), np.float32),
-        "bias": np.log(prior).astype(np.float32),
-    }
+    theta = np.zeros(_ENDS[-1], np.float32)
+    p = views(theta)
+    for name, scale in {"emb": 0.3, "topic": 0.5, "pos": 0.1, "wq": 0.25, "wk": 0.25, "wv": 0.25, "wo": 0.25}.items():
+        p[name][:] = rng.normal(0, scale, SHAPES[name])
+    p["bias"][:] = np.log(prior)
+    return theta
 
 
 _BEFORE = np.arange(WINDOW)[None, :] <= np.arange(LEAD, WINDOW)[:, None]
 _MASK = np.where(_BEFORE, 0, -1e9).astype(np.float32)
+_NEXT = np.arange(TOPICS)
 
 
-def _forward(p: dict, windows: np.ndarray, keep: bool):
-    """Class log probabilities at the last STEP places of each window; padding is class -1."""
-    pad = windows < 0
-    x = p["emb"][windows] + p["pos"]  # -1 picks the last row, which padding masks
-    b = len(windows)
+def _forward(p: dict, tables: Tables, windows: np.ndarray):
+    """exp(logits) at the last STEP places of each window, up to a factor per place, and what the gradient needs."""
+    b, ids = len(windows), windows.ravel()  # padding is -1, the last row
+    x = p["emb"][tables.read[ids]]
+    x += tables.share[ids] @ p["topic"]
+    x = x.reshape(b, WINDOW, WIDTH)
+    x += p["pos"]
     flat = x.reshape(-1, WIDTH)
     xs = np.ascontiguousarray(x[:, LEAD:])
     q = (xs.reshape(-1, WIDTH) @ (p["wq"] * WIDTH**-0.5)).reshape(b, STEP, WIDTH)
     k = (flat @ p["wk"]).reshape(b, WINDOW, WIDTH)
     v = (flat @ p["wv"]).reshape(b, WINDOW, WIDTH)
-    s = q @ k.transpose(0, 2, 1)
-    s += _MASK
+    a = q @ k.transpose(0, 2, 1)
+    a += _MASK
+    pad = windows < 0
     if pad.any():
-        s += np.where(pad, np.float32(-1e9), np.float32(0))[:, None, :]
-    s -= s.max(axis=2, keepdims=True)
-    a = np.exp(s, out=s)
-    a /= a.sum(axis=2, keepdims=True)
+        a += np.where(pad, np.float32(-1e9), np.float32(0))[:, None, :]
+    a -= a.max(axis=2, keepdims=True)
+    np.exp(a, out=a)
+    a *= 1 / a.sum(axis=2, keepdims=True)
     o = a @ v
     h = xs + (o.reshape(-1, WIDTH) @ p["wo"]).reshape(b, STEP, WIDTH)
-    logits = h.reshape(-1, WIDTH) @ p["out"]
-    logits += p["bias"]
-    logits -= logits.max(axis=1, keepdims=True)
-    return logits, ((x, xs, q, k, v, a, o, h) if keep else None)
+    e = h.reshape(-1, WIDTH) @ p["out"]
+    e += p["bias"]
+    e -= e.max(axis=1, keepdims=True)
+    np.exp(e, out=e)
+    return e, (x, xs, q, k, v, a, o, h)
 
 
-def log_probs(p: dict, windows: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """Natural log probability of each target class (places x STEP); -1 gives 0."""
-    logits, _ = _forward(p, windows, False)
+def _own(e: np.ndarray, tables: Tables, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the outputs of each target's kind lie in ``e``, and their parts of its probability."""
+    at = (np.arange(len(targets)) * WRITE + tables.slot[targets])[:, None] + _NEXT
+    return at, np.maximum(e.ravel()[at] * tables.within[targets], 1e-37)
+
+
+def log_probs(p: dict, tables: Tables, windows: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """Natural log probability of each target id (places x STEP); -1 gives 0."""
+    e, _ = _forward(p, tables, windows)
     flat = targets.ravel()
-    own = logits[np.arange(len(flat)), flat]
-    total = np.log(np.exp(logits, out=logits).sum(axis=1))
-    return np.where(flat >= 0, own - total, 0).reshape(targets.shape)
+    own = _own(e, tables, flat)[1].sum(axis=1)
+    return np.where(flat >= 0, np.log(own / e.sum(axis=1)), 0).reshape(targets.shape)
 
 
-def gradient(p: dict, windows: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+def gradient(p: dict, tables: Tables, windows: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean negative log likelihood and its gradient."""
-    logits, (x, xs, q, k, v, a, o, h) = _forward(p, windows, True)
+    e, (x, xs, q, k, v, a, o, h) = _forward(p, tables, windows)
     b, flat = len(windows), targets.ravel()
     real = flat >= 0
-    n = max(1, int(real.sum()))
-    e = np.exp(logits)
-    total = e.sum(axis=1, keepdims=True)
-    loss = float(-(logits[np.arange(len(flat)), flat] - np.log(total[:, 0]))[real].sum() / n)
-    d = e / total
-    d[np.arange(len(flat)), flat] -= 1
-    d *= (real / n).astype(np.float32)[:, None]
+    weight = real / max(1, int(real.sum()))
+    at, pick = _own(e, tables, flat)
+    own, total = pick.sum(axis=1), e.sum(axis=1)
+    loss = float(-(np.log(own / total) * weight).sum())
+    d = e
+    d *= (weight / total).astype(e.dtype)[:, None]
+    d.ravel()[at] -= pick * (weight / own).astype(e.dtype)[:, None]
     g = {"out": h.reshape(-1, WIDTH).T @ d, "bias": d.sum(axis=0)}
     dh = (d @ p["out"].T).reshape(b, STEP, WIDTH)
     g["wo"] = o.reshape(-1, WIDTH).T @ dh.reshape(-1, WIDTH)
     do = (dh.reshape(-1, WIDTH) @ p["wo"].T).reshape(b, STEP, WIDTH)
-    da = do @ v.transpose(0, 2, 1)
     dv = a.transpose(0, 2, 1) @ do
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
+    ds = do @ v.transpose(0, 2, 1)
+    ds -= (do * o).sum(axis=2, keepdims=True)  # the sum over places of a * da
+    ds *= a
     scale = WIDTH**-0.5
     dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q  # q holds the scale already
     flat_x = x.reshape(-1, WIDTH)
@@ -137,38 +182,57 @@ def gradient(p: dict, windows: np.ndarray, targets: np.ndarray) -> tuple[float,
     dx = (dk.reshape(-1, WIDTH) @ p["wk"].T + dv.reshape(-1, WIDTH) @ p["wv"].T).reshape(b, WINDOW, WIDTH)
     dx[:, LEAD:] += dh + (dq.reshape(-1, WIDTH) @ p["wq"].T * scale).reshape(b, STEP, WIDTH)
     g["pos"] = dx.sum(axis=0)
-    g["emb"] = np.zeros_like(p["emb"])
-    np.add.at(g["emb"], windows.ravel(), dx.reshape(-1, WIDTH))
+    ids, dx = windows.ravel(), dx.reshape(-1, WIDTH)
+    g["topic"] = tables.share[ids].T @ dx
+    read = tables.read[ids]
+    g["emb"] = np.stack([np.bincount(read, column, READ + 2) for column in np.ascontiguousarray(dx.T)], axis=1)
     return loss, g
 
 
-def windows_of(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Overlapping windows of one text (its ids as classes, the end included) and their targets, padded with -1."""
-    n = len(classes)
+def windows_of(ids: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
+    """Overlapping windows of one text (its ids, the end included) and their targets, padded with -1."""
+    n = len(ids)
     count = -(-n // STEP)
     inputs = np.full(LEAD + count * STEP, -1, np.int64)
-    inputs[LEAD] = CLASSES
-    inputs[LEAD + 1 : LEAD + n] = classes[:-1]
+    inputs[LEAD] = begin
+    inputs[LEAD + 1 : LEAD + n] = ids[:-1]
     targets = np.full(count * STEP, -1, np.int64)
-    targets[:n] = classes
+    targets[:n] = ids
     at = np.arange(count)[:, None] * STEP + np.arange(WINDOW)
     return inputs[at], targets.reshape(count, STEP)
 
 
-def fit_stream(p: dict, batches, rate: float) -> tuple[dict, int]:
+def batches(texts: Iterable[np.ndarray], begin: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``size`` windows of one or more texts at a time."""
+    held, n = [], 0
+    for ids in texts:
+        held.append(windows_of(ids, begin))
+        n += len(held[-1][0])
+        if n >= size:
+            windows, targets = (np.concatenate(x) for x in zip(*held))
+            full = n - n % size
+            for at in range(0, full, size):
+                yield windows[at : at + size], targets[at : at + size]
+            held, n = [(windows[full:], targets[full:])], n - full
+    if n:
+        yield tuple(np.concatenate(x) for x in zip(*held))
+
+
+def fit_stream(theta: np.ndarray, tables: Tables, pairs, rate: float) -> tuple[np.ndarray, int]:
     """Weights after one pass of Adam, and how many targets it saw."""
-    p = {name: w.copy() for name, w in p.items()}
-    m = {name: np.zeros_like(w) for name, w in p.items()}
-    u = {name: np.zeros_like(w) for name, w in p.items()}
+    theta = theta.copy()
+    p = views(theta)
+    m, u = np.zeros_like(theta), np.zeros_like(theta)
     seen, t = 0, 0
-    for windows, targets in batches:
+    for windows, targets in pairs:
         t += 1
         seen += int((targets >= 0).sum())
-        for name, g in gradient(p, windows, targets)[1].items():
-            m[name] += 0.1 * (g - m[name])
-            u[name] += 0.01 * (g * g - u[name])
-            p[name] -= rate * (m[name] / (1 - 0.9**t)) / (np.sqrt(u[name] / (1 - 0.99**t)) + 1e-8)
-    return p, seen
+        g = gradient(p, tables, windows, targets)[1]
+        g = np.concatenate([g[name].ravel() for name in SHAPES]).astype(np.float32)
+        m += 0.1 * (g - m)
+        u += 0.01 * (g * g - u)
+        theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(u / (1 - 0.99**t)) + 1e-8)
+    return theta, seen
 
 
 # ---- subwords ------------------------------------------------------------------------------------
@@ -179,13 +243,10 @@ class Subwords:
 
     def __init__(self, raw: bytes, frequent: list[bytes] = ()):
         ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, raw.splitlines())}
-        ranks = {piece: rank for piece, rank in ranks.items() if rank < SPELLING}
         self.end = max(ranks.values()) + 1
         self.first = self.end + 1  # id of the first frequent word
-        self.kind = np.full(self.first + len(frequent), 2)
-        self.kind[: self.end] = 0
-        for piece, rank in ranks.items():
-            self.kind[rank] = piece[:1] == b" "
+        self.size = self.first + len(frequent)
+        self.starts = [rank for piece, rank in ranks.items() if piece[:1] == b" "]
         self.whole = {w: (self.first + i).to_bytes(4, "little") for i, w in enumerate(frequent)}
         # a word goes in whole: the pattern takes everything as one piece
         self.code = tiktoken.Encoding("subwords", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
@@ -242,26 +303,6 @@ def word_counts(texts: DataFrame, chunk_words: int = 300_000) -> DataFrame:
     return stage(sent.groupBy("word").agg(F.sum("c").alias("c")), "words")
 
 
-def id_counts(words: DataFrame, shared: Shared) -> np.ndarray:
-    """How often each id occurs in the training texts, from the counts of distinct words."""
-
-    def count(frames):
-        code = shared.get()
-        total = np.zeros(len(code.kind), np.int64)
-        for frame in frames:
-            words, c = list(frame["word"]), frame["c"].to_numpy()
-            ids = [code.ids([w])[0][:-1] if w else np.array([code.end]) for w in words]
-            np.add.at(total, np.concatenate(ids), np.repeat(c, [len(x) for x in ids]))
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"id": at, "c": total[at]})
-
-    rows = words.mapInPandas(count, "id long, c long").groupBy("id").agg(F.sum("c").alias("c"))
-    counts = np.zeros(len(shared.get().kind), np.int64)
-    for r in rows.collect():  # at most one row per id
-        counts[r["id"]] = r["c"]
-    return counts
-
-
 def cue_counts(ids: np.ndarray, first: int) -> np.ndarray:
     """How often each of the most frequent words occurs in a text."""
     return np.bincount(ids[(ids >= first) & (ids < first + CUES)] - first, minlength=CUES).astype("<i4")
@@ -331,154 +372,165 @@ def topic_centres(cues: DataFrame, rounds: int = 15) -> np.ndarray:
     return centres
 
 
-def word_topics(texts: DataFrame, parts: tuple) -> np.ndarray:
-    """The topic in which each frequent word occurs most, counted over all training texts."""
-    size = len(parts[1])
-    code = Shared(texts.sparkSession, parts, _subword_parts)
+def frequent_words(words: DataFrame) -> pd.DataFrame:
+    """(word, c) of at most FREQUENT words that occur twice or more, the most frequent ones first.
 
-    def cues_of(frames):
-        local = code.get()
-        for frame in frames:
-            counts = [cue_counts(local.ids(words_of(t))[0], local.first) for t in frame["text"]]
-            yield pd.DataFrame({"cues": [c.tobytes() for c in counts if c.any()]}, dtype=object)
+    A histogram of counts in sixteenths of an octave, about a thousand rows at most, tells from which count on words fit.
+    """
+    often = words.where("word <> X'' AND c > 1").withColumn("step", F.floor(F.log2("c") * 16))
+    held, least = 0, None
+    for r in often.groupBy("step").count().orderBy(F.desc("step")).collect():
+        held += r["count"]
+        if held > FREQUENT:
+            break
+        least = r["step"]
+    chosen = often.where(F.col("step") >= least) if least is not None else often.limit(0)
+    top = chosen.select("word", "c").toArrow().to_pandas()
+    top["word"] = [bytes(w) for w in top["word"]]
+    return top.sort_values(["c", "word"], ascending=[False, True], ignore_index=True)
 
-    centres = topic_centres(stage(texts.select("text").mapInPandas(cues_of, "cues binary"), "lm-cues"))
-    shared = Shared(texts.sparkSession, (*parts, centres), _topic_parts)
+
+def topic_counts(coded: DataFrame, centres: np.ndarray, size: int) -> np.ndarray:
+    """How often each id occurs in the training texts of each topic (size x TOPICS)."""
+    shared = Shared(coded.sparkSession, centres, _same)
 
     def count(frames):
-        code, centres = shared.get()
-        total = np.zeros((TOPICS, size), np.int64)
+        centres = shared.get()
+        total = np.zeros((size, TOPICS), np.int64)
         for frame in frames:
-            for text in frame["text"]:
-                ids = code.ids(words_of(text))[0]
-                topic = int(np.argmax(np.round(centres @ cue_shares(cue_counts(ids, code.first)), 9)))
-                np.add.at(total[topic], ids[ids >= code.first] - code.first, 1)
-        yield pd.DataFrame({"topic": range(TOPICS), "counts": [x.tobytes() for x in total]})
+            for ids, cues in zip(frame["ids"], frame["cues"]):
+                topic = 0
+                if cues is not None:
+                    topic = int(np.argmax(np.round(centres @ cue_shares(np.frombuffer(cues, "<i4")), 9)))
+                np.add.at(total[:, topic], np.frombuffer(ids, "<i4"), 1)
+        at, topic = np.nonzero(total)
+        yield pd.DataFrame({"id": at, "topic": topic, "c": total[at, topic]})
+
+    rows = coded.select("ids", "cues").mapInPandas(count, "id long, topic int, c long")
+    got = rows.groupBy("id", "topic").agg(F.sum("c").alias("c")).toArrow()  # at most one row per id and topic
+    counts = np.zeros((size, TOPICS), np.int64)
+    counts[got["id"].to_numpy(), got["topic"].to_numpy()] = got["c"].to_numpy()
+    return counts
 
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(x, np.int64) for x in frame["counts"]], axis=0)
-        return pd.DataFrame({"topic": frame["topic"][:1], "counts": [total.tobytes()]})
-
-    schema = "topic int, counts binary"
-    best = np.zeros((TOPICS, size), np.int64)
-    for r in texts.select("text").mapInPandas(count, schema).groupBy("topic").applyInPandas(add, schema).collect():
-        best[r["topic"]] = np.frombuffer(r["counts"], np.int64)
-    return np.argmax(best, axis=0)
-
-
-def classes_of(
-    counts: np.ndarray, kind: np.ndarray, topics: np.ndarray
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class of each id, log10 P(id | class), and the class frequencies."""
-    kind = kind.copy()
-    kind[len(kind) - len(topics) :] = 2 + topics
-    order = np.lexsort((np.arange(len(counts)), -counts))
-    cls = np.empty(len(counts), np.int64)
-    cls[order[:SINGLE]] = np.arange(SINGLE)
-    tail, first = order[SINGLE:], SINGLE
-    smooth = counts + 0.5
-    for k, bands in enumerate(BANDS):
-        own = tail[kind[tail] == k]
-        share = np.cumsum(smooth[own])
-        if len(own):
-            cls[own] = first + np.minimum((share * bands / share[-1]).astype(int), bands - 1)
-        first += bands
-    of_class = np.maximum(np.bincount(cls, smooth, minlength=CLASSES), 0.5)
-    return cls, np.log10(smooth / of_class[cls]), of_class / of_class.sum()
+
+def tables_of(counts: np.ndarray, code: Subwords, back_off: float = 200.0) -> tuple[Tables, np.ndarray]:
+    """The tables of all ids from their counts by topic, and the frequencies of the outputs."""
+    size, all_ = len(counts), counts.sum(axis=1)
+    kind = np.zeros(size, np.int64)
+    kind[code.starts] = 1
+    kind[code.first :] = 3
+    mass = np.cumsum(all_[code.first :])  # frequent words come first
+    kind[code.first :][mass * 2 <= (mass[-1] if len(mass) else 0)] = 2
+    order = np.lexsort((np.arange(size), -all_, np.arange(size) != code.end))
+    single = order[:SINGLE]
+    read = SINGLE + kind
+    read[single] = np.arange(SINGLE)
+    slot = SINGLE + kind * TOPICS
+    slot[single] = np.arange(SINGLE)
+    within = np.zeros((size + 1, TOPICS))
+    prior = np.full(WRITE, 0.5)
+    prior[:SINGLE] += all_[single]
+    for k in range(KINDS):
+        own = np.flatnonzero(read == SINGLE + k)
+        smooth = all_[own] + 0.5
+        in_topic = counts[own].sum(axis=0)
+        prior[SINGLE + k * TOPICS :][:TOPICS] += in_topic
+        within[own] = (counts[own] + back_off * (smooth / smooth.sum())[:, None]) / (in_topic + back_off)
+    within[single] = np.arange(TOPICS) == 0
+    within[-1] = 1
+    overall = (counts.sum(axis=0) + 1) / (all_.sum() + TOPICS)
+    share = np.zeros((size + 2, TOPICS))
+    share[:size] = (counts + overall) / (all_[:, None] + 1) - overall
+    made = Tables(np.r_[read, READ, READ + 1], share.astype(np.float32), np.r_[slot, 0], within.astype(np.float32))
+    return made, prior / prior.sum()
 
 
 # ---- jobs ----------------------------------------------------------------------------------------
 
 
-def _stack(texts, code: Subwords, cls: np.ndarray, size: int):
-    """Batches of windows of many texts."""
-    held, n = [], 0
-    for text in texts:
-        pair = windows_of(cls[code.ids(words_of(text))[0]])
-        held.append(pair)
-        n += len(pair[0])
-        while n >= size:
-            windows, targets = (np.concatenate(x) for x in zip(*held))
-            yield windows[:size], targets[:size]
-            held, n = [(windows[size:], targets[size:])], n - size
-    if n:
-        yield tuple(np.concatenate(x) for x in zip(*held))
+def encode(rows: DataFrame, parts: tuple, logs: np.ndarray) -> DataFrame:
+    """``rows`` with the ids of their texts, the counts of cues, and the base's part of the frequent words."""
+    shared = Shared(rows.sparkSession, (*parts, logs), _encode_parts)
 
+    @F.pandas_udf("n long, known long, base double, rare array<binary>, ids binary, cues binary")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        code, logs = shared.get()
+        out = []
+        for text in texts:
+            words = words_of(text)
+            ids, rare = code.ids(words)
+            cues = cue_counts(ids, code.first)
+            base = float(logs[ids[ids >= code.first] - code.first].sum())
+            out.append((len(words) + 1, len(words) - len(rare), base, rare, ids.tobytes(), cues.tobytes() if cues.any() else None))
+        return pd.DataFrame(out, columns=["n", "known", "base", "rare", "ids", "cues"])
 
-def fit(
-    texts: DataFrame, code: tuple, cls: np.ndarray, prior: np.ndarray, shard_docs: int, rounds: int, rate: float
-) -> dict[str, np.ndarray]:
-    """Weights fitted on all training texts."""
-    key = F.xxhash64("doc_id", "text")
-    n = texts.count()
-    shards = max(1, round(n / shard_docs))
-    rows = texts.select("text", key.alias("key"), F.pmod(key, F.lit(shards)).alias("bucket"))
-    dealt = rows.repartition(min(shards, PARTITIONS), "bucket").sortWithinPartitions("bucket", "key", "text")
-    p = init(prior)
-    names = list(p)
-    for k in range(rounds if n else 0):
-        shared = Shared(texts.sparkSession, (*code, cls, p), _fit_parts)
-        step = rate / (k + 1)
-
-        def run(frames, shared=shared, step=step):
-            code, cls, p = shared.get()
-
-            rows = chain.from_iterable(zip(frame["bucket"], frame["text"]) for frame in frames)
-            for bucket, own in groupby(rows, key=lambda row: row[0]):  # about shard_docs texts
-                w, seen = fit_stream(p, _stack((text for _, text in own), code, cls, 64), step)
-                yield pd.DataFrame({"bucket": [bucket], "seen": [seen]} | {n: [x.tobytes()] for n, x in w.items()})
-
-        schema = "bucket long, seen long, " + ", ".join(f"{x} binary" for x in names)
-        got = dealt.select("bucket", "text").mapInPandas(run, schema)
-        p = _average(got, p, names)
-    return p
-
-
-def _average(got: DataFrame, p: dict, names: list[str]) -> dict:
-    """Mean of the shards' weights by tokens, added up in tasks; the driver takes one row per task after the other."""
-    shapes = {x: p[x].shape for x in names}
-
-    def add(frames):
-        total = {x: np.zeros(p[x].size) for x in names}
-        seen = 0
-        for frame in frames:
-            for r in frame.itertuples(index=False):
-                for x in names:
-                    total[x] += np.frombuffer(getattr(r, x), np.float32).astype(float) * r.seen
-                seen += r.seen
-        yield pd.DataFrame({"seen": [seen]} | {x: [total[x].tobytes()] for x in names})
+    made = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out", run("text").alias("x"))
+    return made.select("uid", "doc_id", "held_out", "x.*")
+
+
+def fit_round(coded: DataFrame, tables: Tables, theta: np.ndarray, shards: int, rate: float) -> np.ndarray:
+    """Mean by tokens of the weights of all shards, each after one pass over its texts from ``theta``."""
+    key = F.xxhash64("doc_id", "ids")
+    bucket = F.pmod(F.xxhash64(key, F.lit(17)), F.lit(shards)).alias("bucket")
+    rows = coded.select("ids", key.alias("key"), bucket)
+    dealt = rows.repartition(min(shards, PARTITIONS), "bucket").sortWithinPartitions("bucket", "key", "ids")
+    shared = Shared(coded.sparkSession, (*tables, theta), _model_parts)
+
+    def run(frames):
+        tables, theta = shared.get()
+        total, seen, group = np.zeros(len(theta)), 0, 0
+        rows = chain.from_iterable(zip(frame["bucket"], frame["ids"]) for frame in frames)
+        for bucket, own in groupby(rows, key=lambda row: row[0]):  # about shard_docs texts
+            texts = (np.frombuffer(ids, "<i4") for _, ids in own)
+            w, n = fit_stream(theta, tables, batches(texts, tables.begin, BATCH), rate)
+            total += w.astype(float) * n
+            seen, group = seen + n, bucket % GROUPS
+        if seen:
+            yield pd.DataFrame({"grp": [group], "seen": [seen], "w": [total.tobytes()]})
 
-    rows = got.mapInPandas(add, "seen long, " + ", ".join(f"{x} binary" for x in names))
-    rows = sorted(rows.where("seen > 0").toLocalIterator(), key=lambda r: bytes(r["bias"]))
-    total, seen = {x: np.zeros(p[x].size) for x in names}, 0
-    for r in rows:
-        seen += r["seen"]
-        for x in names:
-            total[x] += np.frombuffer(r[x], float)
-    return {x: (total[x] / max(1, seen)).reshape(shapes[x]).astype(np.float32) for x in names}
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(w) for w in sorted(frame["w"])], axis=0)
+        return pd.DataFrame({"grp": frame["grp"][:1], "seen": [frame["seen"].sum()], "w": [total.tobytes()]})
 
+    schema = "grp long, seen long, w binary"
+    sums = dealt.select("bucket", "ids").mapInPandas(run, schema).groupBy("grp").applyInPandas(add, schema)
+    got = sorted(sums.collect(), key=lambda r: r["grp"])  # at most GROUPS rows
+    seen = sum(r["seen"] for r in got)
+    return (np.sum([np.frombuffer(r["w"]) for r in got], axis=0) / seen).astype(np.float32) if seen else theta
 
-def _fit_parts(value):
-    ranks, frequent, cls, p = value
-    return Subwords(ranks, frequent), cls, p
+
+def fit(
+    coded: DataFrame, tables: Tables, prior: np.ndarray, shard_docs: int, warm_docs: int, rounds: int, rate: float
+) -> np.ndarray:
+    """Weights fitted on all training texts."""
+    theta = init(prior)
+    n = coded.count()
+    if not n:
+        return theta
+    share = max(1, round(n / warm_docs))
+    warm = coded.where(F.pmod(F.xxhash64("doc_id", "ids"), F.lit(share)) == 0)
+    warm = stage(warm.select("doc_id", "ids"), "lm-warm")
+    for k in range(rounds):
+        theta = fit_round(warm, tables, theta, 16, rate / (k + 1))
+    return fit_round(coded, tables, theta, max(1, round(n / shard_docs)), rate / (rounds + 1))
 
 
-def _score_parts(value):
-    ranks, frequent, cls, within, p, logs = value
-    return Subwords(ranks, frequent), cls, within, p, logs
+def _same(value):
+    return value
 
 
-def _topic_parts(value):
-    ranks, frequent, centres = value
-    return Subwords(ranks, frequent), centres
+def _model_parts(value):
+    *tables, theta = value
+    return Tables(*tables), theta
 
 
-def _subword_parts(value):
-    return Subwords(*value)
+def _encode_parts(value):
+    ranks, frequent, logs = value
+    return Subwords(ranks, frequent), logs
 
 
 def score(
-    docs: DataFrame, ranks_file: str, shard_docs: int = 512, rounds: int = 2, rate: float = 0.02
+    docs: DataFrame, ranks_file: str, shard_docs: int = 512, warm_docs: int = 2048, rounds: int = 2, rate: float = 0.02
 ) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     spark = docs.sparkSession
@@ -486,58 +538,36 @@ def score(
         ranks = f.read()
     held_out = F.coalesce(crc_mod(F.col("doc_id"), 5) == 1, F.lit(False))
     rows = utf8_of(docs).withColumn("held_out", held_out)
-    training = rows.where(~F.col("held_out"))
-    words = word_counts(training)
+    words = word_counts(rows.where(~F.col("held_out")))
     n, v = words.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = words.where(f"word <> X'' AND c >= {FREQUENT_FROM}").orderBy(F.desc("c"), "word").limit(FREQUENT).toPandas()
+    top = frequent_words(words)
     ends = words.where("word = X''").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    parts = (ranks, [bytes(w) for w in top["word"]])
-    code = Shared(spark, parts, _subword_parts)
-    counts = id_counts(words, code)
-    topics = word_topics(training, parts)
-    cls, within, prior = classes_of(counts, Subwords(*parts).kind, topics)
-    p = fit(training.select("doc_id", "text"), parts, cls, prior, shard_docs, rounds, rate)
-    logs = _log10(top["c"].to_numpy(float), n, v)
-    model = Shared(spark, (*parts, cls, within, p, logs), _score_parts)
-
-    @F.pandas_udf("n long, known long, base double, score double, rare array<binary>")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        code, cls, within, p, logs = model.get()
-        out = {"n": [], "known": [], "base": [], "score": [], "rare": []}
-        pending, sizes = [], []
-
-        def flush():
-            if not pending:
-                return
-            windows, targets = (np.concatenate(x) for x in zip(*pending))
-            sums = np.concatenate(
-                [log_probs(p, windows[i : i + 512], targets[i : i + 512]).sum(axis=1, dtype=float) for i in range(0, len(windows), 512)]
-            )
-            ends = np.cumsum(sizes)
-            total = np.r_[0.0, np.cumsum(sums)]
-            first = len(out["score"]) - len(sizes)
-            for i, (hi, size) in enumerate(zip(ends, sizes)):
-                out["score"][first + i] += (total[hi] - total[hi - size]) / LN10
-            pending.clear()
-            sizes.clear()
-
-        for text in texts:
-            words = words_of(text)
-            ids, rare = code.ids(words)
-            out["n"].append(len(words) + 1)
-            out["known"].append(len(words) - len(rare))
-            out["base"].append(float(logs[ids[ids >= code.first] - code.first].sum()))
-            out["rare"].append(rare)
-            out["score"].append(float(within[ids].sum()))
-            pending.append(windows_of(cls[ids]))
-            sizes.append(len(pending[-1][0]))
-            if sum(sizes) >= 2048:
-                flush()
-        flush()
-        return pd.DataFrame(out)
-
-    made = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out", run("text").alias("x"))
-    made = stage(made.select("uid", "doc_id", "held_out", "x.*"), "lm-scores")
+    parts = (ranks, list(top["word"]))
+    made = stage(encode(rows, parts, _log10(top["c"].to_numpy(float), n, v)), "lm-ids")
+    training = made.where(~F.col("held_out")).select("doc_id", "ids", "cues")
+    centres = topic_centres(training.select("cues").where("cues IS NOT NULL"))
+    code = Subwords(*parts)
+    tables, prior = tables_of(topic_counts(training, centres, code.size), code)
+    theta = fit(training, tables, prior, shard_docs, warm_docs, rounds, rate)
+    model = Shared(spark, (*tables, theta), _model_parts)
+
+    @F.pandas_udf("double")
+    def total(texts: pd.Series) -> pd.Series:
+        tables, theta = model.get()
+        p = views(theta)
+        found, sizes = [np.zeros(0)], []
+
+        def counted():
+            for ids in texts:
+                ids = np.frombuffer(ids, "<i4")
+                sizes.append(-(-len(ids) // STEP))
+                yield ids
+
+        for windows, targets in batches(counted(), tables.begin, BATCH):
+            found.append(log_probs(p, tables, windows, targets).sum(axis=1, dtype=float))
+        return pd.Series(np.add.reduceat(np.concatenate(found), np.r_[0, np.cumsum(sizes)[:-1]].astype(int)) / LN10)
+
+    scored = made.select("uid", "doc_id", "held_out", "n", "known", "base", total("ids").alias("score"))
     rare = made.select("uid", F.explode("rare").alias("word")).groupBy("uid", "word").agg(F.count(F.lit(1)).alias("k"))
     unseen = _log10(np.zeros(1), n, v)[0]
     log_c = F.log10((F.col("c") + 0.5) / F.lit(float(n + 0.5 * (v + 1))))
@@ -548,7 +578,7 @@ def score(
     )
     per_doc = joined.groupBy("uid").agg(F.sum("rare_base").alias("rare_base"), F.sum("rare_known").alias("rare_known"))
     end = float(_log10(np.array([float(ends)]), n, v)[0])
-    return made.drop("rare").join(per_doc, "uid", "left").select(
+    return scored.join(per_doc, "uid", "left").select(
         "doc_id",
         "held_out",
         F.col("n").alias("n_tokens"),

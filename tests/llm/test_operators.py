@@ -6,6 +6,7 @@ import hashlib
 import math
 import re
 import zlib
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
@@ -356,26 +357,72 @@ def test_lm_base_and_score(docs, odd):
         assert all(r.score < 0 for r in rows)
 
 
+def lm_model(rng, size=400):
+    """Random weights and the tables of ``size`` ids."""
+    counts = rng.integers(0, 30, (size, attention_lm.TOPICS))
+    code = SimpleNamespace(starts=list(range(100, 180)), end=250, first=251)
+    tables, prior = attention_lm.tables_of(counts, code)
+    theta = attention_lm.init(prior)
+    return tables, theta + rng.normal(0, 0.1, theta.shape)
+
+
 def test_lm_gradient_and_windows():
     rng = np.random.default_rng(0)
-    c = attention_lm.CLASSES
-    p = {k: w + rng.normal(0, 0.1, w.shape) for k, w in attention_lm.init(np.full(c, 1 / c)).items()}
-    classes = rng.integers(0, c, 70)
-    windows, targets = attention_lm.windows_of(classes)
-    assert targets[targets >= 0].tolist() == classes.tolist()
-    g = attention_lm.gradient(p, windows, targets)[1]
-    for name in p:
-        at = tuple(rng.integers(0, n) for n in p[name].shape)
+    tables, theta = lm_model(rng)
+    ids = rng.integers(0, 400, 90)
+    windows, targets = attention_lm.windows_of(ids, tables.begin)
+    assert targets[targets >= 0].tolist() == ids.tolist()
+    g = attention_lm.gradient(attention_lm.views(theta), tables, windows, targets)[1]
+    for name in attention_lm.SHAPES:
+        at = tuple(rng.integers(0, n) for n in g[name].shape)
         loss = []
         for e in (1e-5, -1e-5):
-            q = {k: w.copy() for k, w in p.items()}
-            q[name][at] += e
-            loss.append(attention_lm.gradient(q, windows, targets)[0])
+            moved = theta.copy()
+            attention_lm.views(moved)[name][at] += e
+            loss.append(attention_lm.gradient(attention_lm.views(moved), tables, windows, targets)[0])
         assert abs((loss[0] - loss[1]) / 2e-5 - g[name][at]) < 1e-5
-    total = sum(np.exp(attention_lm.log_probs(p, windows[:1], np.full((1, attention_lm.STEP), k))) for k in range(c))
+    p = attention_lm.views(theta)
+    total = sum(np.exp(attention_lm.log_probs(p, tables, windows[:1], np.full((1, attention_lm.STEP), k))) for k in range(400))
     assert np.allclose(total, 1, atol=1e-4)
 
 
+def test_lm_one_id_at_a_time():
+    """Batched masked windows against a loop over ids that looks back only."""
+    rng = np.random.default_rng(1)
+    tables, theta = lm_model(rng)
+    p = attention_lm.views(theta)
+    for n in (1, 31, 32, 33, 200):
+        ids = rng.integers(0, 400, n)
+        want = []
+        for i, own in enumerate(ids):
+            first = i // attention_lm.STEP * attention_lm.STEP - attention_lm.LEAD  # where the window of id i begins
+            seen = [(j - first, tables.begin if j == 0 else ids[j - 1]) for j in range(max(0, first), i + 1)]
+            x = [p["emb"][tables.read[k]] + tables.share[k] @ p["topic"] + p["pos"][at] for at, k in seen]
+            weight = np.array([np.exp((x[-1] @ p["wq"]) @ (y @ p["wk"]) / attention_lm.WIDTH**0.5) for y in x])
+            state = x[-1] + (weight / weight.sum()) @ np.array([y @ p["wv"] for y in x]) @ p["wo"]
+            out = np.exp(state @ p["out"] + p["bias"])
+            parts = out[tables.slot[own] :][: attention_lm.TOPICS] / out.sum()
+            want.append(np.log(parts @ tables.within[own]))
+        windows, targets = attention_lm.windows_of(ids, tables.begin)
+        got = attention_lm.log_probs(p, tables, windows, targets).ravel()
+        assert np.allclose(got[:n], want, atol=1e-4) and not got[n:].any()
+
+
+def test_lm_beats_base(spark, sf):
+    """Above the base on training texts, and on held-out words that the training texts hold."""
+    docs = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.1')}/documents.parquet").where("doc_id < 4000")
+    rows = attention_lm.score(docs, RANKS).toPandas()
+    train = rows[~rows["held_out"]]
+    assert train["score"].sum() > train["base_score"].sum()
+    known = {w for _, t in rows_of(docs.where("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 1")) for w in t.encode().lower().split()}
+    keep = F.udf(lambda t: " ".join(w for w in (t or "").split() if w.encode().lower() in known))
+    held = F.expr("crc32(cast(cast(doc_id as string) as binary)) % 5 = 1")
+    rows = attention_lm.score(docs.withColumn("text", F.when(held, keep("text")).otherwise(F.col("text"))), RANKS).toPandas()
+    held_out = rows[rows["held_out"]]
+    assert (held_out["n_known"] == held_out["n_tokens"]).all()
+    assert held_out["score"].sum() > held_out["base_score"].sum()
+
+
 # ---- all -----------------------------------------------------------------------------------------
 
 
