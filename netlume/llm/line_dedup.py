@@ -1,9 +1,9 @@
 """Line deduplication that returns compressed keep bitmaps instead of text.
 
-Long lines become narrow rows (128-bit key hash, document, position). They are range-partitioned by hash, document and
-position and sorted in that order, so that a key that a third of all rows share is spread over many partitions. Two
-groupings follow, by key and document and then by key: they count the documents of a key and find the largest one, which
-keeps the line. Grouping has replaced a stream over the sorted runs. Shared keys then meet the narrow rows again (a broadcast if
+Long lines become narrow rows (128-bit key hash, document, position). They are range-partitioned by hash and
+document, so that a key that many documents share is spread over many partitions, and sorted by position inside. A stream
+over each sorted partition passes on the first row of every run of a key and document (the row before it differs), without
+another exchange of the lines. These first occurrences are counted by key, and the largest document keeps the line. Shared keys then meet the narrow rows again (a broadcast if
 the staged table is under Spark's own limit, else a sort-merge join whose hot keys adaptive execution splits). Each document
 that loses lines gets one bitmap, as runs of dropped lines. Texts are read twice and never shuffled by line.
 
@@ -14,7 +14,7 @@ other than ``doc_id`` and ``text`` do not matter.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netlume.llm.common import SPACES, ascii_lower, hash128, text_of
@@ -50,9 +50,10 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     )
     keys = stripped.select(*hash128(ascii_lower(F.col("line"))), "doc_id", "row", "pos")
     rows = stage(keys, "line-keys")
-    order = ["h1", "h2", F.col("doc_id").desc_nulls_last(), "pos"]
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    holders = ordered.groupBy("h1", "h2", "doc_id").agg(F.first("pos").alias("pos"))
+    order = ["h1", "h2", "doc_id"]
+    ordered = rows.repartitionByRange(*order)  # no run of a key and document crosses a partition
+    run = Window.partitionBy(*order).orderBy("pos")
+    holders = ordered.withColumn("nth", F.row_number().over(run)).where(F.col("nth") == 1)
     shared = (
         holders.groupBy("h1", "h2")
         .agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper"))

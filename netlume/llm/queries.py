@@ -54,8 +54,8 @@ WITH line AS (
 keyed AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
     '{UPPER}', '{UPPER.lower()}') AS k FROM line),
 shared AS (SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 40
-  GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
-marked AS (SELECT doc_id, line, pos, coalesce(doc_id <> keeper, false) AS lost FROM keyed LEFT JOIN shared USING (k))
+  GROUP BY k HAVING count(DISTINCT doc_id) + CAST(bool_or(doc_id IS NULL) AS INT) >= 5),
+marked AS (SELECT doc_id, line, pos, keeper IS NOT NULL AND doc_id IS DISTINCT FROM keeper AS lost FROM keyed LEFT JOIN shared USING (k))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT lost), '')) AS kept_sha256
 FROM marked GROUP BY doc_id"""
