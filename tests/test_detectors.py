@@ -183,6 +183,18 @@ def test_folds_trained_together_equal_single_fits(spark):
     assert np.corrcoef(net.predict(together[1], x)[:, 1], single.predict(alone, x)[:, 1])[0, 1] > 0.99
 
 
+def test_a_gradient_step_is_one_job_of_one_stage(spark):
+    """Two epochs over two slices and the rows held out: six jobs beside those that count and pack the rows."""
+    rows = spark.range(45_000).selectExpr("array(id % 7 / 7D, id % 11 / 11D) AS x", "int(id % 2) AS y", "md5(string(id)) AS _h")
+    net = Network([2, 3, 2], "class")
+    spark.sparkContext.setJobGroup("steps", "steps")
+    descend(rows, F.col("y"), net, net.start(4), Schedule(2, 10), True)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    jobs = [tracker.getJobInfo(i) for i in tracker.getJobIdsForGroup("steps")]
+    assert len(jobs) <= 6 + 3
+
+
 @pytest.mark.parametrize("detector", [Majority(), GaussianBayes()], ids=lambda d: d.name)
 def test_fold_complements_equal_refits(data, detector):
     train = data.where("split = 'train'")
