@@ -287,6 +287,16 @@ def test_boosting_equals_one_task_reference(spark):
             assert np.isclose(tree.value[child], -0.1 * g[mine].sum() / (h[mine].sum() + 1.0))
 
 
+def test_boosting_counts_equal_rows_once(spark):
+    """Copies become one row with a number, per target and fold, and weigh like the rows they stand for."""
+    rows = spark.range(3000).selectExpr("array(double(id % 4), double(id % 3)) AS x", "int(id % 2) AS y", "int(id % 5) AS fold")
+    for loss, cells in ((Loss(1), 12), (Loss(5, folds=True), 60)):
+        binned, edges = bin_table(rows, "y", loss)
+        assert binned.count() == cells and binned.agg(F.sum("n")).first()[0] == 3000
+        sums = level_histograms(binned, 2, loss, [], [Tree(1) for _ in range(loss.outputs)], [[0]] * loss.outputs).collect()
+        assert {sum(r.sums[2 * 256 :]) for r in sums} == {3000.0 if cells == 12 else 2400.0}
+
+
 def test_histogram_boosting_keeps_its_limits(data):
     train = data.where("split = 'train'")
     [[tree]] = boosted(train, "y", Loss(1), Growth(8, 0.1, min_hessian=1e-3, min_rows=20, max_leaves=6), 1)
