@@ -64,14 +64,25 @@ def isolation_tree(x: np.ndarray, rng: np.random.Generator) -> dict[str, list]:
     return nodes
 
 
-def path_lengths(tree: dict[str, np.ndarray], x: np.ndarray, depth: int) -> np.ndarray:
-    at = np.zeros(len(x), dtype=int)
-    rows = np.arange(len(x))
+def full_tree(tree: dict[str, np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature, cut, length) of the complete binary tree of ``depth`` levels: node i has children 2i+1 and 2i+2, and
+    below a leaf all nodes repeat it."""
+    size = 2 ** (depth + 1) - 1
+    own = np.zeros(size, int)
+    for i in range(size // 2):
+        own[2 * i + 1], own[2 * i + 2] = tree["left"][own[i]], tree["right"][own[i]]
+    return np.maximum(tree["feature"][own], 0), tree["cut"][own], tree["length"][own]
+
+
+def path_lengths(tree: tuple[np.ndarray, np.ndarray, np.ndarray], x: np.ndarray, depth: int) -> np.ndarray:
+    """``tree`` is a ``full_tree``: the place of a child needs no look at the tree."""
+    feature, cut, length = tree
+    flat, first = np.ascontiguousarray(x).ravel(), np.arange(len(x)) * x.shape[1]
+    at = np.zeros(len(x), int)
     for _ in range(depth):
-        feature = tree["feature"][at]
-        right = x[rows, np.maximum(feature, 0)] > tree["cut"][at]
-        at = np.where(right, tree["right"][at], tree["left"][at])
-    return tree["length"][at]
+        right = flat.take(first + feature.take(at)) > cut.take(at)
+        at = 2 * at + 1 + right
+    return length.take(at)
 
 
 @dataclass
@@ -112,6 +123,7 @@ class IsolationForest(Detector):
         size = max(r["size"] for r in rows)
         forest = [{k: np.array(r[k]) for k in ("feature", "cut", "left", "right", "length")} for r in rows]
         depth = int(np.ceil(np.log2(max(size, 2))))
+        forest = [full_tree(tree, depth) for tree in forest]
         typical = max(float(path_adjustment(size)), 1e-12)
 
         def anomaly(x: np.ndarray) -> np.ndarray:
@@ -121,7 +133,7 @@ class IsolationForest(Detector):
         def score(df: DataFrame) -> DataFrame:
             return score_in_arrow(df, anomaly)
 
-        scored = score(benign.select("x"))
+        scored = stage(score(benign.select("x")).select("score"), "benign-scores")  # several scans follow
         offset = exact_quantiles(scored, "score", [1.0 - CONTAMINATION]).first()["quantile"]
         return shifted(score, offset)
 

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netlume.detectors.averaging import train_round, with_workers
-from netlume.detectors import extra_trees
+from netlume.detectors import extra_trees, outliers
 from netlume.detectors.base import class_index
 from netlume.detectors.boosting import (
     Growth,
@@ -82,6 +82,22 @@ def test_anomaly_detectors_find_the_attack(data, detector):
     assert recall["c"] > recall["a"]
 
 
+def test_isolation_forest_scores_its_rows_once(data, monkeypatch):
+    """The scans for the offset read stored scores; places in the full tree equal a walk from node to node."""
+    kept = []
+    monkeypatch.setattr(outliers, "stage", lambda df, label: kept.append(label) or stage(df, label))
+    IsolationForest(trees=2).fit(data.where("split = 'train'"))
+    assert "benign-scores" in kept
+    x = np.random.default_rng(1).normal(size=(300, 3))
+    tree = {k: np.array(v) for k, v in outliers.isolation_tree(x[:100], np.random.default_rng(2)).items()}
+    found = outliers.path_lengths(outliers.full_tree(tree, 7), x, 7)
+    for row, length in zip(x, found):
+        at = 0
+        while tree["feature"][at] >= 0:
+            at = tree["right" if row[tree["feature"][at]] > tree["cut"][at] else "left"][at]
+        assert length == tree["length"][at]
+
+
 def test_full_protocol_and_majority(data):
     done = evaluate(Majority(), data, "blobs")
     stages = {r.stage: r for r in done.tables["binary"].collect()}
