@@ -336,6 +336,18 @@ def test_extra_trees_do_not_depend_on_layout(data, monkeypatch):
             assert np.allclose(np.bincount(at, y, len(shares))[sizes > 0] / sizes[sizes > 0], shares[sizes > 0][:, 1])
 
 
+def test_extra_trees_count_equal_rows_once(spark, monkeypatch):
+    """The table behind all levels holds one row per distinct row and class; counts are those of all rows."""
+    kept = []
+    monkeypatch.setattr(extra_trees, "stage", lambda df, label: kept.append(stage(df, label)) or kept[-1])
+    rows = spark.range(2000).selectExpr("array(double(id % 8), double(id % 3)) AS x", "int(id % 8 > 4) AS y")
+    for local in (100, 10**6):
+        monkeypatch.setattr(extra_trees, "LOCAL_ROWS", local)
+        for (feature, *_), shares in ExtraTrees(trees=2, max_depth=6)._grow(rows, "y", 2):
+            assert feature[0] >= 0 and np.allclose(shares[0], [5 / 8, 3 / 8])
+        assert kept[-1].count() == 24
+
+
 def test_extra_trees_bound_their_model(data):
     train = data.where("split = 'train'")
     small = ExtraTrees(trees=3, max_nodes=40)._grow(train, "y", 2)
