@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructType
 
 from netlume.llm.common import utf8_of
 from netlume.staging import stage
@@ -38,6 +39,8 @@ _MIX = np.uint64(0xD6E8FEB86659FD93)
 PIECE = 1 << 18
 #: Strings in one batch of a task.
 BATCH = 1 << 15
+#: Runs in one batch of rows.
+RUN_ROWS = 1 << 14
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -196,26 +199,47 @@ def _scan(span: int):
     return run
 
 
-def _runs_udf(span: int, gram: int):
-    @F.pandas_udf("array<struct<anchor:long,c:long,start:int,n:int>>")
-    def run(texts: pd.Series) -> pd.Series:
-        out = []
-        for text in texts:
-            start, n, _, anchor = runs(text, span, gram)
-            c = [xxhash.xxh3_64_intdigest(text[s : s + k + span - 1]) for s, k in zip(start.tolist(), n.tolist())]
-            c = np.array(c, np.uint64).view(np.int64)
-            out.append([{"anchor": x, "c": y, "start": s, "n": k} for x, y, s, k in zip(anchor.tolist(), c.tolist(), start.tolist(), n.tolist())])
-        return pd.Series(out)
+def _find_runs(span: int, gram: int):
+    """(doc_id, row, anchor, c, start, n) of the runs of every text, in batches of about ``RUN_ROWS``."""
 
-    return run
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("anchor", "c", "start", "n")
+        held, at, size = [], [], 0
+
+        def flush(batch: pa.RecordBatch) -> pa.RecordBatch:
+            columns = dict(zip(names, map(np.concatenate, zip(*held))))
+            place = pa.array(np.repeat(at, [len(h[0]) for h in held]))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            made = {c: pa.array(columns[c], k) for c, k in zip(names, kinds)}
+            return pa.RecordBatch.from_pydict({**{c: batch.column(c).take(place) for c in ("doc_id", "row")}, **made})
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                text = batch.column("text")[i].as_py()
+                start, n, _, anchor = runs(text, span, gram)
+                ends = (start + n + span - 1).tolist()
+                c = np.fromiter((xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(start.tolist(), ends)), np.uint64, len(n))
+                held.append((anchor, c.view(np.int64), start, n))
+                at.append(i)
+                size += len(n)
+                if size >= RUN_ROWS:
+                    yield flush(batch)
+                    held, at, size = [], [], 0
+            if size:
+                yield flush(batch)
+            held, at, size = [], [], 0
+
+    return work
 
 
 def repeated_ranges(docs: DataFrame, span: int = 200, gram: int = 50, chunk: int = 64, part: int = 200_000) -> DataFrame:
     """(doc_id, row, a, b): stretches [a, b) of bytes to remove; they may overlap."""
     rows = utf8_of(docs).select("doc_id", F.xxhash64("text").alias("row"), "text")
     long_enough = rows.where(F.octet_length("text") >= span)
-    found = long_enough.select("doc_id", "row", F.explode(_runs_udf(span, gram)("text")).alias("r"))
-    all_runs = stage(found.select("doc_id", "row", "r.*"), "runs")
+    schema = StructType(long_enough.select("doc_id", "row").schema.fields)
+    for name, kind in (("anchor", LongType()), ("c", LongType()), ("start", IntegerType()), ("n", IntegerType())):
+        schema = schema.add(name, kind)
+    all_runs = stage(long_enough.mapInArrow(_find_runs(span, gram), schema), "runs")
     twice = all_runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor")
     places = stage(all_runs.join(stage(twice, "anchors"), "anchor"), "places")
     at = F.struct("doc_id", "row", "start", "n")

@@ -11,6 +11,7 @@ from types import SimpleNamespace
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -295,6 +296,20 @@ def brute_removed(texts, span):
     return out
 
 
+def test_runs_leave_a_task_in_bounded_batches(monkeypatch):
+    """All runs of a batch of texts in order, but never the runs of all its texts at once."""
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(97, 123, n, dtype=np.uint8).tobytes() for n in (200, 9000, 4000, 300, 9000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [5, None, 7, 8, 8], "row": [1, 2, 3, 4, 5], "text": pa.array(texts, pa.binary())})
+    monkeypatch.setattr(suffix_dedup, "RUN_ROWS", 50)
+    made = list(suffix_dedup._find_runs(200, 50)(iter([batch])))
+    assert len(made) > 2 and max(b.num_rows for b in made) < 50 + 9000 // 40
+    got = pa.Table.from_batches(made).to_pylist()
+    want = [(r, s, n, a) for r, t in enumerate(texts, 1) for s, n, _, a in zip(*map(np.ndarray.tolist, suffix_dedup.runs(t, 200, 50)))]
+    assert [(g["row"], g["start"], g["n"], g["anchor"]) for g in got] == want
+    assert {g["doc_id"] for g in got} == {5, None, 7, 8}
+
+
 @pytest.mark.parametrize("chunk", [64, 1])
 def test_suffix_dedup(spark, docs, odd, chunk):
     rng = np.random.default_rng(2)
