@@ -216,6 +216,12 @@ def test_quality(docs, labels, odd):
     assert kn_quality.judge(odd, labels.limit(0)).where("NOT kept").count() == 0
 
 
+def test_quality_learns_from_every_trusted_text(spark):
+    docs = spark.range(17_000).selectExpr("id AS doc_id", "concat('t', id) AS text")
+    labels = docs.selectExpr("doc_id", "1 AS quality").union(docs.selectExpr("doc_id", "1 AS quality"))
+    assert kn_quality._trusted(docs, labels).count() == 17_000
+
+
 def test_kneser_ney_sums_to_one(docs, labels):
     table, logs = kn_quality.train(docs, labels).get()
     p = 10.0 ** logs.astype(float).reshape(-1, kn_quality.SYMBOLS)
