@@ -2,11 +2,10 @@
 
 Rules find well-formed e-mail and IP addresses, cards and phone numbers; these spans always stay. Wider generators
 propose more: addresses with spelled-out or spaced signs, and digit groups with loose separators. A gradient-boosted tree
-model rates each candidate by its format and the text before and after it. It learns from a bounded sample of all
-candidates (``sample_rows``, by hash), where a candidate that a rule confirms is positive. The sign that makes a rule
-(a leading plus) is no feature, so the trees must judge by the rest. On the other half of the sample the threshold of each
-kind is the lowest whose accepted candidates are confirmed to ``precision``. Candidates above it that meet no span
-of a rule are added.
+model rates each candidate by its format and the text before and after it. It learns from one half of all candidates, by
+hash, where a candidate that a rule confirms is positive. The sign that makes a rule (a leading plus) is no feature, so
+the trees must judge by the rest. On the other half the threshold of each kind is the lowest whose accepted candidates
+are confirmed to ``precision``. Candidates above it that meet no span of a rule are added.
 
 Matching is linear in the text: repeated groups are possessive, and an address or digit run is tried at its start only,
 or where the match before it ended. Offsets count code points; no row is shuffled with its text.
@@ -175,24 +174,20 @@ def candidates(marked: DataFrame) -> DataFrame:
     return rows.select("uid", "kind", "s", "e", *FEATURES, meets.alias("meets"), same.cast("double").alias("label"))
 
 
-def _chosen(rows: DataFrame, sample_rows: int, precision: float, trees: int) -> DataFrame:
+def _chosen(rows: DataFrame, precision: float, trees: int) -> DataFrame:
     """The candidates above the calibrated threshold of their kind that meet no span of a rule."""
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
-    order = F.xxhash64("uid", "s", "kind")
-    sample = stage(
-        vectors.withColumn("h", order).orderBy("h", "uid", "s").limit(sample_rows)
-        .select("features", "label", "kind", F.pmod("h", F.lit(2)).alias("half")),
-        "pii-sample",
-    )
-    sides = {r.label for r in sample.where("half = 0").select("label").distinct().collect()}
+    half = F.pmod(F.xxhash64("uid", "s", "kind"), F.lit(2)).alias("half")
+    known = vectors.select("features", "label", "kind", half)
+    sides = {r.label for r in known.where("half = 0").select("label").distinct().collect()}
     if len(sides) < 2:
         return rows.limit(0).select("uid", "kind", "s", "e")
-    model = GBTClassifier(maxIter=trees, maxDepth=4, seed=5, labelCol="label").fit(sample.where("half = 0"))
+    model = GBTClassifier(maxIter=trees, maxDepth=4, seed=5, labelCol="label").fit(known.where("half = 0"))
 
     def rated(df: DataFrame) -> DataFrame:
         return model.transform(df).withColumn("p", F.round(vector_to_array("probability")[1], 2))
 
-    bins = rated(sample.where("half = 1")).groupBy("kind", "p").agg(F.sum("label").alias("yes"), F.count(F.lit(1)).alias("n"))
+    bins = rated(known.where("half = 1")).groupBy("kind", "p").agg(F.sum("label").alias("yes"), F.count(F.lit(1)).alias("n"))
     cut: dict[int, float] = {}
     yes: dict[int, list] = {}
     for r in bins.orderBy("kind", F.desc("p")).collect():  # at most 4 x 101 rows
@@ -208,11 +203,11 @@ def _chosen(rows: DataFrame, sample_rows: int, precision: float, trees: int) ->
     return free.where(F.col("p") >= threshold).select("uid", "kind", "s", "e")
 
 
-def spans(docs: DataFrame, sample_rows: int = 20_000, precision: float = 0.99, trees: int = 12) -> DataFrame:
+def spans(docs: DataFrame, precision: float = 0.99, trees: int = 12) -> DataFrame:
     """(doc_id, base, added) of every row, both as arrays of (kind number, start, end) by kind and start."""
     marked = annotate(docs)
     rows = stage(candidates(marked), "pii-candidates")
-    extra = _chosen(rows, sample_rows, precision, trees)
+    extra = _chosen(rows, precision, trees)
     extra = extra.groupBy("uid").agg(F.collect_list(F.struct("kind", "s", "e")).alias("added"))
     out = marked.select("uid", "doc_id", "base").join(extra, "uid", "left")
     return out.select(

@@ -273,6 +273,24 @@ def brute_spans(text):
     return ",".join(out)
 
 
+def test_pii_learns_from_all_candidates(spark, monkeypatch):
+    seen = []
+
+    class Trees:
+        def __init__(self, **options):
+            pass
+
+        def fit(self, rows):
+            seen.append(rows.count())
+            raise InterruptedError
+
+    monkeypatch.setattr(pii, "GBTClassifier", Trees)
+    texts = spark.range(24_000).selectExpr("id AS doc_id", "concat('call +49 170 1234567, 0170-1234', id + 100) AS text")
+    with pytest.raises(InterruptedError):
+        pii.spans(texts)
+    assert seen[0] > 20_000  # one half of 48,000
+
+
 def test_pii(spark, docs, odd):
     cases = ["a@b.com_x@y.z a@b.c@d.e", "+1 (375) 555-4393 1.2.3.4.5.6.7.8 999.1.1.1 0001.02.003.4", "é😀 4111 1111 1111 1111x"]
     cases += ["😀x@y.de\n+49 30 123456789.", "+1 2 (3).", "me (at) site (dot) com", "4111111111111112 4111111111111111"]
