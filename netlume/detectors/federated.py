@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from netlume.detectors.averaging import train_rounds, with_workers
 from netlume.detectors.base import Detector, Fitted, class_index, classify_in_arrow, score_in_arrow
 from netlume.operators.sampling import SEED, stratified_parts
-from netlume.staging import stage
 
 RATE = 0.01
 DECAY = 1e-4
@@ -38,14 +37,33 @@ class LinearSgd:
         return 1.0 / (1.0 + np.exp(-np.clip(self.margins(x)[:, 0], -500, 500)))
 
     def learn(self, x: np.ndarray, t: np.ndarray, rng: np.random.Generator) -> None:
-        wanted = (t[:, None] == (np.arange(self.k) if self.k > 1 else 1)).astype(float)
-        order = rng.permutation(len(x))
-        for at in range(0, len(x), STEP_ROWS):
-            pick = order[at : at + STEP_ROWS]
-            z = np.clip(x[pick] @ self.w.T + self.b, -500, 500)
-            step = RATE * (wanted[pick] - 1.0 / (1.0 + np.exp(-z)))
-            self.w = self.w * (1.0 - RATE * DECAY) ** len(pick) + step.T @ x[pick]
-            self.b = self.b + step.sum(axis=0)
+        self.learn_together([self], [x], [t], [rng])
+
+    @staticmethod
+    def learn_together(models: list, xs: list, ts: list, rngs: list) -> None:
+        """A step takes ``STEP_ROWS`` rows of every model, as one product; short models get rows of zeros at their end."""
+        k, width = models[0].w.shape
+        steps = max(-(-len(t) // STEP_ROWS) for t in ts)
+        x = np.zeros((steps, len(models), STEP_ROWS, width + 1))  # the last input is 1, for the bias
+        wanted = np.zeros((steps, len(models), STEP_ROWS, k))
+        kept = np.ones((steps, len(models), width + 1, 1))  # what a step leaves of the weights
+        for j, (own, t, rng) in enumerate(zip(xs, ts, rngs)):
+            order, n = rng.permutation(len(t)), len(t)
+            rows = np.zeros((steps * STEP_ROWS, width + 1))
+            rows[:n, :width], rows[:n, width] = own[order], 1.0
+            x[:, j] = rows.reshape(steps, STEP_ROWS, width + 1)
+            hits = np.zeros((steps * STEP_ROWS, k))
+            hits[:n] = t[order][:, None] == (np.arange(k) if k > 1 else 1)
+            wanted[:, j] = hits.reshape(steps, STEP_ROWS, k)
+            taken = np.clip(n - np.arange(steps) * STEP_ROWS, 0, STEP_ROWS)
+            kept[:, j, :width, 0] = ((1.0 - RATE * DECAY) ** taken)[:, None]
+        w = np.stack([np.hstack([m.w, m.b[:, None]]).T for m in models])
+        with np.errstate(over="ignore"):  # exp of a large margin is infinite and its probability 0
+            for rows, hits, rest in zip(x, wanted, kept):
+                step = RATE * (hits - 1.0 / (1.0 + np.exp(-(rows @ w))))
+                w = w * rest + rows.transpose(0, 2, 1) @ step
+        for m, made in zip(models, w):
+            m.w, m.b = made[:-1].T.copy(), made[-1].copy()
 
     def loss(self, x: np.ndarray, t: np.ndarray) -> np.ndarray:
         z = self.margins(x)
@@ -73,11 +91,11 @@ class FederatedSgd(Detector):
         if "site" not in train.columns:
             sited = stratified_parts(train, stratum, "_h", self.sites, "site")
         data = with_workers(sited, "site", self.rows_per_worker).select(
-            "worker", "x", F.col(target).cast("int").alias("t"), F.lit(False).alias("holdout")
+            "worker", "slice", "x", F.col(target).cast("int").alias("t"), F.lit(False).alias("holdout")
         )
         load = partial(LinearSgd, k, width)
         zero = np.zeros(k * (width + 1))
-        return load(train_rounds(stage(data, "sites"), load, zero, self.rounds, SEED))
+        return load(train_rounds(data, load, zero, self.rounds, SEED))
 
     def fit(self, train: DataFrame) -> Fitted:
         model = self._train(train, "y", "y", 1)
