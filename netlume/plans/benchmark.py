@@ -56,22 +56,36 @@ def run_benchmark(
 
     With a builder, an artifact that is missing or stale is built first, and any with ``force``.
     """
+    return _run_detectors(spark, base, [detector], results, rebuild, force)[0]
+
+
+def _run_detectors(
+    spark: SparkSession,
+    base: str,
+    detectors: list[Detector],
+    results: str | None,
+    rebuild: Callable[[], object] | None,
+    force: bool,
+) -> list[Evaluation]:
+    """Several detectors on one artifact, which is loaded, checked and packed once for all of them."""
     rows, meta = load_artifact(spark, base, rebuild, force)
-    done = evaluate(detector, evaluation_table(rows, meta), meta["dataset"])
-    return replace(done, tables=write_results(done.tables, results)) if results else done
+    data = evaluation_table(rows, meta)
+    runs = [evaluate(d, data, meta["dataset"]) for d in detectors]
+    return [replace(r, tables=write_results(r.tables, results)) for r in runs] if results else runs
 
 
 def run_all(
     spark: SparkSession,
     bases: list[str],
-    detector: Detector,
+    detector: Detector | list[Detector],
     results: str | None = None,
     rebuild: dict[str, Callable[[], object]] | None = None,
     force: bool = False,
 ) -> DataFrame:
-    """One detector on every artifact: the binary metrics of all of them. ``rebuild`` has a builder per artifact."""
-    runs = [run_benchmark(spark, base, detector, results, (rebuild or {}).get(base), force) for base in bases]
-    return reduce(DataFrame.unionByName, [r.tables["binary"] for r in runs])
+    """One or several detectors on every artifact: the binary metrics of all. ``rebuild`` has a builder per artifact."""
+    many = detector if isinstance(detector, list) else [detector]
+    runs = [_run_detectors(spark, base, many, results, (rebuild or {}).get(base), force) for base in bases]
+    return reduce(DataFrame.unionByName, [r.tables["binary"] for own in runs for r in own])
 
 
 def stored_leaderboard(spark: SparkSession, results: str, datasets: list[str]) -> DataFrame:
