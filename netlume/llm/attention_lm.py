@@ -39,7 +39,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netlume.llm.common import Shared, crc_mod, utf8_of
+from netlume.llm.common import Shared, crc_mod, keep_freed, utf8_of
 from netlume.staging import stage
 
 WINDOW, STEP = 48, 32
@@ -105,88 +105,137 @@ def init(prior: np.ndarray, seed: int = 3) -> np.ndarray:
     return theta
 
 
-_BEFORE = np.arange(WINDOW)[None, :] <= np.arange(LEAD, WINDOW)[:, None]
-_MASK = np.where(_BEFORE, 0, -1e9).astype(np.float32)
+#: Which places of a window a target place sees.
+_SEEN = np.arange(WINDOW)[None, :] <= np.arange(LEAD, WINDOW)[:, None]
+_SEEN_F = _SEEN.astype(np.float32)
 _NEXT = np.arange(TOPICS)
 
 
-def _forward(p: dict, tables: Tables, windows: np.ndarray):
-    """exp(logits) at the last STEP places of each window, up to a factor per place, and what the gradient needs."""
-    b, ids = len(windows), windows.ravel()  # padding is -1, the last row
-    x = p["emb"][tables.read[ids]]
-    x += tables.share[ids] @ p["topic"]
-    x = x.reshape(b, WINDOW, WIDTH)
-    x += p["pos"]
-    flat = x.reshape(-1, WIDTH)
-    xs = np.ascontiguousarray(x[:, LEAD:])
-    q = (xs.reshape(-1, WIDTH) @ (p["wq"] * WIDTH**-0.5)).reshape(b, STEP, WIDTH)
-    k = (flat @ p["wk"]).reshape(b, WINDOW, WIDTH)
-    v = (flat @ p["wv"]).reshape(b, WINDOW, WIDTH)
+def _plain(sums: np.ndarray) -> bool:
+    """Whether sums of exponentials are far from the ends of a 32-bit float (NaN is not)."""
+    return 1e-25 < sums.min() and sums.max() < 1e25
+
+
+def _attend(q: np.ndarray, k: np.ndarray, v: np.ndarray, pad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(scores) of the places seen, up to a factor per place, and their sums with ``v``, whose last column counts."""
     a = q @ k.transpose(0, 2, 1)
-    a += _MASK
-    pad = windows < 0
-    if pad.any():
-        a += np.where(pad, np.float32(-1e9), np.float32(0))[:, None, :]
-    a -= a.max(axis=2, keepdims=True)
     np.exp(a, out=a)
-    a *= 1 / a.sum(axis=2, keepdims=True)
+    a *= _SEEN_F
     o = a @ v
-    h = xs + (o.reshape(-1, WIDTH) @ p["wo"]).reshape(b, STEP, WIDTH)
-    e = h.reshape(-1, WIDTH) @ p["out"]
-    e += p["bias"]
-    e -= e.max(axis=1, keepdims=True)
-    np.exp(e, out=e)
-    return e, (x, xs, q, k, v, a, o, h)
+    if not _plain(o[:, :, WIDTH]):
+        a = np.where(_SEEN & ~pad[:, None, :], q @ k.transpose(0, 2, 1), -np.inf)
+        a -= np.maximum(a.max(axis=2, keepdims=True), -1e30)  # a place may see nothing but padding
+        np.exp(a, out=a)
+        o = a @ v
+    return a, o
 
 
-def _own(e: np.ndarray, tables: Tables, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the outputs of each target's kind lie in ``e``, and their parts of its probability."""
-    at = (np.arange(len(targets)) * WRITE + tables.slot[targets])[:, None] + _NEXT
-    return at, np.maximum(e.ravel()[at] * tables.within[targets], 1e-37)
+def _forward(p: dict, tables: Tables, windows: np.ndarray):
+    """exp(logits) at the last STEP places of each window, up to a factor per place, their sums, and what the gradient needs.
+
+    Columns of ones make biases and sums a part of the products; the greatest score is taken off only where it must be.
+    """
+    b, ids, kind = len(windows), windows.ravel(), p["out"].dtype  # padding is -1, the last row
+    pad = windows < 0
+    read, share = np.take(tables.read, ids), np.take(tables.share, ids, axis=0)
+    x = np.take(p["emb"], read, axis=0)
+    x += share @ p["topic"]
+    x = x.reshape(b, WINDOW, WIDTH)
+    x += p["pos"]
+    xs = np.ascontiguousarray(x[:, LEAD:])
+    q = (xs.reshape(-1, WIDTH) @ (p["wq"] * WIDTH**-0.5)).reshape(b, STEP, WIDTH)
+    wkv = np.hstack([p["wk"], p["wv"]])
+    kv = np.empty((b * WINDOW, 2 * WIDTH + 1), kind)
+    kv[:, 2 * WIDTH] = 1
+    np.matmul(x.reshape(-1, WIDTH), wkv, out=kv[:, : 2 * WIDTH])
+    kv[np.flatnonzero(pad), WIDTH:] = 0  # padding is seen, with no weight
+    kv = kv.reshape(b, WINDOW, -1)
+    k, v = kv[:, :, :WIDTH], kv[:, :, WIDTH:]
+    h = np.empty((b * STEP, WIDTH + 1), kind)
+    h[:, WIDTH] = 1
+    out = np.vstack([p["out"], p["bias"]])
+    ones = np.ones(WRITE, kind)
+    with np.errstate(over="ignore", invalid="ignore"):
+        a, o = _attend(q, k, v, pad)
+        s = o[:, :, WIDTH:]
+        o = o[:, :, :WIDTH] / s
+        np.add(xs.reshape(-1, WIDTH), o.reshape(-1, WIDTH) @ p["wo"], out=h[:, :WIDTH])
+        e = h @ out
+        np.exp(e, out=e)
+        total = e @ ones
+        if not _plain(total):
+            e = h @ out
+            e -= e.max(axis=1, keepdims=True)
+            np.exp(e, out=e)
+            total = e @ ones
+    return e, total, (pad, read, share, x, xs, q, k, v, wkv, a, o, s, h)
+
+
+def _own(e: np.ndarray, tables: Tables, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the outputs of each target's kind lie in ``e``, what is there, and their parts of its probability."""
+    at = (np.arange(0, len(targets) * WRITE, WRITE) + np.take(tables.slot, targets))[:, None] + _NEXT
+    found = np.take(e.ravel(), at)
+    return at, found, np.maximum(found * np.take(tables.within, targets, axis=0), 1e-37)
 
 
 def log_probs(p: dict, tables: Tables, windows: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural log probability of each target id (places x STEP); -1 gives 0."""
-    e, _ = _forward(p, tables, windows)
+    e, total, _ = _forward(p, tables, windows)
     flat = targets.ravel()
-    own = _own(e, tables, flat)[1].sum(axis=1)
-    return np.where(flat >= 0, np.log(own / e.sum(axis=1)), 0).reshape(targets.shape)
+    own = _own(e, tables, flat)[2].sum(axis=1)
+    return np.where(flat >= 0, np.log(own / total), 0).reshape(targets.shape)
 
 
 def gradient(p: dict, tables: Tables, windows: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean negative log likelihood and its gradient."""
-    e, (x, xs, q, k, v, a, o, h) = _forward(p, tables, windows)
-    b, flat = len(windows), targets.ravel()
+    loss, g = _gradient(p, tables, windows, targets)
+    return loss, views(g)
+
+
+def _gradient(p: dict, tables: Tables, windows: np.ndarray, targets: np.ndarray) -> tuple[float, np.ndarray]:
+    e, total, (pad, read, share, x, xs, q, k, v, wkv, a, o, s, h) = _forward(p, tables, windows)
+    b, flat, kind = len(windows), targets.ravel(), e.dtype
     real = flat >= 0
-    weight = real / max(1, int(real.sum()))
-    at, pick = _own(e, tables, flat)
-    own, total = pick.sum(axis=1), e.sum(axis=1)
+    weight = (real / max(1, int(real.sum()))).astype(kind)
+    at, found, pick = _own(e, tables, flat)
+    own = pick.sum(axis=1)
     loss = float(-(np.log(own / total) * weight).sum())
-    d = e
-    d *= (weight / total).astype(e.dtype)[:, None]
-    d.ravel()[at] -= pick * (weight / own).astype(e.dtype)[:, None]
-    g = {"out": h.reshape(-1, WIDTH).T @ d, "bias": d.sum(axis=0)}
-    dh = (d @ p["out"].T).reshape(b, STEP, WIDTH)
-    g["wo"] = o.reshape(-1, WIDTH).T @ dh.reshape(-1, WIDTH)
-    do = (dh.reshape(-1, WIDTH) @ p["wo"].T).reshape(b, STEP, WIDTH)
-    dv = a.transpose(0, 2, 1) @ do
-    ds = do @ v.transpose(0, 2, 1)
-    ds -= (do * o).sum(axis=2, keepdims=True)  # the sum over places of a * da
+    made = np.empty(_ENDS[-1], kind)
+    g = views(made)
+    d = e  # the gradient of the logits, but for a factor per place
+    d.ravel()[at] = found - pick * (total / own)[:, None]
+    each = (weight / total)[:, None]
+    g["out"][:] = (d.T @ (h[:, :WIDTH] * each)).T
+    g["bias"][:] = each[:, 0] @ d
+    dh = d @ p["out"].T
+    dh *= each
+    g["wo"][:] = o.reshape(-1, WIDTH).T @ dh
+    do = (dh @ p["wo"].T).reshape(b, STEP, WIDTH)
+    do /= s
+    low = np.empty((b, STEP, WIDTH + 1), kind)
+    low[:, :, :WIDTH] = do
+    low[:, :, WIDTH] = -np.einsum("bij,bij->bi", do, o)  # the sum over places of a * da
+    dkv = np.empty((b, WINDOW, 2 * WIDTH), kind)
+    np.matmul(a.transpose(0, 2, 1), do, out=dkv[:, :, WIDTH:])
+    ds = low @ v.transpose(0, 2, 1)
     ds *= a
+    np.matmul(ds.transpose(0, 2, 1), q, out=dkv[:, :, :WIDTH])  # q holds the scale already
+    dq = (ds @ k).reshape(-1, WIDTH)
+    dkv = dkv.reshape(-1, 2 * WIDTH)
+    dkv[np.flatnonzero(pad), WIDTH:] = 0
     scale = WIDTH**-0.5
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q  # q holds the scale already
-    flat_x = x.reshape(-1, WIDTH)
-    g["wq"] = xs.reshape(-1, WIDTH).T @ dq.reshape(-1, WIDTH) * scale
-    g["wk"] = flat_x.T @ dk.reshape(-1, WIDTH)
-    g["wv"] = flat_x.T @ dv.reshape(-1, WIDTH)
-    dx = (dk.reshape(-1, WIDTH) @ p["wk"].T + dv.reshape(-1, WIDTH) @ p["wv"].T).reshape(b, WINDOW, WIDTH)
-    dx[:, LEAD:] += dh + (dq.reshape(-1, WIDTH) @ p["wq"].T * scale).reshape(b, STEP, WIDTH)
-    g["pos"] = dx.sum(axis=0)
-    ids, dx = windows.ravel(), dx.reshape(-1, WIDTH)
-    g["topic"] = tables.share[ids].T @ dx
-    read = tables.read[ids]
-    g["emb"] = np.stack([np.bincount(read, column, READ + 2) for column in np.ascontiguousarray(dx.T)], axis=1)
-    return loss, g
+    g["wq"][:] = xs.reshape(-1, WIDTH).T @ dq * scale
+    both = dkv.T @ x.reshape(-1, WIDTH)
+    g["wk"][:], g["wv"][:] = both[:WIDTH].T, both[WIDTH:].T
+    dx = (dkv @ wkv.T).reshape(b, WINDOW, WIDTH)
+    dh += dq @ (p["wq"].T * scale)
+    dx[:, LEAD:] += dh.reshape(b, STEP, WIDTH)
+    g["pos"][:] = dx.sum(axis=0)
+    dx = dx.reshape(-1, WIDTH)
+    g["topic"][:] = share.T @ dx
+    cell = (read * WIDTH)[:, None] + np.arange(WIDTH)
+    g["emb"][:] = np.bincount(cell.ravel(), dx.ravel(), (READ + 2) * WIDTH).reshape(-1, WIDTH)
+    return loss, made
 
 
 def windows_of(ids: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
@@ -227,8 +276,7 @@ def fit_stream(theta: np.ndarray, tables: Tables, pairs, rate: float) -> tuple[n
     for windows, targets in pairs:
         t += 1
         seen += int((targets >= 0).sum())
-        g = gradient(p, tables, windows, targets)[1]
-        g = np.concatenate([g[name].ravel() for name in SHAPES]).astype(np.float32)
+        g = _gradient(p, tables, windows, targets)[1]
         m += 0.1 * (g - m)
         u += 0.01 * (g * g - u)
         theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(u / (1 - 0.99**t)) + 1e-8)
@@ -248,8 +296,10 @@ class Subwords:
         self.size = self.first + len(frequent)
         self.starts = [rank for piece, rank in ranks.items() if piece[:1] == b" "]
         self.whole = {w: (self.first + i).to_bytes(4, "little") for i, w in enumerate(frequent)}
-        # a word goes in whole: the pattern takes everything as one piece
-        self.code = tiktoken.Encoding("subwords", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+        # a word and the space before it are one piece, so a call takes many words; a piece of a word opens it if it holds the space
+        self.code = tiktoken.Encoding("subwords", pat_str=" [^ ]+", mergeable_ranks=ranks, special_tokens={})
+        self.opens = np.zeros(self.end, bool)
+        self.opens[self.starts] = True
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
@@ -259,20 +309,26 @@ class Subwords:
         rare = []
         if None in out:
             known, older = self.known, self.older
-            for i, got in enumerate(out):
-                if got is None:
-                    word = words[i]
-                    rare.append(word)
-                    got = known.get(word) or older.get(word)
-                    if got is None:
-                        got = np.array(self.code.encode_ordinary(" " + word.decode("utf-8", "replace")), "<i4").tobytes()
-                    if len(word) < 128:
-                        known[word] = got
-                    out[i] = got
+            at = [i for i, got in enumerate(out) if got is None]
+            rare = [words[i] for i in at]
+            cut = {word: known.get(word) or older.get(word) for word in rare}
+            new = [word for word, got in cut.items() if got is None]
+            if new:
+                cut.update(zip(new, self.cut(new)))
+            known.update((word, got) for word, got in cut.items() if len(word) < 128)
+            for i, word in zip(at, rare):
+                out[i] = cut[word]
             if len(known) >= REMEMBERED:
                 self.known, self.older = {}, known
         return np.frombuffer(b"".join(out) + self.end.to_bytes(4, "little"), "<i4"), rare
 
+    def cut(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of words."""
+        ids = np.array(self.code.encode_ordinary(" " + b" ".join(words).decode("utf-8", "replace")), "<i4")
+        at = [*(np.flatnonzero(self.opens[ids]) * 4).tolist(), len(ids) * 4]
+        packed = ids.tobytes()
+        return [packed[a:b] for a, b in zip(at, at[1:])]
+
 
 def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
@@ -285,6 +341,7 @@ def word_counts(texts: DataFrame, chunk_words: int = 300_000) -> DataFrame:
     """(word, c) over all texts, staged; the end of a text is the empty word."""
 
     def count(frames):
+        keep_freed()
         seen: Counter = Counter()
 
         def rows():
@@ -452,8 +509,9 @@ def encode(rows: DataFrame, parts: tuple, logs: np.ndarray) -> DataFrame:
     """``rows`` with the ids of their texts, the counts of cues, and the base's part of the frequent words."""
     shared = Shared(rows.sparkSession, (*parts, logs), _encode_parts)
 
-    @F.pandas_udf("n long, known long, base double, rare array<binary>, ids binary, cues binary")
+    @F.pandas_udf("n long, known long, base double, rare array<binary>, times array<long>, ids binary, cues binary")
     def run(texts: pd.Series) -> pd.DataFrame:
+        keep_freed()
         code, logs = shared.get()
         out = []
         for text in texts:
@@ -461,8 +519,10 @@ def encode(rows: DataFrame, parts: tuple, logs: np.ndarray) -> DataFrame:
             ids, rare = code.ids(words)
             cues = cue_counts(ids, code.first)
             base = float(logs[ids[ids >= code.first] - code.first].sum())
-            out.append((len(words) + 1, len(words) - len(rare), base, rare, ids.tobytes(), cues.tobytes() if cues.any() else None))
-        return pd.DataFrame(out, columns=["n", "known", "base", "rare", "ids", "cues"])
+            times = Counter(rare)
+            own = (list(times.keys()), list(times.values()), ids.tobytes(), cues.tobytes() if cues.any() else None)
+            out.append((len(words) + 1, len(words) - len(rare), base, *own))
+        return pd.DataFrame(out, columns=["n", "known", "base", "rare", "times", "ids", "cues"])
 
     made = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out", run("text").alias("x"))
     return made.select("uid", "doc_id", "held_out", "x.*")
@@ -477,6 +537,7 @@ def fit_round(coded: DataFrame, tables: Tables, theta: np.ndarray, shards: int,
     shared = Shared(coded.sparkSession, (*tables, theta), _model_parts)
 
     def run(frames):
+        keep_freed()
         tables, theta = shared.get()
         total, seen, group = np.zeros(len(theta)), 0, 0
         rows = chain.from_iterable(zip(frame["bucket"], frame["ids"]) for frame in frames)
@@ -553,6 +614,7 @@ def score(
 
     @F.pandas_udf("double")
     def total(texts: pd.Series) -> pd.Series:
+        keep_freed()
         tables, theta = model.get()
         p = views(theta)
         found, sizes = [np.zeros(0)], []
@@ -568,7 +630,8 @@ def score(
         return pd.Series(np.add.reduceat(np.concatenate(found), np.r_[0, np.cumsum(sizes)[:-1]].astype(int)) / LN10)
 
     scored = made.select("uid", "doc_id", "held_out", "n", "known", "base", total("ids").alias("score"))
-    rare = made.select("uid", F.explode("rare").alias("word")).groupBy("uid", "word").agg(F.count(F.lit(1)).alias("k"))
+    rare = made.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x"))
+    rare = rare.select("uid", F.col("x.rare").alias("word"), F.col("x.times").alias("k"))
     unseen = _log10(np.zeros(1), n, v)[0]
     log_c = F.log10((F.col("c") + 0.5) / F.lit(float(n + 0.5 * (v + 1))))
     joined = rare.join(words, "word", "left").select(
