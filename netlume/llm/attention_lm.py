@@ -28,13 +28,14 @@ columns are ignored. Without training texts all kinds are equally likely and the
 from __future__ import annotations
 
 import base64
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import accumulate, chain, groupby
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,12 +51,15 @@ TOPICS, CUES = 6, 128
 #: What the model reads (the beginning and the padding come after it) and what its softmax is over.
 READ, WRITE = SINGLE + KINDS, SINGLE + KINDS * TOPICS
 FREQUENT = 1 << 18
-#: Words remembered per Python worker in each of two generations; forgetting changes no result.
-REMEMBERED = 250_000
-#: Most tasks of a training round (a task streams its shards one after another), and groups in which their results are added.
-PARTITIONS, GROUPS = 1 << 14, 64
+#: Shards of a task of a training round of many, which it streams one after another, the fewest tasks of such a round and the
+#: most of any; groups in which their results are added.
+TOGETHER, APART, PARTITIONS, GROUPS = 4, 64, 1 << 14, 64
+#: Texts of a task that sums up cues.
+CUED = 1 << 14
 #: Windows in one step of training, and in one product.
 BATCH = 64
+#: Bytes of text that are cut into words at a time.
+BLOCK = 8 << 20
 LN10 = float(np.log(10))
 
 
@@ -109,6 +113,7 @@ def init(prior: np.ndarray, seed: int = 3) -> np.ndarray:
 _SEEN = np.arange(WINDOW)[None, :] <= np.arange(LEAD, WINDOW)[:, None]
 _SEEN_F = _SEEN.astype(np.float32)
 _NEXT = np.arange(TOPICS)
+_CELLS = np.arange((READ + 2) * WIDTH).reshape(-1, WIDTH)
 
 
 def _plain(sums: np.ndarray) -> bool:
@@ -233,38 +238,48 @@ def _gradient(p: dict, tables: Tables, windows: np.ndarray, targets: np.ndarray)
     g["pos"][:] = dx.sum(axis=0)
     dx = dx.reshape(-1, WIDTH)
     g["topic"][:] = share.T @ dx
-    cell = (read * WIDTH)[:, None] + np.arange(WIDTH)
+    cell = np.take(_CELLS, read, axis=0)
     g["emb"][:] = np.bincount(cell.ravel(), dx.ravel(), (READ + 2) * WIDTH).reshape(-1, WIDTH)
     return loss, made
 
 
 def windows_of(ids: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
     """Overlapping windows of one text (its ids, the end included) and their targets, padded with -1."""
-    n = len(ids)
-    count = -(-n // STEP)
-    inputs = np.full(LEAD + count * STEP, -1, np.int64)
-    inputs[LEAD] = begin
-    inputs[LEAD + 1 : LEAD + n] = ids[:-1]
-    targets = np.full(count * STEP, -1, np.int64)
-    targets[:n] = ids
-    at = np.arange(count)[:, None] * STEP + np.arange(WINDOW)
-    return inputs[at], targets.reshape(count, STEP)
+    return _windows([ids], begin)
+
+
+def _windows(texts: list[np.ndarray], begin: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows and targets of each text in turn."""
+    size = np.array([len(ids) for ids in texts])
+    count, own, ids = -(-size // STEP), np.arange(len(texts)) * LEAD, np.concatenate(texts)
+    first, total = np.cumsum(size) - size, int(count.sum())
+    place = np.repeat((np.cumsum(count) - count) * STEP - first, size) + np.arange(len(ids))
+    targets = np.full(total * STEP, -1, np.int64)
+    targets[place] = ids
+    before = np.empty(len(ids), np.int64)
+    before[1:] = ids[:-1]
+    before[first[size > 0]] = begin
+    inputs = np.full(total * STEP + len(texts) * LEAD, -1, np.int64)
+    inputs[place + np.repeat(own + LEAD, size)] = before
+    at = (np.arange(total) * STEP + np.repeat(own, count))[:, None] + np.arange(WINDOW)
+    return np.take(inputs, at), targets.reshape(total, STEP)
 
 
 def batches(texts: Iterable[np.ndarray], begin: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """``size`` windows of one or more texts at a time."""
-    held, n = [], 0
-    for ids in texts:
-        held.append(windows_of(ids, begin))
-        n += len(held[-1][0])
-        if n >= size:
-            windows, targets = (np.concatenate(x) for x in zip(*held))
-            full = n - n % size
+    """``size`` windows of one or more texts at a time; the windows of many texts are made in one go."""
+    held, n, rest = [], 0, (np.empty((0, WINDOW), np.int64), np.empty((0, STEP), np.int64))
+    for ids in chain(texts, [None]):
+        if ids is not None:
+            held.append(ids)
+            n += -(-len(ids) // STEP)
+        if held and (ids is None or n >= 8 * size):
+            rest = tuple(np.concatenate(x) for x in zip(rest, _windows(held, begin)))
+            full = len(rest[0]) - len(rest[0]) % size
             for at in range(0, full, size):
-                yield windows[at : at + size], targets[at : at + size]
-            held, n = [(windows[full:], targets[full:])], n - full
-    if n:
-        yield tuple(np.concatenate(x) for x in zip(*held))
+                yield rest[0][at : at + size], rest[1][at : at + size]
+            held, n, rest = [], 0, tuple(x[full:] for x in rest)
+    if len(rest[0]):
+        yield rest
 
 
 def fit_stream(theta: np.ndarray, tables: Tables, pairs, rate: float) -> tuple[np.ndarray, int]:
@@ -287,7 +302,7 @@ def fit_stream(theta: np.ndarray, tables: Tables, pairs, rate: float) -> tuple[n
 
 
 class Subwords:
-    """Ids of words; a bounded memory of words keeps the repeated ones cheap."""
+    """Ids of words."""
 
     def __init__(self, raw: bytes, frequent: list[bytes] = ()):
         ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, raw.splitlines())}
@@ -295,76 +310,86 @@ class Subwords:
         self.first = self.end + 1  # id of the first frequent word
         self.size = self.first + len(frequent)
         self.starts = [rank for piece, rank in ranks.items() if piece[:1] == b" "]
-        self.whole = {w: (self.first + i).to_bytes(4, "little") for i, w in enumerate(frequent)}
+        self.whole = pa.array(frequent, pa.binary())
         # a word and the space before it are one piece, so a call takes many words; a piece of a word opens it if it holds the space
         self.code = tiktoken.Encoding("subwords", pat_str=" [^ ]+", mergeable_ranks=ranks, special_tokens={})
         self.opens = np.zeros(self.end, bool)
         self.opens[self.starts] = True
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
 
     def ids(self, words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
         """Ids of all words and the end; the words that are not frequent."""
-        out = list(map(self.whole.get, words))
-        rare = []
-        if None in out:
-            known, older = self.known, self.older
-            at = [i for i, got in enumerate(out) if got is None]
-            rare = [words[i] for i in at]
-            cut = {word: known.get(word) or older.get(word) for word in rare}
-            new = [word for word, got in cut.items() if got is None]
-            if new:
-                cut.update(zip(new, self.cut(new)))
-            known.update((word, got) for word, got in cut.items() if len(word) < 128)
-            for i, word in zip(at, rare):
-                out[i] = cut[word]
-            if len(known) >= REMEMBERED:
-                self.known, self.older = {}, known
-        return np.frombuffer(b"".join(out) + self.end.to_bytes(4, "little"), "<i4"), rare
-
-    def cut(self, words: list[bytes]) -> list[bytes]:
-        """Packed ids of words."""
-        ids = np.array(self.code.encode_ordinary(" " + b" ".join(words).decode("utf-8", "replace")), "<i4")
-        at = [*(np.flatnonzero(self.opens[ids]) * 4).tolist(), len(ids) * 4]
-        packed = ids.tobytes()
-        return [packed[a:b] for a, b in zip(at, at[1:])]
-
-
-def words_of(text: bytes) -> list[bytes]:
-    return text.lower().split()
+        flat, _, whole = self.cut(pa.array(words, pa.binary()))
+        return np.r_[flat, np.int32(self.end)], [words[i] for i in np.flatnonzero(whole < 0)]
+
+    def cut(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all words, how many each one has, and its number among the frequent words (-1: none)."""
+        whole = pc.index_in(words, value_set=self.whole).fill_null(-1).to_numpy()
+        rare = whole < 0
+        length = np.ones(len(words), np.int64)
+        flat = whole + np.int32(self.first)
+        if rare.any():
+            new = words.filter(pa.array(rare)).to_numpy(zero_copy_only=False)
+            ids = np.array(self.code.encode_ordinary(" " + b" ".join(new).decode("utf-8", "replace")), "<i4")
+            length[rare] = np.diff(np.flatnonzero(self.opens[ids]), append=len(ids))
+            common, flat = flat[~rare], np.empty(int(length.sum()), "<i4")
+            own = np.repeat(rare, length)
+            flat[own], flat[~own] = ids, common
+        return flat, length, whole
+
+
+class Words(NamedTuple):
+    """The words of a block of texts."""
+
+    distinct: pa.Array
+    number: np.ndarray  # place of each word among the distinct ones
+    starts: np.ndarray  # of each text's words, and the last end
+
+    @classmethod
+    def of(cls, texts: pa.Array) -> Words:
+        """Words in lower case (A-Z), as ``bytes.lower`` and ``bytes.split`` make them."""
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))
+        coded = split.flatten().dictionary_encode()
+        number, starts = coded.indices.to_numpy(), split.offsets.to_numpy().astype(np.int64)
+        starts -= starts[0]
+        blank = pc.index(coded.dictionary, "").as_py()  # what is before the first space, or after the last
+        distinct = coded.dictionary.view(pa.binary())
+        if blank >= 0:
+            real = number != blank
+            number, starts = number[real], np.r_[0, np.cumsum(real)][starts]
+            number = number - (number > blank)
+            distinct = pa.concat_arrays([distinct[:blank], distinct[blank + 1 :]])
+        return cls(distinct, number, starts)
+
+
+def blocks(frames: Iterable[pa.RecordBatch], most: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """The rows in runs of about ``most`` bytes of text, which bounds what a task holds at a time."""
+    for frame in frames:
+        ends = np.cumsum(pc.binary_length(frame["text"]).to_numpy(zero_copy_only=False), dtype=np.int64)
+        cuts = np.flatnonzero(np.diff(ends // most)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ends)]):
+            if b > a:
+                yield frame.slice(a, b - a)
 
 
 # ---- counts --------------------------------------------------------------------------------------
 
 
-def word_counts(texts: DataFrame, chunk_words: int = 300_000) -> DataFrame:
+def word_counts(texts: DataFrame) -> DataFrame:
     """(word, c) over all texts, staged; the end of a text is the empty word."""
 
     def count(frames):
         keep_freed()
-        seen: Counter = Counter()
-
-        def rows():
-            return pd.DataFrame({"word": list(seen.keys()), "c": list(seen.values())})
-
-        for frame in frames:
-            for text in frame["text"]:
-                seen.update(words_of(text))
-                seen[b""] += 1
-                if len(seen) >= chunk_words:
-                    yield rows()
-                    seen.clear()
-        yield rows()
-
-    sent = texts.select("text").mapInPandas(count, "word binary, c long")
+        for frame in blocks(frames, 2 * BLOCK):
+            words = Words.of(frame["text"])
+            c = np.bincount(words.number, minlength=len(words.distinct))
+            found = words.distinct.filter(pa.array(c > 0))
+            own = [pa.concat_arrays([found, pa.array([b""], pa.binary())]), pa.array(np.r_[c[c > 0], len(frame)], pa.int64())]
+            yield pa.RecordBatch.from_arrays(own, ["word", "c"])
+
+    sent = texts.select("text").mapInArrow(count, "word binary, c long")
     return stage(sent.groupBy("word").agg(F.sum("c").alias("c")), "words")
 
 
-def cue_counts(ids: np.ndarray, first: int) -> np.ndarray:
-    """How often each of the most frequent words occurs in a text."""
-    return np.bincount(ids[(ids >= first) & (ids < first + CUES)] - first, minlength=CUES).astype("<i4")
-
-
 def cue_shares(counts: np.ndarray) -> np.ndarray:
     """Square roots of the shares of the most frequent words in each text (the last axis)."""
     n = np.sqrt(counts.astype(float))
@@ -386,7 +411,8 @@ def topic_centres(cues: DataFrame, rounds: int = 15) -> np.ndarray:
             for frame in frames:
                 shares = cue_shares(unpack(frame))
                 near = np.argmax(np.round(shares @ centres.T, 9), axis=1)
-                np.add.at(total, near, np.rint(shares * (1 << 20)).astype(np.int64))
+                own = (near == np.arange(len(centres))[:, None]).astype(float)
+                total += (own @ np.rint(shares * (1 << 20))).astype(np.int64)  # whole numbers far below 2 ** 53
             topic, cue = np.nonzero(total)
             yield pd.DataFrame({"topic": topic, "cue": cue, "x": total[topic, cue]})
 
@@ -453,15 +479,14 @@ def topic_counts(coded: DataFrame, centres: np.ndarray, size: int) -> np.ndarray
 
     def count(frames):
         centres = shared.get()
-        total = np.zeros((size, TOPICS), np.int64)
+        total = np.zeros((TOPICS, size), np.int64)
         for frame in frames:
-            for ids, cues in zip(frame["ids"], frame["cues"]):
-                topic = 0
-                if cues is not None:
-                    topic = int(np.argmax(np.round(centres @ cue_shares(np.frombuffer(cues, "<i4")), 9)))
-                np.add.at(total[:, topic], np.frombuffer(ids, "<i4"), 1)
-        at, topic = np.nonzero(total)
-        yield pd.DataFrame({"id": at, "topic": topic, "c": total[at, topic]})
+            shares = cue_shares(np.frombuffer(b"".join(x or bytes(4 * CUES) for x in frame["cues"]), "<i4").reshape(-1, CUES))
+            topics = np.argmax(np.round(shares @ centres.T, 9), axis=1)  # the first one for a text without cues
+            for ids, topic in zip(frame["ids"], topics):
+                np.add.at(total[topic], np.frombuffer(ids, "<i4"), 1)
+        topic, at = np.nonzero(total)
+        yield pd.DataFrame({"id": at, "topic": topic, "c": total[topic, at]})
 
     rows = coded.select("ids", "cues").mapInPandas(count, "id long, topic int, c long")
     got = rows.groupBy("id", "topic").agg(F.sum("c").alias("c")).toArrow()  # at most one row per id and topic
@@ -509,23 +534,58 @@ def encode(rows: DataFrame, parts: tuple, logs: np.ndarray) -> DataFrame:
     """``rows`` with the ids of their texts, the counts of cues, and the base's part of the frequent words."""
     shared = Shared(rows.sparkSession, (*parts, logs), _encode_parts)
 
-    @F.pandas_udf("n long, known long, base double, rare array<binary>, times array<long>, ids binary, cues binary")
-    def run(texts: pd.Series) -> pd.DataFrame:
+    def run(frames):
         keep_freed()
         code, logs = shared.get()
-        out = []
-        for text in texts:
-            words = words_of(text)
-            ids, rare = code.ids(words)
-            cues = cue_counts(ids, code.first)
-            base = float(logs[ids[ids >= code.first] - code.first].sum())
-            times = Counter(rare)
-            own = (list(times.keys()), list(times.values()), ids.tobytes(), cues.tobytes() if cues.any() else None)
-            out.append((len(words) + 1, len(words) - len(rare), base, *own))
-        return pd.DataFrame(out, columns=["n", "known", "base", "rare", "times", "ids", "cues"])
-
-    made = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out", run("text").alias("x"))
-    return made.select("uid", "doc_id", "held_out", "x.*")
+        for frame in blocks(frames):
+            own = encode_block(frame["text"], code, logs)
+            kept = {name: frame[name] for name in ("uid", "doc_id", "held_out")}
+            yield pa.RecordBatch.from_pydict(kept | own)
+
+    made = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out", "text")
+    own = "n long, known long, base double, rare array<binary>, times array<long>, ids binary, cues binary"
+    return made.mapInArrow(run, f"uid long, doc_id long, held_out boolean, {own}")
+
+
+def encode_block(texts: pa.Array, code: Subwords, logs: np.ndarray) -> dict[str, pa.Array]:
+    """What ``encode`` adds to each text; each distinct word of the block is looked up once."""
+    words, n = Words.of(texts), len(texts)
+    size, end = np.diff(words.starts), len(words.distinct)
+    flat, length, whole = code.cut(words.distinct)
+    flat, length, whole = np.r_[flat, np.int32(code.end)], np.r_[length, 1], np.r_[whole, -1]
+    first = np.cumsum(length) - length
+    rare = whole < 0
+    rare[end] = False
+    number = np.insert(words.number, words.starts[1:], end)  # every text ends
+    starts = words.starts[:-1] + np.arange(n)
+    base = np.add.reduceat(np.take(np.r_[logs, 0.0][whole], number), starts)
+    # ids: those of each word in turn
+    each = np.take(length, number)
+    ends = np.cumsum(each)
+    place = np.repeat(np.take(first, number) - ends + each, each)
+    place += np.arange(len(place))
+    ids = np.take(flat, place)
+    text = np.repeat(np.arange(n), size + 1)
+    cue = np.take(np.where(whole < CUES, whole, -1), number)
+    held = cue >= 0
+    cues = np.bincount(text[held] * CUES + cue[held], minlength=n * CUES).astype("<i4").reshape(n, CUES)
+    held = np.take(rare, number)
+    key, times = np.unique(text[held] * (end + 1) + number[held], return_counts=True)
+    cuts = pa.array(np.searchsorted(key, np.arange(n + 1) * (end + 1)), pa.int32())
+    return {
+        "n": pa.array(size + 1, pa.int64()),
+        "known": pa.array(size - np.bincount(text[held], minlength=n), pa.int64()),
+        "base": pa.array(base, pa.float64()),
+        "rare": pa.ListArray.from_arrays(cuts, words.distinct.take(pa.array(key % (end + 1)))),
+        "times": pa.ListArray.from_arrays(cuts, pa.array(times, pa.int64())),
+        "ids": _binaries(ids, np.r_[0, ends[starts + size]] * 4),
+        "cues": pa.array([own.tobytes() if any_ else None for own, any_ in zip(cues, cues.any(axis=1))], pa.binary()),
+    }
+
+
+def _binaries(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Runs of the bytes of ``values``."""
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype("<i4")), pa.py_buffer(values)])
 
 
 def fit_round(coded: DataFrame, tables: Tables, theta: np.ndarray, shards: int, rate: float) -> np.ndarray:
@@ -533,7 +593,8 @@ def fit_round(coded: DataFrame, tables: Tables, theta: np.ndarray, shards: int,
     key = F.xxhash64("doc_id", "ids")
     bucket = F.pmod(F.xxhash64(key, F.lit(17)), F.lit(shards)).alias("bucket")
     rows = coded.select("ids", key.alias("key"), bucket)
-    dealt = rows.repartition(min(shards, PARTITIONS), "bucket").sortWithinPartitions("bucket", "key", "ids")
+    tasks = min(max(shards // TOGETHER, min(shards, APART)), PARTITIONS)
+    dealt = rows.repartition(tasks, "bucket").sortWithinPartitions("bucket", "key", "ids")
     shared = Shared(coded.sparkSession, (*tables, theta), _model_parts)
 
     def run(frames):
@@ -606,7 +667,8 @@ def score(
     parts = (ranks, list(top["word"]))
     made = stage(encode(rows, parts, _log10(top["c"].to_numpy(float), n, v)), "lm-ids")
     training = made.where(~F.col("held_out")).select("doc_id", "ids", "cues")
-    centres = topic_centres(training.select("cues").where("cues IS NOT NULL"))
+    cues = training.select("cues").where("cues IS NOT NULL").coalesce(max(1, ends // CUED))
+    centres = topic_centres(stage(cues, "lm-cues"))  # read in some twenty short jobs
     code = Subwords(*parts)
     tables, prior = tables_of(topic_counts(training, centres, code.size), code)
     theta = fit(training, tables, prior, shard_docs, warm_docs, rounds, rate)
@@ -634,7 +696,7 @@ def score(
     rare = rare.select("uid", F.col("x.rare").alias("word"), F.col("x.times").alias("k"))
     unseen = _log10(np.zeros(1), n, v)[0]
     log_c = F.log10((F.col("c") + 0.5) / F.lit(float(n + 0.5 * (v + 1))))
-    joined = rare.join(words, "word", "left").select(
+    joined = rare.join(words.hint("shuffle_hash"), "word", "left").select(
         "uid",
         (F.col("k") * F.coalesce(log_c, F.lit(float(unseen)))).alias("rare_base"),
         F.when(F.col("c") > 0, F.col("k")).otherwise(0).alias("rare_known"),

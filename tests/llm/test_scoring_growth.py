@@ -1,9 +1,12 @@
-"""The time that scoring takes: one call for the new words of a text, few passes over large arrays."""
+"""The time that scoring takes: one call for the new words of a text or block, few passes over large arrays."""
 
 import base64
+import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 
 from netlume.llm import attention_lm
@@ -42,6 +45,40 @@ def test_rare_words_are_cut_in_one_call(monkeypatch):
     assert code.ids(words)[0].tolist() == ids.tolist() and len(calls) == 2  # the long ones are not remembered
 
 
+def test_words_of_a_block_are_cut_once():
+    """Texts of a block, together, get what each one gets alone; a distinct word is cut once, in one call."""
+    frequent = [b"the", b"of", *(b"w%d" % i for i in range(attention_lm.CUES + 5))]
+    code, calls = attention_lm.Subwords(open(RANKS, "rb").read(), frequent), []
+    logs, draw = np.log10(np.arange(1.0, len(frequent) + 1)), random.Random(7)
+
+    class Counted:
+        def encode_ordinary(self, text):
+            calls.append(text)
+            return own.encode_ordinary(text)
+
+    odd = [bytes(draw.choices(b" \t\n\x0b\x0c\r\x1c\x1f\x85\xa0\xc3\x89\x00@AZ[`az{", k=draw.randrange(20))) for _ in range(300)]
+    texts = [b"", b" ", b"\n\n", b" The OF the ", "Ünïcode été".encode(), b"w%d w3 w3" % (attention_lm.CUES + 1), b"rare rare Rare", *odd]
+    own, code.code = code.code, Counted()
+    got = pa.RecordBatch.from_pydict(attention_lm.encode_block(pa.array([b"before", *texts], pa.binary())[1:], code, logs)).to_pylist()
+    assert len(calls) == 1 and calls[0].count(" ") == len({w for text in texts for w in text.lower().split()} - set(frequent))
+    for text, row in zip(texts, got, strict=True):
+        words = text.lower().split()
+        ids, rare = code.ids(words)
+        whole = ids[ids >= code.first] - code.first
+        cues = np.bincount(whole[whole < attention_lm.CUES], minlength=attention_lm.CUES).astype("<i4")
+        assert row["ids"] == ids.tobytes() and (row["n"], row["known"]) == (len(words) + 1, len(words) - len(rare))
+        assert dict(zip(row["rare"], row["times"], strict=True)) == Counter(rare) and abs(row["base"] - logs[whole].sum()) < 1e-9
+        assert row["cues"] == (cues.tobytes() if cues.any() else None)
+
+
+def test_blocks_bound_the_text_at_hand():
+    sizes = [0, 0, 5, 3, 0, 40, 1, 1, 9, 0]
+    frame = pa.RecordBatch.from_arrays([pa.array([b"x" * n for n in sizes]), pa.array(range(len(sizes)))], ["text", "at"])
+    made = [b["at"].to_pylist() for b in attention_lm.blocks([frame, frame.slice(0, 0), frame], 10)]
+    assert sum(made, []) == [*range(len(sizes))] * 2
+    assert all(sum(sizes[i] for i in own) - max(sizes[i] for i in own) < 10 for own in made) and len(made) == 6
+
+
 def test_lm_takes_no_maximum_without_need(monkeypatch):
     """Scores far beyond the exponents of a float give what 64-bit floats give; others take a plain pass."""
     rng = np.random.default_rng(3)
