@@ -22,6 +22,7 @@ from netlume.staging import stage
 DECAY = 1e-4
 RATE = 2e-3
 NEWTON_STEPS = 25
+BLOCK_ROWS = 8_192  # rows whose margins fit a core's cache
 
 
 class HingeUnits:
@@ -44,25 +45,41 @@ class HingeUnits:
         w = flat.reshape(self.units, self.width + 1)
         return x @ w[:, :-1].T + w[:, -1]
 
-    def _each(self, params: np.ndarray, x: np.ndarray, t: np.ndarray, fold: np.ndarray):
-        """Per model: its rows, sides, and the rows' slack where a unit learns from them."""
-        for m in range(self.models):
-            keep = fold != m if self.folds else np.ones(len(x), bool)
-            side, learns = self.wanted(t[keep])
-            yield m, x[keep], side, np.maximum(0.0, 1.0 - side * self.margins(params[m], x[keep])) * learns
+    def _slack(self, params: np.ndarray, x: np.ndarray, t: np.ndarray, fold: np.ndarray):
+        """Per block its rows, their sides (1 or k, rows), the slack (models, parts, k, rows), 0 where a unit does not
+        learn from a row, and which rows a model sees. Rows are the last axis: they lie side by side."""
+        w = params.reshape(self.models * self.units, self.width + 1)
+        classes = np.arange(self.k) if self.k > 1 else np.array([1])
+        for at in range(0, len(x), BLOCK_ROWS):
+            mine, of = x[at : at + BLOCK_ROWS], fold[at : at + BLOCK_ROWS]
+            cls, part = np.divmod(t[at : at + BLOCK_ROWS].astype(int), self.parts)
+            side = np.where(cls == classes[:, None], 1.0, -1.0)
+            slack = (w[:, :-1] @ mine.T + w[:, -1:]).reshape(self.models, self.parts, self.k, len(mine))
+            slack *= -side
+            slack += 1.0
+            np.maximum(slack, 0.0, out=slack)
+            slack *= (part != np.arange(self.parts)[:, None])[:, None]
+            seen = of != np.arange(self.models)[:, None] if self.folds else np.ones((self.models, len(mine)), bool)
+            if self.folds:
+                slack *= seen[:, None, None]
+            yield mine, side, slack, seen
 
     def gradient(self, params: np.ndarray, x: np.ndarray, t: np.ndarray, fold: np.ndarray) -> tuple:
         grads, (losses, rows) = np.zeros_like(params), (np.zeros(self.models), np.zeros(self.models))
-        for m, mine, side, slack in self._each(params, x, t, fold):
-            push = side * (slack > 0)
-            grads[m] = -np.hstack([push.T @ mine, push.sum(axis=0)[:, None]]).ravel()
-            losses[m], rows[m] = slack.sum() / self.units, len(mine) * (self.parts - 1) / self.parts
+        of_unit = grads.reshape(self.models * self.units, self.width + 1)
+        for mine, side, slack, seen in self._slack(params, x, t, fold):
+            push = ((slack > 0) * side).reshape(len(of_unit), len(mine))
+            of_unit[:, :-1] -= push @ mine
+            of_unit[:, -1] -= push.sum(axis=1)
+            losses += slack.sum(axis=(1, 2, 3)) / self.units
+            rows += seen.sum(axis=1) * (self.parts - 1) / self.parts
         return grads, losses, rows
 
     def loss(self, params: np.ndarray, x: np.ndarray, t: np.ndarray, fold: np.ndarray) -> tuple:
         losses, rows = np.zeros(self.models), np.zeros(self.models)
-        for m, mine, _, slack in self._each(params, x, t, fold):
-            losses[m], rows[m] = slack.sum() / self.units, len(mine) * (self.parts - 1) / self.parts
+        for _, _, slack, seen in self._slack(params, x, t, fold):
+            losses += slack.sum(axis=(1, 2, 3)) / self.units
+            rows += seen.sum(axis=1) * (self.parts - 1) / self.parts
         return losses, rows
 
     def penalty(self, params: np.ndarray, rows: np.ndarray) -> np.ndarray:
