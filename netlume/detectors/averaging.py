@@ -133,17 +133,16 @@ def _rounds(data: RDD, load, state: np.ndarray, rounds: int, seed: int, patience
     return state
 
 
-def with_workers(data: DataFrame, site: str, rows_per_worker: int = 1_000_000) -> DataFrame:
+def with_workers(data: DataFrame, site: str, rows_per_worker: int | None = None) -> DataFrame:
     """Number the local models and lay the rows out by them: all rows of a worker in one partition, the workers dealt out
     evenly to as many partitions as there are cores, and inside one sorted by slice, worker and hash.
 
-    A site larger than ``rows_per_worker`` is shared by several workers by a hash, so one site that holds
-    a third of all rows does not end up in one task. The weighted average over workers equals the average
-    over sites of the average within each site.
+    A site is one local model, whatever its size. Only if ``rows_per_worker`` is given, a larger site is shared by several
+    workers by a hash: another method, as each of them then learns from a part of the site.
     """
     order = F.xxhash64(*data.columns)
     sites, largest = data.groupBy(site).count().agg(F.count("*"), F.max("count")).first()
-    shares = max(1, ceil((largest or 0) / rows_per_worker))
+    shares = max(1, ceil((largest or 0) / rows_per_worker)) if rows_per_worker else 1
     slices = max(1, ceil((largest or 0) / shares / SLICE_ROWS))
     parts = max(1, min(sites * shares, data.sparkSession.sparkContext.defaultParallelism))
     worker = (F.col(site) * shares + F.pmod(order, F.lit(shares))).cast("int")

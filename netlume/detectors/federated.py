@@ -83,7 +83,7 @@ class FederatedSgd(Detector):
     name: str = "federated_sgd"
     sites: int = 5
     rounds: int = 20
-    rows_per_worker: int = 1_000_000
+    rows_per_worker: int | None = None  # a site is one local model
 
     def _train(self, train: DataFrame, stratum: str, target: str, k: int) -> LinearSgd:
         width = len(train.select("x").first()["x"])

@@ -4,10 +4,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from netlume.detectors import trees
+from netlume.detectors import neural, svm, trees
 from netlume.detectors.averaging import with_workers
-from netlume.detectors.federated import LinearSgd
+from netlume.detectors.federated import FederatedSgd, LinearSgd
+from netlume.detectors.neural import Network
+from netlume.detectors.svm import HingeUnits
 from netlume.detectors.trees import Forest, tree_groups
+from netlume.plans import queries_models
 from netlume.plans.evaluate import dealt_evenly
 
 
@@ -76,3 +79,37 @@ def test_workers_are_dealt_out_evenly_and_whole(spark):
     assert len(pairs) == 20 and len({w for w, _ in pairs}) == 20
     parts = [p for _, p in pairs]
     assert max(map(parts.count, parts)) == -(-20 // min(20, spark.sparkContext.defaultParallelism))
+
+
+def test_a_site_of_any_size_is_one_local_model(spark):
+    df = spark.range(1_100_000).selectExpr("0 AS site", "string(id) AS _h")
+    assert with_workers(df, "site").select("worker").distinct().count() == 1
+    assert FederatedSgd().rows_per_worker is None
+
+
+def test_networks_train_their_published_rounds(spark, monkeypatch):
+    monkeypatch.setattr(queries_models.R, "detector_report", lambda spark, sf, detector: detector)
+    for name, rounds in (("mlp", 300), ("autoencoder", 100)):
+        detector = queries_models.QUERIES[name](spark, "")
+        assert detector.rounds == rounds and detector.patience == 10
+
+
+def test_sums_of_models_do_not_depend_on_blocks(monkeypatch):
+    """The gradient and loss of many blocks are those of one; a network holds the layers of one block at a time."""
+    rng = np.random.default_rng(2)
+    x, fold = rng.normal(size=(500, 4)), rng.integers(0, 3, 500)
+    models = [(Network([4, 6, 2], "class", 3, True), 2), (Network([4, 3, 4], "input"), 1), (HingeUnits(3, 2, 4, 3, True), 6)]
+    for model, kinds in models:
+        t = rng.integers(0, kinds, 500)
+        params = rng.normal(size=(model.models, model.size))
+        found, largest = [], []
+        for rows in (1000, 64):
+            monkeypatch.setattr(neural, "BLOCK_ROWS", rows)
+            monkeypatch.setattr(svm, "BLOCK_ROWS", rows)
+            if isinstance(model, Network):
+                seen = []
+                monkeypatch.setattr(model, "forward", lambda p, x: seen.append(len(x)) or Network.forward(model, p, x))
+                largest.append(seen)
+            found.append((*model.gradient(params, x, t, fold), *model.loss(params, x, t, fold)))
+        assert all(np.allclose(a, b) for a, b in zip(*found))
+        assert not largest or max(largest[1]) <= 64 < max(largest[0])
