@@ -348,6 +348,30 @@ def test_extra_trees_count_equal_rows_once(spark, monkeypatch):
         assert kept[-1].count() == 24
 
 
+def test_extra_trees_are_the_same_wherever_they_grow(data, monkeypatch):
+    """Whole trees in tasks, by levels, by levels and small nodes, and with models of one tree a piece give equal scores."""
+    train = data.where("split = 'train'")
+    scores = []
+    for sent, local, piece in ((10**9, 4096, 10**6), (0, 1, 10**6), (0, 300, 10**6), (10**9, 4096, 1)):
+        monkeypatch.setattr(extra_trees, "SENT_VALUES", sent)
+        monkeypatch.setattr(extra_trees, "LOCAL_ROWS", local)
+        monkeypatch.setattr(extra_trees, "PIECE_NODES", piece)
+        detector = ExtraTrees(trees=3, max_depth=7)
+        scores.append([r.score for r in detector.fit(train)(train.select("_h", "x")).orderBy("_h").collect()])
+        assert len(detector._pieces(train, "y", 2)) == (3 if piece == 1 else 1)
+    assert len(set(scores[0])) > 20 and all(np.allclose(scores[0], v, rtol=1e-12) for v in scores[1:])
+
+
+def test_extra_trees_grow_whole_whatever_their_size(spark):
+    """Labels without a pattern: by default every node is cut until its rows agree or are too few."""
+    rng = np.random.default_rng(4)
+    x, t = rng.normal(size=(3, 4000)), rng.integers(0, 2, 4000)
+    key = extra_trees.root_key(1)
+    feature, cut, left, counts = extra_trees.grow_local(x, t, np.ones(4000), 2, 60, 1, 3, key)
+    assert ((counts[left == np.arange(len(left))] > 0).sum(axis=1) == 1).all() and counts[0].sum() == 4000
+    assert ExtraTrees().max_nodes is None and len(feature) > 1500
+
+
 def test_extra_trees_bound_their_model(data):
     train = data.where("split = 'train'")
     small = ExtraTrees(trees=3, max_nodes=40)._grow(train, "y", 2)
