@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from netlume.detectors import neural, svm, trees
+from netlume.detectors import boosting, neural, svm, trees
 from netlume.detectors.averaging import with_workers
 from netlume.detectors.federated import FederatedSgd, LinearSgd
 from netlume.detectors.neural import Network
@@ -113,3 +113,21 @@ def test_sums_of_models_do_not_depend_on_blocks(monkeypatch):
             found.append((*model.gradient(params, x, t, fold), *model.loss(params, x, t, fold)))
         assert all(np.allclose(a, b) for a, b in zip(*found))
         assert not largest or max(largest[1]) <= 64 < max(largest[0])
+
+
+def test_a_boosting_round_takes_every_tree_once(spark, monkeypatch):
+    """The levels of a round find the margins of all trees before them; none is walked again for every level."""
+    rows = spark.range(400).selectExpr("array(double(id % 20), double(id % 7)) AS x", "int(id % 20 > 11) AS y")
+    waiting, grow = [], boosting.grow_trees
+    monkeypatch.setattr(boosting, "grow_trees", lambda *a: waiting.append(len(a[3])) or grow(*a))
+    plan = boosting.Growth(3, 0.3, l2=1.0)
+    for restage in (10, 2):
+        monkeypatch.setattr(boosting, "RESTAGE_ROUNDS", restage)
+        made = boosting.boosted(rows, "y", boosting.Loss(1), plan, 4)
+        x = np.array([r.x for r in rows.collect()])
+        margin, hits = np.zeros(400), np.array([r.y for r in rows.collect()])
+        for [tree] in made:  # the root's value is the leaf of a tree without a cut, on the gradients of that round
+            p = 1 / (1 + np.exp(-margin))
+            assert tree.value[0] == pytest.approx(-0.3 * (p - hits).sum() / ((p * (1 - p)).sum() + 1.0))
+            margin += tree.value[tree.leaf(x, tree.cut)]
+    assert waiting == [0] * 8
