@@ -370,6 +370,8 @@ def test_extra_trees_grow_whole_whatever_their_size(spark):
     feature, cut, left, counts = extra_trees.grow_local(x, t, np.ones(4000), 2, 60, 1, 3, key)
     assert ((counts[left == np.arange(len(left))] > 0).sum(axis=1) == 1).all() and counts[0].sum() == 4000
     assert ExtraTrees().max_nodes is None and len(feature) > 1500
+    x[:, rng.random(4000) < 0.3] = np.nan  # a missing value goes left; the feature is still cut
+    assert len(extra_trees.grow_local(x, t, np.ones(4000), 2, 60, 1, 3, key)[0]) > 1500
 
 
 def test_extra_trees_bound_their_model(data):
